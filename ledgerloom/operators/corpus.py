@@ -54,7 +54,7 @@ def call_budget(spark, sf_dir: str) -> DataFrame:
 def first_latency(spark, sf_dir: str) -> DataFrame:
     """Seconds from each user's first event to the first click, and the median over users by first event's type."""
     by = scan(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("start"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("click"))
-    return by.where("click is not null").select("user_id", (F.unix_micros("click") - F.unix_micros("start")).alias("latency_us"))
+    return by.where("click is not null").select("user_id", (F.unix_micros(F.col("click").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("latency_us"))
 
 
 QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "v9_regenerate_target": regenerate_target, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}

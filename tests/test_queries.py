@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ TABLES = [f.removesuffix(".parquet") for f in os.listdir(DIR)]
 
 def rows(frame):
     columns = sorted(frame.columns)
-    clean = lambda x: None if x is None or x != x or str(x) == "NaT" else round(float(x), 7) if isinstance(x, float) or hasattr(x, "dtype") else str(x)[:10] if hasattr(x, "year") else float(x) if isinstance(x, int) and not isinstance(x, bool) else x
+    clean = lambda x: None if pd.isna(x) else round(float(x), 7) if isinstance(x, float) or hasattr(x, "dtype") else str(x)[:10] if hasattr(x, "year") else float(x) if isinstance(x, int) and not isinstance(x, bool) else x
     return columns, sorted((tuple(clean(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
 
 
