@@ -126,6 +126,8 @@ class Encoder:
 
     def words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of many words at once: one Viterbi step per start byte runs over all words that are that long."""
+        if not words:
+            return []
         sizes = np.array([len(w) for w in words])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
