@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, jaccard, licenses, line_dedup, lm_score, pieces, secrets, toxicity
+from . import decontaminate, embed_dedup, jaccard, licenses, line_dedup, lm_score, pieces, secrets, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_sentencepiece": lambda s, d: pieces.round_trip(read(s, d, "documents")),
     "op5_line_dedup": lambda s, d: line_dedup.digest(read(s, d, "documents")),
     "op6_secret_scan": lambda s, d: secrets.scan(read(s, d, "documents")),
+    "op7_suffix_dedup": lambda s, d: suffix_dedup.digest(read(s, d, "documents")),
     "op8_jaccard_join": lambda s, d: jaccard.classes(read(s, d, "documents")),
     "op9_embedding_dedup": lambda s, d: embed_dedup.near_duplicates(read(s, d, "embeddings")),
     "op10_lm_score": lambda s, d: lm_score.score_quality(read(s, d, "documents"), read(s, d, "labels")),

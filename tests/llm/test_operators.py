@@ -1,11 +1,12 @@
 """Operators against brute force, exact round trips and held-out accuracy, with nulls, empty and odd rows."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
-from ledgerloom.llm import decontaminate, embed_dedup, jaccard, licenses, line_dedup, lm_score, pieces, secrets, toxicity
+from ledgerloom.llm import decontaminate, embed_dedup, jaccard, licenses, line_dedup, lm_score, pieces, secrets, suffix_dedup, toxicity
 
 ODD = [(1, None), (2, ""), (3, "x"), (None, "a b c d e f"), (3, "x"), (4, "é ☃ 𝔘\n\n  long " + "word " * 3000)]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -156,3 +157,34 @@ def test_language_model_prefers_its_target(spark):
 @pytest.mark.parametrize("f", [licenses.scan, secrets.scan, line_dedup.dedup, jaccard.classes, pieces.round_trip])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
+
+
+def without_repeats(texts, n):
+    """Per text: bytes, removed bytes, runs and the rest's hash, from a count of all n-byte strings."""
+    texts, seen = [(t or "").encode() for t in texts], {}
+    for t in texts:
+        for i in range(len(t) - n + 1):
+            seen[t[i : i + n]] = seen.get(t[i : i + n], 0) + 1
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        yield len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(t, gone, strict=True) if not g)).hexdigest()
+
+
+@pytest.mark.parametrize("kinds", [512, 1])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, kinds):
+    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+    draw = random.Random(3)
+    fresh = lambda n: "".join(draw.choice("abcd é") for _ in range(n))
+    passage, exact = fresh(700), fresh(380)
+    rows = ODD + [(10 + k, fresh(draw.randrange(300)) + passage[draw.randrange(250) :] + fresh(draw.randrange(500))) for k in range(12)]
+    rows += [(30, exact + "x" * 20), (31, fresh(9) + exact + "y" * 20), (32, "z" * 399), (33, "z" * 399), (34, "q" * 401), (35, fresh(600)), (36, passage), (36, passage)]
+    got = suffix_dedup.digest(docs(spark, rows)).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, without_repeats([t for _, t in rows], 400), strict=True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_suffix_dedup_of_nothing(spark):
+    assert suffix_dedup.digest(docs(spark, [])).count() == 0
