@@ -22,7 +22,9 @@ LENGTH, GRAM = 400, 64
 LETTER = 40
 #: Different surroundings of an anchor that one task may take; those of commoner anchors are compared by window hashes.
 KINDS = 512
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Text that one pass over texts takes; its arrays are some hundred times as large.
+SLICE_BYTES = 1 << 19
 
 
 class Hashes:
@@ -73,7 +75,7 @@ def surroundings(docs: DataFrame) -> DataFrame:
     """(doc_id, key, anchor, nb, low, length) of every anchor's surroundings in ``docs`` (doc_id, key, text)."""
 
     def run(batches):
-        for batch, data, offsets in slices(batches, 2):
+        for batch, data, offsets in slices(batches, 2, SLICE_BYTES):
             row, anchor, nb, low, length = anchored(data, offsets)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor), pa.array(nb), pa.array(low), pa.array(length.astype(np.int32))], names=["doc_id", "key", "anchor", "nb", "low", "length"])

@@ -51,13 +51,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of rows with about ``SLICE_BYTES`` of text in column ``text``."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches into runs of rows with about ``size`` bytes of text in column ``text``."""
     for batch in batches:
         data, offsets = utf8(batch.column(text))
         row = 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
             yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
             row = stop
 
