@@ -20,8 +20,10 @@ from .words import _BYTE, mix, powers, slices
 LENGTH, GRAM = 400, 64
 #: Bytes of one letter of the transform; LENGTH is a multiple, so LENGTH / LETTER extensions reach it.
 LETTER = 40
-#: Different surroundings of an anchor that one task may take; those of commoner anchors are compared by window hashes.
+#: Different surroundings of an anchor that one task may take; those of commoner anchors are first split by what lies around it.
 KINDS = 512
+#: Window starts that share a core, round by round, in that split.
+WIDTHS = (42, 6, 1)
 BLOCK_BYTES = 1 << 20
 #: Text that one pass over texts takes; its arrays are some hundred times as large.
 SLICE_BYTES = 1 << 19
@@ -40,10 +42,10 @@ class Hashes:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, anchor, surroundings' hash, start and length: each window start of each text is in one of them."""
+    """row, anchor, surroundings' hash, start, length and the anchor's place from the start: each window start of each text is in one of them."""
     wide = LENGTH - GRAM + 1
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     hashes = Hashes(data)
     gram = hashes.of(np.arange(len(data) - GRAM + 1), GRAM)
     bits = np.uint64(max(24, len(gram).bit_length()))
@@ -62,25 +64,25 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(step, offsets[1:][long] - LENGTH + 1, -1)
     at = np.flatnonzero(np.cumsum(step)[:starts] > 0)
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     place = (least[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.concatenate(([True], (np.diff(place) != 0) | (np.diff(at) != 1)))
     low, high = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     length = high - low + LENGTH
     row = np.searchsorted(offsets, low, "right") - 1
-    return row, gram[place[new]].view(np.int64), hashes.of(low, length).view(np.int64), low - offsets[row], length
+    return row, gram[place[new]].view(np.int64), hashes.of(low, length).view(np.int64), low - offsets[row], length, place[new] - low
 
 
 def surroundings(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, anchor, nb, low, length) of every anchor's surroundings in ``docs`` (doc_id, key, text)."""
+    """(doc_id, key, anchor, nb, low, length, off) of every anchor's surroundings in ``docs`` (doc_id, key, text)."""
 
     def run(batches):
         for batch, data, offsets in slices(batches, 2, SLICE_BYTES):
-            row, anchor, nb, low, length = anchored(data, offsets)
+            row, anchor, nb, low, length, off = anchored(data, offsets)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor), pa.array(nb), pa.array(low), pa.array(length.astype(np.int32))], names=["doc_id", "key", "anchor", "nb", "low", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor), pa.array(nb), pa.array(low), pa.array(length.astype(np.int32)), pa.array(off.astype(np.int32))], names=["doc_id", "key", "anchor", "nb", "low", "length", "off"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, anchor long, nb long, low long, length int")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, anchor long, nb long, low long, length int, off int")
 
 
 def repeated(data: np.ndarray, begin: np.ndarray, length: np.ndarray, group: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,35 +144,65 @@ def expand(batches):
         yield flush()
 
 
-def window_hashes(batches):
-    """One row per window of (anchor, nb, n, bytes) rows."""
-    for batch in batches:
-        for anchor, nb, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = np.arange(len(own) - LENGTH + 1)
-            h = Hashes(np.frombuffer(own, np.uint8)).of(at, LENGTH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), anchor)), pa.array(np.full(len(at), nb)), pa.array(np.full(len(at), n)), pa.array(at), pa.array(h)], names=["anchor", "nb", "n", "a", "h"])
+def cores(width: int):
+    """Splits strings around an anchor into runs of up to ``width`` window starts, by their distance before the anchor.
+
+    All windows of a run share its core, so a run whose core is nowhere else has no repeated window.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for anchor, nb, n, a, off, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = len(own) - LENGTH
+                for c in range((off - last) // width, off // width + 1):
+                    start, stop = max(0, off - (c + 1) * width + 1), min(last, off - c * width)
+                    string = own[start : stop + LENGTH]
+                    core = own[off - c * width : off - (c + 1) * width + 1 + LENGTH]
+                    name = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (core, string)]
+                    out.append((anchor, nb, n, a + start, off - start, string, *name))
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["anchor", "nb", "n", "a", "off", "bytes", "core", "own"])
+
+    return run
+
+
+def refine(hot: DataFrame) -> list[DataFrame]:
+    """(anchor, nb, a, b) of the repeated windows of ``hot`` (anchor, nb, n, a, off, bytes), however many share an anchor.
+
+    Each round splits what is undecided into shorter runs: those with a core of one place have none, those
+    whose strings are all equal are repeated as a whole. The last runs are single windows.
+    """
+    out = []
+    for width in WIDTHS:
+        each = table(hot.mapInArrow(cores(width), "anchor long, nb long, n long, a long, off long, bytes binary, core long, own long"))
+        shared = each.groupBy("anchor", "core").agg(F.sum("n").alias("places"), (F.min("own") == F.max("own")).alias("equal")).where("places > 1").drop("places")
+        each = each.join(shared, ["anchor", "core"])
+        out.append(each.where("equal").select("anchor", "nb", "a", (F.col("a") + F.length("bytes")).alias("b")))
+        hot = each.where("not equal").select("anchor", "nb", "n", "a", "off", "bytes")
+    return out
 
 
 def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(anchor, nb, a, b): repeated bytes of each kind of surroundings, from its start."""
-    kinds = table(found.groupBy("anchor", "nb").agg(F.count("*").alias("n"), F.max("length").alias("length"), F.min(F.struct("doc_id", "key", "low")).alias("rep")))
+    kinds = table(found.groupBy("anchor", "nb").agg(F.count("*").alias("n"), F.max("length").alias("length"), F.max("off").cast("long").alias("off"), F.min(F.struct("doc_id", "key", "low")).alias("rep")))
     counts = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("places")).where("places > 1")
     live = table(kinds.join(counts, "anchor"))
     whole = live.where("kinds = 1").select("anchor", "nb", F.lit(0).cast("long").alias("a"), F.col("length").cast("long").alias("b"))
-    many = live.where("kinds > 1").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.key").alias("r_key"), F.struct("anchor", "nb", "n", "kinds", F.col("rep.low").alias("low"), "length").alias("s"))
+    many = live.where("kinds > 1").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.key").alias("r_key"), F.struct("anchor", "nb", "n", "kinds", "off", F.col("rep.low").alias("low"), "length").alias("s"))
     many = many.groupBy("r_id", "r_key").agg(F.collect_list("s").alias("s"))
     cut = docs.join(many, (F.col("key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     cut = cut.withColumn("bytes", F.encode("text", "UTF-8"))
-    piece = lambda s: F.struct(s["anchor"].alias("anchor"), s["nb"].alias("nb"), s["n"].alias("n"), s["kinds"].alias("kinds"), F.substring(F.col("bytes"), s["low"].cast("int") + 1, s["length"]).alias("bytes"))
+    piece = lambda s: F.struct(s["anchor"].alias("anchor"), s["nb"].alias("nb"), s["n"].alias("n"), s["kinds"].alias("kinds"), s["off"].alias("off"), F.substring(F.col("bytes"), s["low"].cast("int") + 1, s["length"]).alias("bytes"))
     pieces = table(cut.select(F.explode(F.transform("s", piece)).alias("p")).select("p.*"))
     columns = ["anchor", "nb", "n", "bytes"]
     dealt = pieces.where(F.col("kinds") <= KINDS).select(*columns).repartition("anchor").sortWithinPartitions("anchor", "nb")
     few = dealt.mapInArrow(expand, "anchor long, nb long, a long, b long")
-    each = pieces.where(F.col("kinds") > KINDS).select(*columns).dropDuplicates(["anchor", "nb"]).mapInArrow(window_hashes, "anchor long, nb long, n long, a long, h long")
-    twice = each.groupBy("anchor", "h").agg(F.sum("n").alias("places")).where("places > 1").select("anchor", "h")
-    common = each.join(twice, ["anchor", "h"]).select("anchor", "nb", "a", (F.col("a") + LENGTH).alias("b"))
-    common = common.groupBy("anchor", "nb").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r")).select("anchor", "nb", F.explode("r").alias("r")).select("anchor", "nb", "r.*")
-    return table(whole.unionByName(few).unionByName(common))
+    hot = pieces.where(F.col("kinds") > KINDS).dropDuplicates(["anchor", "nb"]).select("anchor", "nb", "n", F.lit(0).cast("long").alias("a"), "off", "bytes")
+    out = whole.unionByName(few)
+    for part in refine(hot):
+        out = out.unionByName(part)
+    return table(out)
 
 
 def spans(docs: DataFrame) -> DataFrame:
