@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import components, sorted_pairs
+from .neighbours import components
 from .scratch import BROADCAST_ROWS, table
 from .words import Words, grams, mix, slices
 
@@ -18,7 +18,12 @@ BANDS, ROWS = 32, 4
 #: A pair goes when the posterior chance of reaching the threshold is below this.
 TOLERANCE = 1e-6
 STEP = 16
-REACH = 4
+#: Buckets of up to this many sets propose all their pairs; the sets of larger ones are compared in blocks.
+SMALL = 16
+#: Sets and shingles of a block, and sets of a tile within it.
+BLOCK_SETS, BLOCK_SHINGLES, TILE = 2048, 1 << 21, 256
+#: Shingles of a tile that one product takes.
+COLUMNS = 1 << 14
 #: Odd factors; the top bits of a product with a scrambled shingle are its hash.
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,14 +60,104 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, shingles array<long>, sig array<int>")
 
 
-def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the ``sets`` (id, low, sig) whose Jaccard similarity is at least the threshold.
-
-    ``low`` is the smallest doc_id that has the set. Only sets with a surviving pair are shingled again
-    for the exact check, so shingles of all documents are never stored.
-    """
+def small_and_hot(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of small buckets, and (id, cluster) of the sets that larger buckets connect. Together they hold every pair of every bucket."""
     keys = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)))
-    pairs = sorted_pairs(sets.select("id", F.explode(keys).alias("key")), REACH)
+    keyed = sets.select("id", F.explode(keys).alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+    members = table(keyed.join(shared, "key"))
+    few = members.where(F.col("n") <= SMALL)
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    hot = components(members.where((F.col("n") > SMALL) & (F.col("id") != F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    hot = table(hot.select("id", F.col("component").alias("cluster")))
+    side = lambda own: hot.select(F.col("id").alias(own), F.col("cluster").alias(f"cluster_{own}"))
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("cluster_a is null or cluster_b is null or cluster_a <> cluster_b")
+    return pairs.select("a", "b"), hot
+
+
+def linked(rows: np.ndarray, other: np.ndarray, at: np.ndarray, values: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """Which sets of tile ``rows`` reach the threshold with which of tile ``other``: exact sizes of intersections by products of 0/1 rows.
+
+    ``values`` has shingle numbers, ``at`` where each set's begin, ``own`` the distinct numbers of both tiles.
+    """
+    common = np.zeros((len(rows), len(other)))
+    both = np.intersect1d(*own, assume_unique=True)
+    for k in range(0, len(both), COLUMNS):
+        part = both[k : k + COLUMNS]
+        sides = []
+        for tile in (rows, other):
+            v = values[at[tile[0]] : at[tile[-1] + 1]]
+            place = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            held = part[place] == v
+            side = np.zeros((len(tile), len(part)), np.float32)
+            side[np.repeat(np.arange(len(tile)), np.diff(at[tile[0] : tile[-1] + 2]))[held], place[held]] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    n = np.diff(at)
+    return common >= THRESHOLD * (n[rows][:, None] + n[other][None, :] - common)
+
+
+def compared(group: pa.Table) -> pa.Table:
+    """(a, b, others) of one block with itself or of two blocks (``own`` 0 and 1): each linked set, one of its component here, and its linked rows here."""
+    group = group.sort_by("own").combine_chunks()
+    ids, n, own = (group.column(c).to_numpy() for c in ("id", "n", "own"))
+    lists = group.column("shingles").combine_chunks()
+    at = lists.offsets.to_numpy().astype(np.int64)
+    values = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
+    at -= at[0]
+    cut = int(np.searchsorted(own, 1))
+    tiles = [np.arange(k, min(k + TILE, stop)) for start, stop in ((0, cut), (cut, len(ids))) for k in range(start, stop, TILE)]
+    seen = [np.unique(values[at[t[0]] : at[t[-1] + 1]]) for t in tiles]
+    others, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, rows in enumerate(tiles):
+        for y in range(x, len(tiles)):
+            if cut < len(ids) and not rows[0] < cut <= tiles[y][0]:
+                continue
+            link = linked(rows, tiles[y], at, values, [seen[x], seen[y]])
+            if x == y:
+                np.fill_diagonal(link, False)
+            else:
+                others[tiles[y]] += n[rows] @ link
+            others[rows] += link @ n[tiles[y]]
+            a, b = (t[k] for t, k in zip((rows, tiles[y]), np.nonzero(link), strict=True))
+            while len(a):  # first one link of each set, then those between what is still apart
+                some = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+                for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True):
+                    i, j = root(i), root(j)
+                    parent[max(i, j)] = min(i, j)
+                top = parent
+                while (top[top] != top).any():
+                    top = top[top]
+                apart = top[a] != top[b]
+                a, b = a[apart], b[apart]
+    found = np.flatnonzero(others)
+    return pa.table({"a": ids[found], "b": ids[[root(i) for i in found.tolist()]], "others": others[found]})
+
+
+def in_clusters(hot: DataFrame) -> DataFrame:
+    """``compared`` over all pairs of blocks that each cluster of ``hot`` (id, cluster, n, shingles) is dealt into."""
+    blocks = hot.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("m"))
+    dealt = hot.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"), "id", "n", "shingles")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long, others long")
+
+
+def links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the ``sets`` (id, low, sig, n): (a, b) whose components are the classes, and (a, others) with each set's linked rows.
+
+    ``low`` is the smallest doc_id that has the set. Only sets with a surviving pair or in a hot bucket are
+    shingled again for the exact check, so shingles of all documents are never stored. Links of a large
+    group are counted where its blocks meet, and only its components leave the tasks.
+    """
+    pairs, hot = small_and_hot(sets)
     floor = least_matches()
 
     def prune(batches):
@@ -77,7 +172,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     side = lambda what, own: sets.select(F.col("id").alias(own), F.col(what).alias(f"{what}_{own}"))
     survivors = table(pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"))
-    needed = survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = survivors.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
     lows = table(sets.join(needed, "id", "left_semi").select("low").distinct())
     lows = F.broadcast(lows) if lows.count() <= BROADCAST_ROWS else lows
     again = shingled(docs.join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi"))
@@ -85,7 +180,11 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     cut = lambda own: again.select(F.col("id").alias(own), F.col("shingles").alias(f"shingles_{own}"))
     full = survivors.join(cut("a"), "a").join(cut("b"), "b")
     common, sizes = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a") + F.size("shingles_b")
-    return full.where(common >= THRESHOLD * (sizes - common)).select("a", "b")
+    found = table(full.where(common >= THRESHOLD * (sizes - common)).select("a", "b"))
+    within = table(in_clusters(hot.join(sets.select("id", "n"), "id").join(again, "id")))
+    both = found.select("a", "b").union(found.select("b", "a")).join(sets.select(F.col("id").alias("b"), F.col("n").alias("others")), "b").select("a", "others")
+    near = both.union(within.select("a", "others")).groupBy("a").agg(F.sum("others").alias("others"))
+    return found.union(within.where("a <> b").select("a", "b").distinct()), near
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -98,11 +197,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = table(shingled(docs).drop("shingles"))
     sets = table(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    unique = table(rows.where("set_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig")))
-    found = table(links(unique, docs))
-    sizes = sets.select(F.col("set_id").alias("b"), "n")
-    both = found.select("a", "b").union(found.select("b", "a"))
-    near = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
+    unique = table(rows.where("set_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.count("*").alias("n")))
+    found, near = links(unique, docs)
     part = components(found)
     known = sets.join(part, sets.set_id == part.id, "left").join(near, sets.set_id == near.a, "left")
     known = known.select("set_id", "low", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "set_id").alias("component"))

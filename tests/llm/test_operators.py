@@ -132,6 +132,32 @@ def test_jaccard_links_match_brute_force(spark):
     assert len(odd) == len(ODD)
 
 
+def test_jaccard_counts_every_link_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 100)
+    draw = random.Random(5)
+    fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    base, passage, texts = fresh(200), fresh(120), []
+    for _ in range(230):  # near copies, all different, some pairs on either side of 0.8
+        w = list(base)
+        for _ in range(draw.randrange(1, 4)):
+            w[draw.randrange(200)] = fresh(1)[0]
+        texts.append(w)
+    for _ in range(60):  # a crowd that shares a passage, with some real pairs
+        w = passage + fresh(60)
+        texts += [w, w[:-1] + fresh(1)] if draw.random() < 0.3 else [w]
+    texts += [texts[3], texts[250]]
+    draw.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    link = [[j for j, t in enumerate(sets) if i != j and len(s & t) >= 0.8 * len(s | t)] for i, s in enumerate(sets)]
+    low = list(range(len(sets)))
+    for _ in sets:
+        low = [min([low[i], *(low[j] for j in link[i])]) for i in range(len(sets))]
+    got = {r.doc_id: r for r in jaccard.classes(docs(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
+    assert [got[i].n_links for i in range(len(sets))] == [len(x) for x in link]
+    assert [got[i].class_id for i in range(len(sets))] == low
+    assert max(map(len, link)) > 100 and len(set(low)) > 40
+
+
 def test_embedding_links_match_brute_force(spark):
     import numpy as np
 
