@@ -1,4 +1,4 @@
-"""Embedding near-duplicates within a label: NN-descent refines a neighbour graph; edges at the threshold are links."""
+"""Embedding near-duplicates within a label: exact cosines of all pairs, block by block; those at the threshold are links."""
 
 from __future__ import annotations
 
@@ -6,91 +6,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .neighbours import components, sorted_pairs
-from .scratch import drop, table
+from .neighbours import block_pairs, components, meet
+from .scratch import table
 
 THRESHOLD = 0.98
-#: Neighbours that a node keeps at first; nodes whose lists hold links alone get twice as many in the next round.
-NEIGHBOURS = 8
-PROJECTIONS = 6
-ROUNDS = 6
+#: Vectors and numbers of a block.
+BLOCK_VECTORS, BLOCK_NUMBERS = 8192, 1 << 20
 
 
-def similar(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, sim) with cosines in double precision."""
-    full = pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+def compared(group: pa.Table) -> pa.Table:
+    """``meet`` of one block with itself or of two blocks of vectors of one length; cosines in double precision."""
+    group = group.sort_by("own").combine_chunks()
+    v = group.column("v").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+    norm = np.sqrt((v * v).sum(1))
+    return meet(*(group.column(c).to_numpy() for c in ("id", "n", "own")), lambda x, y: v[x] @ v[y].T / (norm[x][:, None] * norm[y]) >= THRESHOLD)
 
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (batch.column(k).flatten().to_numpy().astype(float).reshape(n, -1) if n else np.zeros((0, 1)) for k in (2, 3))
-            sim = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], names=["a", "b", "sim"])
 
-    return full.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, sim double")
-
-
-def keyed(vectors: DataFrame) -> DataFrame:
-    """(key, id): per label and random direction, a coarse place along it; where NN-descent starts."""
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            v = batch.column(2).flatten().to_numpy().astype(float).reshape(n, -1)
-            v /= np.sqrt((v * v).sum(1))[:, None]
-            planes = np.random.default_rng(11).normal(size=(v.shape[1], PROJECTIONS * 8))
-            bits = (v @ planes > 0).reshape(n, PROJECTIONS, 8)
-            code = (bits * (1 << np.arange(8))).sum(2) + np.arange(PROJECTIONS) * 256
-            key = batch.column(1).to_numpy().astype(np.int64)[:, None] * (256 * PROJECTIONS) + code
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), PROJECTIONS))], names=["key", "id"])
-
-    return vectors.select("id", "label", "v").mapInArrow(run, "key long, id long")
-
-
-def top(edges: DataFrame, width: DataFrame | None) -> DataFrame:
-    """Each node's best neighbours, as (a, b, sim) in both directions; all links stay whatever the list's length."""
-    both = edges.select("a", "b", "sim").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).distinct()
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    ranked = both.withColumn("rank", rank)
-    ranked = ranked.withColumn("most", F.lit(NEIGHBOURS)) if width is None else ranked.join(width, "a", "left").withColumn("most", F.coalesce("most", F.lit(NEIGHBOURS)))
-    return ranked.where((F.col("rank") <= F.col("most")) | (F.col("sim") >= THRESHOLD)).select("a", "b", "sim", "rank", "most")
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b, others) of ``compared`` over all pairs of blocks of each label's ``nodes`` (id, n, label, v)."""
+    nodes = nodes.withColumn("length", F.size("v"))
+    by = ["label", "length"]
+    dealt = block_pairs(nodes, by, F.greatest(F.count("*") / BLOCK_VECTORS, F.sum("length") / BLOCK_NUMBERS))
+    return dealt.select(*by, "i", "j", "own", "id", "n", "v").groupBy(*by, "i", "j").applyInArrow(compared, "a long, b long, others long")
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """One row per row of ``embeddings`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Null, zero and non-finite vectors and null labels link with nothing. Equal vectors of a label are one
-    node and link with each other. A round joins each node to the neighbours of its neighbours (a node's
-    first ``NEIGHBOURS`` stand for it there), and rounds end when no new link is found. Vectors of
-    different lengths never link.
+    node and link with each other. Every pair of a label's nodes is compared, so no link is missed; tasks emit
+    counts and components, never the links themselves. Vectors of different lengths never link.
     """
     e = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     good = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
     rows = e.where(good).withColumn("node", F.xxhash64("label", "v"))
     sets = table(rows.groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
-    nodes = sets.select(F.col("node").alias("id"), "label", "v")
-    graph = table(top(similar(sorted_pairs(keyed(nodes), NEIGHBOURS), nodes), None))
-    links = -1
-    for _ in range(ROUNDS):
-        short = graph.where(F.col("rank") <= F.col("most")).select("a", "b")
-        hop = short.join(short.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a < c").select("a", F.col("c").alias("b")).distinct()
-        fresh = similar(hop.join(graph.select("a", "b"), ["a", "b"], "left_anti"), nodes)
-        width = graph.groupBy("a").agg(F.max("most").alias("was"), F.min("sim").alias("least"), F.count("*").alias("n")).select("a", F.when((F.col("least") >= THRESHOLD) & (F.col("n") >= F.col("was")), F.col("was") * 2).otherwise(F.col("was")).alias("most"))
-        new = table(top(graph.select("a", "b", "sim").union(fresh), width))
-        drop(graph)
-        graph, before = new, links
-        links = graph.where(F.col("sim") >= THRESHOLD).count()
-        if links == before:
-            break
-    found = table(graph.where(F.col("sim") >= THRESHOLD).select("a", "b").distinct())
-    sizes = sets.select(F.col("node").alias("b"), "n")
-    others = found.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    part = components(found)
+    found = table(links(sets.select(F.col("node").alias("id"), "n", "label", "v")))
+    others = found.groupBy("a").agg(F.sum("others").alias("others"))
+    part = components(found.where("a <> b").select("a", "b").distinct())
     known = sets.select("node", "low", "n").join(part, sets.node == part.id, "left").join(others, sets.node == others.a, "left").select("node", "low", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part"))
     lowest = known.groupBy("part").agg(F.min("low").alias("component_id"))
     known = known.join(lowest, "part").select("node", "n_links", "component_id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import components
+from .neighbours import block_pairs, components, meet
 from .scratch import BROADCAST_ROWS, table
 from .words import Words, grams, mix, slices
 
@@ -20,8 +20,8 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Buckets of up to this many sets propose all their pairs; the sets of larger ones are compared in blocks.
 SMALL = 16
-#: Sets and shingles of a block, and sets of a tile within it.
-BLOCK_SETS, BLOCK_SHINGLES, TILE = 2048, 1 << 21, 256
+#: Sets and shingles of a block.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 #: Shingles of a tile that one product takes.
 COLUMNS = 1 << 14
 #: Odd factors; the top bits of a product with a scrambled shingle are its hash.
@@ -98,56 +98,28 @@ def linked(rows: np.ndarray, other: np.ndarray, at: np.ndarray, values: np.ndarr
 
 
 def compared(group: pa.Table) -> pa.Table:
-    """(a, b, others) of one block with itself or of two blocks (``own`` 0 and 1): each linked set, one of its component here, and its linked rows here."""
+    """``meet`` of one block with itself or of two blocks of sets."""
     group = group.sort_by("own").combine_chunks()
     ids, n, own = (group.column(c).to_numpy() for c in ("id", "n", "own"))
     lists = group.column("shingles").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
     values = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
     at -= at[0]
-    cut = int(np.searchsorted(own, 1))
-    tiles = [np.arange(k, min(k + TILE, stop)) for start, stop in ((0, cut), (cut, len(ids))) for k in range(start, stop, TILE)]
-    seen = [np.unique(values[at[t[0]] : at[t[-1] + 1]]) for t in tiles]
-    others, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, rows in enumerate(tiles):
-        for y in range(x, len(tiles)):
-            if cut < len(ids) and not rows[0] < cut <= tiles[y][0]:
-                continue
-            link = linked(rows, tiles[y], at, values, [seen[x], seen[y]])
-            if x == y:
-                np.fill_diagonal(link, False)
-            else:
-                others[tiles[y]] += n[rows] @ link
-            others[rows] += link @ n[tiles[y]]
-            a, b = (t[k] for t, k in zip((rows, tiles[y]), np.nonzero(link), strict=True))
-            while len(a):  # first one link of each set, then those between what is still apart
-                some = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
-                for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True):
-                    i, j = root(i), root(j)
-                    parent[max(i, j)] = min(i, j)
-                top = parent
-                while (top[top] != top).any():
-                    top = top[top]
-                apart = top[a] != top[b]
-                a, b = a[apart], b[apart]
-    found = np.flatnonzero(others)
-    return pa.table({"a": ids[found], "b": ids[[root(i) for i in found.tolist()]], "others": others[found]})
+    seen: dict[int, np.ndarray] = {}
+
+    def link_of(rows, cols):
+        for t in (rows, cols):
+            if t[0] not in seen:
+                seen[t[0]] = np.unique(values[at[t[0]] : at[t[-1] + 1]])
+        return linked(rows, cols, at, values, [seen[rows[0]], seen[cols[0]]])
+
+    return meet(ids, n, own, link_of)
 
 
 def in_clusters(hot: DataFrame) -> DataFrame:
     """``compared`` over all pairs of blocks that each cluster of ``hot`` (id, cluster, n, shingles) is dealt into."""
-    blocks = hot.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("m"))
-    dealt = hot.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"), "id", "n", "shingles")
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long, others long")
+    dealt = block_pairs(hot, ["cluster"], F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES))
+    return dealt.select("cluster", "i", "j", "own", "id", "n", "shingles").groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long, others long")
 
 
 def links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

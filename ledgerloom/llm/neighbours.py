@@ -1,41 +1,66 @@
-"""Steps that the pair operators share: bounded candidate pairs from sorted keys, and components of links."""
+"""Steps that the pair operators share: all pairs of groups block by block, and components of links."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, table
 
 
-def sorted_pairs(keyed: DataFrame, reach: int) -> DataFrame:
-    """Distinct pairs (a < b) of ``keyed`` (key, id): each id with the next ``reach`` of its key and with the key's smallest.
+#: Members of a tile within a block.
+TILE = 256
+
+
+def block_pairs(groups: DataFrame, by: list[str], m: Column) -> DataFrame:
+    """``groups`` (with id) dealt into as many blocks a group as the aggregate ``m`` says, and each block sent to every pair (i <= j) that it is in; ``own`` is 1 for the rows of j."""
+    dealt = groups.join(groups.groupBy(*by).agg(F.ceil(m).cast("int").alias("m")), by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "own": (F.col("block") > F.col("other")).cast("int")}).drop("m", "block", "other")
+
 
-    A key is dealt by range together with its ids, so a hot one spreads over tasks; no task emits a key's square.
+def meet(ids: np.ndarray, n: np.ndarray, own: np.ndarray, link_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """(a, b, others) of one block with itself or of two blocks (``own`` 0, then 1): each linked id, one of its component here, and its linked rows here.
+
+    ``link_of`` gives which members of one tile link with which of another.
     """
-    keyed = keyed.select("key", "id").distinct()
-    lowest = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = keyed.join(lowest, "key").where("id <> a").select("a", F.col("id").alias("b"))
-
-    def near(batches):
-        tail_k, tail_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            k = np.concatenate((tail_k, batch.column(0).to_numpy()))
-            i = np.concatenate((tail_i, batch.column(1).to_numpy()))
-            a, b = [], []
-            for step in range(1, reach + 1):
-                at = np.arange(max(0, len(tail_k) - step), len(k) - step)
-                at = at[(at >= 0) & (k[at] == k[at + step])] if len(at) else at
-                a.append(i[at])
-                b.append(i[at + step])
-            tail_k, tail_i = k[-reach:], i[-reach:]
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    chain = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(near, "a long, b long")
-    return star.unionByName(chain).where("a <> b").distinct()
+    cut = int(np.searchsorted(own, 1))
+    tiles = [np.arange(k, min(k + TILE, stop)) for start, stop in ((0, cut), (cut, len(ids))) for k in range(start, stop, TILE)]
+    others, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, rows in enumerate(tiles):
+        for cols in tiles[x:]:
+            if cut < len(ids) and not rows[0] < cut <= cols[0]:
+                continue
+            link = link_of(rows, cols)
+            if rows[0] == cols[0]:
+                np.fill_diagonal(link, False)
+            else:
+                others[cols] += n[rows] @ link
+            others[rows] += link @ n[cols]
+            a, b = (t[k] for t, k in zip((rows, cols), np.nonzero(link), strict=True))
+            while len(a):  # first one link of each member, then those between what is still apart
+                some = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+                for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True):
+                    i, j = root(i), root(j)
+                    parent[max(i, j)] = min(i, j)
+                top = parent
+                while (top[top] != top).any():
+                    top = top[top]
+                apart = top[a] != top[b]
+                a, b = a[apart], b[apart]
+    found = np.flatnonzero(others)
+    return pa.table({"a": ids[found], "b": ids[[root(i) for i in found.tolist()]], "others": others[found]})
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -174,6 +174,29 @@ def test_embedding_links_match_brute_force(spark):
     assert not any(got[i] for i in (200, 201, 202, 203))
 
 
+def test_embedding_links_are_whole_on_many_vectors(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", 1500)
+    random = np.random.default_rng(2)
+    base = random.normal(size=(6000, 64))
+    near = base[:300] + random.normal(size=(300, 64)) * 0.12
+    crowd = base[500] + random.normal(size=(120, 64)) * 0.1
+    v = np.float32(np.concatenate((base, near, crowd, base[:1])))
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    v = v.astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    link = v @ v.T >= 0.98
+    np.fill_diagonal(link, False)
+    low = np.arange(len(v))
+    for _ in range(5):
+        low = np.minimum(low, [low[x].min() if x.any() else len(v) for x in link])
+    assert link.sum() > 600
+    assert [got[i].n_links for i in range(len(v))] == link.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(v))] == low.tolist()
+
+
 def test_language_model_prefers_its_target(spark):
     d = docs(spark, ODD + [(40, "red green blue " * 50), (41, "one two three " * 50)])
     got = {r.doc_id: r for r in lm_score.score(d, d.where("doc_id = 40"), d).collect()}
