@@ -1,99 +1,86 @@
-"""Cross-entropy difference: target and background bigram models over one shared vocabulary."""
+"""Cross-entropy difference: target and background bigram models with exact counts of all their words."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices
+from .scratch import table
+from .words import Words, mix, slices
 
-#: Words of the shared vocabulary; rarer ones are one unknown word (number 0).
-VOCABULARY = 16_384
-#: Bins of bigram counts per model. Counts, not texts, pass through the driver, and no more than this many.
-BIGRAM_BINS = 1 << 20
 #: Weight of the bigram estimate against the unigram one, and added unigram counts.
 BIGRAM_WEIGHT, ADDED = 0.6, 1.0
+#: The previous word at a text's start; words are 64-bit hashes.
+START = np.uint64(0)
 
 
-def bigram_bin(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
+def bigrams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each bigram, its previous word and its word."""
+    h = w.hashes()
+    before = np.concatenate(([START], h[:-1])) if len(h) else h
+    before[w.first[:-1][w.counts > 0]] = START
+    return mix(mix(before) * np.uint64(3) + h), before, h
 
 
-def tokens(w: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Word numbers 1.. of the sorted hashes in ``vocabulary``, 0 for the rest."""
-    h = w.hashes().view(np.int64)
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0)
+def counted(texts: DataFrame, target: bool, background: bool) -> DataFrame:
+    """(key, before, word, nt, nb) of the bigrams of ``texts``, pre-aggregated in tasks; ``nt`` and ``nb`` are 0 for a model that doesn't count them."""
+
+    def run(batches):
+        for _, data, offsets in slices(batches, 0):
+            keys, before, word = bigrams(Words(data, offsets))
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (keys, before[at], word[at])), pa.array(n * int(target)), pa.array(n * int(background))], names=["key", "before", "word", "nt", "nb"])
+
+    return texts.select("text").mapInArrow(run, "key long, before long, word long, nt long, nb long")
 
 
-def bigrams(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Previous word (the one past the vocabulary at a text's start) and bigram bin of each word."""
-    before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-    before[w.first[:-1][w.counts > 0]] = VOCABULARY + 1
-    return before, bigram_bin(before, ids)
+def losses(counts: DataFrame) -> DataFrame:
+    """(key, target_loss, background_loss) of every bigram in ``counts``; all words and bigrams have their own counts."""
+    pairs = table(counts.groupBy("key", "before", "word").agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb")))
+    words = table(pairs.groupBy("word").agg(F.sum("nt").alias("ut"), F.sum("nb").alias("ub")))
+    contexts = pairs.groupBy("before").agg(F.sum("nt").alias("ct"), F.sum("nb").alias("cb"))
+    total = words.agg(F.sum("ut").alias("t"), F.sum("ub").alias("b"), F.count_if(F.col("ut") + F.col("ub") > 0).alias("n")).first()
+
+    def loss(pair: str, seen: str, one: str, all_: int | None) -> Column:
+        single = (F.col(one) + ADDED) / ((all_ or 0) + ADDED * (total["n"] + 1))
+        return -F.log(BIGRAM_WEIGHT * F.col(pair) / F.greatest(F.col(seen), F.lit(1)) + (1 - BIGRAM_WEIGHT) * single)
+
+    full = pairs.join(words, "word").join(contexts, "before")
+    return table(full.select("key", loss("nt", "ct", "ut", total["t"]).alias("target"), loss("nb", "cb", "ub", total["b"]).alias("background")))
 
 
 def score(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference (all nats per token).
 
-    ``target`` and ``background`` have a text column; every text counts. The vocabulary is the
-    background's commonest words, ties by hash. A text without words has losses and difference null.
-    Repeated rows are scored each. Lower differences are more like the target.
+    ``target`` and ``background`` have a text column; every text counts. The shared vocabulary is all words of
+    both, without a limit; a word of neither has count 0. A text without words has losses and difference null.
+    Repeated rows are scored each. Lower differences are more like the target. Counts are tables that each
+    text's distinct bigrams are joined to, so a hot bigram has one row a text, in a join that Spark can split.
     """
-
-    def words_of(batches):
-        for _, data, offsets in slices(batches, 0):
-            h, n = np.unique(Words(data, offsets).hashes().view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    counted = background.select("text").mapInArrow(words_of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    vocabulary = np.sort(counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toArrow().column(0).to_numpy())
-
-    def counts_of(which):
-        def run(batches):
-            both = np.zeros(VOCABULARY + 2 + BIGRAM_BINS, np.int64)
-            context = np.zeros(VOCABULARY + 2, np.int64)
-            for _, data, offsets in slices(batches, 0):
-                w = Words(data, offsets)
-                ids = tokens(w, vocabulary)
-                before, bins = bigrams(w, ids)
-                both[: VOCABULARY + 2] += np.bincount(ids, minlength=VOCABULARY + 2)
-                both[VOCABULARY + 2 :] += np.bincount(bins, minlength=BIGRAM_BINS)
-                context += np.bincount(before, minlength=VOCABULARY + 2)
-            both = np.concatenate((both, context))
-            used = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), which, np.int32)), pa.array(used), pa.array(both[used])], names=["model", "slot", "n"])
-
-        return run
-
-    parts = [df.select("text").mapInArrow(counts_of(k), "model int, slot long, n long") for k, df in enumerate((target, background))]
-    got = parts[0].unionByName(parts[1]).groupBy("model", "slot").agg(F.sum("n").alias("n")).toArrow()
-    model = np.zeros((2, 2 * (VOCABULARY + 2) + BIGRAM_BINS))
-    model[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.astype(np.float32)))
+    counts = counted(target, True, False).unionByName(counted(background, False, True))
+    model = losses(counts if docs is background else counts.unionByName(counted(docs, False, False)))
 
     def run(batches):
-        vocabulary, model = shared.value
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, 2):
             w = Words(data, offsets)
-            ids = tokens(w, vocabulary)
-            before, bins = bigrams(w, ids)
-            losses = []
-            for m in model:
-                one = m[: VOCABULARY + 2].astype(float)
-                single = (one[ids] + ADDED) / (one.sum() + ADDED * (len(vocabulary) + 1))
-                seen = m[-VOCABULARY - 2 :][before]
-                pair = np.minimum(1.0, m[VOCABULARY + 2 : -VOCABULARY - 2][bins] / np.maximum(seen, 1))
-                total = np.concatenate(([0.0], np.cumsum(-np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * single))))
-                losses.append((total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(w.counts, 1))
-            none = w.counts == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(w.counts.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+            keys, _, _ = bigrams(w)
+            out = []
+            for row, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+                own, n = np.unique(keys[a:b], return_counts=True)
+                if not len(own):  # a row without words has no bigram to find
+                    own, n = mix(np.array([row], np.uint64)), np.zeros(1, np.int64)
+                out.append((np.full(len(own), row), own, n))
+            at, own, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).cast(pa.int64()).take(at), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "doc_id", "key", "n"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = rows.mapInArrow(run, "row long, doc_id long, key long, n long").join(model, "key", "left")
+    by = found.groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target")).alias("t"), F.sum(F.col("n") * F.col("background")).alias("b"))
+    each = lambda x: F.when(F.col("n_tokens") > 0, x / F.col("n_tokens"))
+    return by.select("doc_id", "n_tokens", each(F.col("t")).alias("target_loss"), each(F.col("b")).alias("background_loss"), each(F.col("t") - F.col("b")).alias("difference"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -203,6 +203,33 @@ def test_language_model_prefers_its_target(spark):
     assert got[40].difference < got[41].difference and got[1].difference is None and got[2].n_tokens == 0
 
 
+def test_language_model_counts_every_word_and_bigram(spark):
+    import math
+    from collections import Counter
+
+    draw = random.Random(4)
+    rows = ODD + [(100 + k, " ".join(f"w{draw.randrange(40000) if draw.random() < 0.7 else draw.randrange(9)}" for _ in range(400))) for k in range(200)]
+    d, split = docs(spark, rows), [(i, words(t)) for i, t in rows]
+    own = lambda i: i is not None and i >= 100 and i % 3 == 0
+    models = []
+    for part in ([w for i, w in split if own(i)], [w for _, w in split]):
+        pair = Counter(x for w in part for x in zip([None, *w], w, strict=False))
+        models.append((pair, Counter(x for w in part for x in w), Counter(a for (a, _), n in pair.items() for _ in range(n))))
+    v = len(models[0][1] | models[1][1])
+    assert v > 16_384
+
+    def loss(w, pair, one, seen):
+        total = sum(one.values())
+        return sum(-math.log(0.6 * pair[a, b] / max(seen[a], 1) + 0.4 * (one[b] + 1) / (total + v + 1)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(d, d.where("doc_id >= 100 and doc_id % 3 = 0"), d).collect()), key=str)
+    assert len(got) == len(rows)
+    checked = {i: w for i, w in split if i in (4, 100, 102, 150)}
+    for i, n, t, b in got:
+        if i in checked:
+            assert n == len(checked[i]) and t == pytest.approx(loss(checked[i], *models[0])) and b == pytest.approx(loss(checked[i], *models[1]))
+
+
 @pytest.mark.parametrize("f", [licenses.scan, secrets.scan, line_dedup.dedup, jaccard.classes, pieces.round_trip])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
