@@ -11,29 +11,54 @@ from ledgerloom.llm.scratch import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_id, a number of the row by which the stages filter and replace rows: its doc_id if all are distinct and not null, else its place.
+
+    Places follow doc_id, rows without one last, then a hash of the row, and are written once. Exact repeats get different ones.
+    """
+    if "row_id" in docs.columns:
+        return docs
+    docs = docs.select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if repeated.isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("scan")]
+    dealt = docs.withColumn("hash", F.xxhash64("text", "lang", "source", "n_chars")).withColumn("scan", F.monotonically_increasing_id())
+    return table(dealt.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """What the operators read: the row's number is their doc_id."""
+    return docs.select(F.col("row_id").alias("doc_id"), "text", "lang", "source", "n_chars")
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't among those of ``rejected``; a row with a null doc_id stays."""
-    return docs.select(*COLUMNS).join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows of ``docs`` whose row_id isn't a doc_id of ``rejected``."""
+    return docs.join(rejected.select(F.col("doc_id").alias("row_id")), "row_id", "left_anti").select(*COLUMNS, "row_id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, toxicity.classify(docs, labels).where("predicted = 1"))
+    docs = numbered(docs)
+    return without(docs, toxicity.classify(by_row(docs), labels, docs).where("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(docs).select(F.col("doc_id").alias("k_id"), "kept_text").dropDuplicates(["k_id"])
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    docs = numbered(docs)
+    kept = line_dedup.dedup(by_row(docs)).select(F.col("doc_id").alias("row_id"), "kept_text")
+    out = docs.join(kept, "row_id")
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"), "row_id")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, jaccard.classes(docs).where("not kept"))
+    docs = numbered(docs)
+    return without(docs, jaccard.classes(by_row(docs)).where("not kept"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.decontaminate(docs, benchmark).where("contaminated"))
+    docs = numbered(docs)
+    return without(docs, decontaminate.decontaminate(by_row(docs), benchmark).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
