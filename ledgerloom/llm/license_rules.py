@@ -1,6 +1,7 @@
 """Hand-written licence signatures over normalised words (lower case, single spaces, punctuation gone).
 
-``LICENSES`` has per line: label; gate words, one of which the text must hold; signatures, strongest first.
+``LICENSES`` has per line: label; words to prefer as gates; signatures, strongest first. Each signature has its own
+gates, words of which every text that it matches holds one.
 A signature's priority is 3 for its licence's identifier tag, 2 for the first signature and 1 for the others.
 """
 
@@ -103,6 +104,12 @@ proprietary; rights proprietary confidential; all rights reserved; proprietary a
 """
 
 
+#: Words too common to be a gate where there is another.
+COMMON = set("a all an and any at be by code for free general in is later license licensed licenses may not of on open or org public software source terms that the this to under use v version with without".split())
+#: What the signatures use for some words in between.
+BETWEEN = ".{1,80}?"
+
+
 class Rule(NamedTuple):
     label: str
     gates: tuple[str, ...]
@@ -111,6 +118,42 @@ class Rule(NamedTuple):
     confidence: float
 
 
+def variants(signature: str, between: str = "") -> list[str]:
+    """All texts that a signature stands for, with ``between`` in place of words in between."""
+
+    def read(i: int) -> tuple[list[str], int]:
+        done, now = [], [""]
+        while i < len(signature) and signature[i] != ")":
+            if signature[i] == "|":
+                done, now, i = done + now, [""], i + 1
+                continue
+            if signature[i] == "(":
+                part, i = read(i + 1)
+                i += 1
+            elif signature[i] == "[":
+                stop = signature.index("]", i)
+                inside = signature[i + 1 : stop]
+                part = [chr(c) for c in range(ord(inside[0]), ord(inside[2]) + 1)] if inside[1:2] == "-" else list(inside)
+                i = stop + 1
+            elif signature.startswith(BETWEEN, i):
+                part, i = [between], i + len(BETWEEN)
+            else:
+                part, i = [signature[i]], i + 1
+            if signature[i : i + 1] == "?":
+                part, i = [*part, ""], i + 1
+            now = [x + y for x in now for y in part]
+        return done + now, i
+
+    return read(0)[0]
+
+
+def gates_of(signature: str, preferred: list[str]) -> tuple[str, ...]:
+    """For each variant of a signature one of its words: a preferred one, else one that isn't common or a number; words of most variants first, then the longest."""
+    each = [set(v.split()) for v in variants(signature)]
+    rank = lambda w: (w in preferred, w not in COMMON and not w.isdigit(), sum(w in x for x in each), len(w), w)
+    return tuple(sorted({max(x, key=rank) for x in each}))
+
+
 def rules() -> list[Rule]:
     """All signatures in their order; each licence also has its identifier tag as the strongest one."""
     out = []
@@ -119,5 +162,5 @@ def rules() -> list[Rule]:
         tag = re.sub(r"\W+", " ", label)
         out.append(Rule(label, ("spdx",), re.compile(rf"(?<!\S)spdx license identifier {tag}(?!\S)"), 3, 0.99))
         for k, s in enumerate(signatures):
-            out.append(Rule(label, tuple(gates.split()), re.compile(rf"(?<!\S)(?:{s})(?!\S)"), 2 if k == 0 else 1, 0.9 if k == 0 else 0.75))
+            out.append(Rule(label, gates_of(s, gates.split()), re.compile(rf"(?<!\S)(?:{s})(?!\S)"), 2 if k == 0 else 1, 0.9 if k == 0 else 0.75))
     return out
