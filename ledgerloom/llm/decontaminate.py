@@ -10,9 +10,11 @@ from .scratch import BROADCAST_ROWS, table
 #: Word places that a seed reads; the others may differ. A run of ``SPAN`` words has a seed of each mask.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 6, 7, 8), (0, 1, 3, 5, 6, 8))
 SPAN = 9
-#: The verified window reaches this many words to either side of a hit, within its item.
-REACH = 8
+#: An overlap is a run of at least so many words of an item, or the whole of a shorter item, that agrees in ``SIMILARITY`` of its words.
+RUN = 15
 SIMILARITY = 0.8
+#: Hits of an item whose diagonals lie this near are read together, so a few words put in or left out don't end a run.
+DRIFT = 2
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -34,37 +36,49 @@ def seeds(text: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), of), F.lit(0))
 
 
+def best_run(equal: Column) -> Column:
+    """The best share of equal words in a run that is long enough and, unless it is the whole item, begins and ends with equal words; null if none."""
+    n = F.size(equal)
+    least = F.least(n, F.lit(RUN))
+    sums = F.aggregate(equal, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def of(p: Column) -> Column:
+        ends = lambda i: (F.get(equal, i) == 1) | (n <= RUN)
+        share = lambda a: F.array_max(F.transform(F.sequence(a + least, n), lambda b: F.when(ends(b - 1), (F.get(p, b) - F.get(p, a)) / (b - a))))
+        return F.array_max(F.transform(F.sequence(F.lit(0), n - least), lambda a: F.when(ends(a), share(a))))
+
+    return F.get(F.transform(F.array(sums), of), F.lit(0))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, overlap) of windows around hits that agree in ``SIMILARITY`` of their words.
+    """(doc_id, item_id, overlap) of items of which a run around hits agrees in ``SIMILARITY`` of its words.
 
-    The words of a window stand on one diagonal, so substitutions are tolerated and insertions end it.
+    Each hit gives a diagonal, on which the whole item is laid beside the text; near diagonals count together.
     Items of fewer words than ``SPAN`` have no seed and match nothing.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("item"), F.explode(seeds(F.col("text"))).alias("s")).select("item_id", "item", F.col("s.p").alias("j"), "s.seed")
-    width = F.least(F.size("item"), F.lit(SPAN + 2 * REACH))
-    low = F.greatest(F.lit(0), F.least(F.col("j") - REACH, F.size("item") - width))
-    at = table(items.select("seed", "item_id", (low - F.col("j")).alias("ahead"), F.slice("item", low + 1, width).alias("window")))
-    small = at.select("seed", "item_id", "ahead", F.xxhash64("window").alias("w_id"))
-    if at.count() <= BROADCAST_ROWS:
+    items = table(benchmark.select(words(F.col("text")).alias("item"), "item_id", "text").withColumn("i_id", F.xxhash64("item")))
+    small = table(items.select("i_id", F.explode(seeds(F.col("text"))).alias("s")).select("i_id", F.col("s.p").alias("j"), "s.seed").distinct())
+    if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    windows = at.select(F.xxhash64("window").alias("w_id"), "window").distinct()
     d = docs.select("doc_id", F.explode(seeds(F.col("text"))).alias("s")).select("doc_id", F.col("s.p").alias("p"), "s.seed")
-    hit = d.join(small, "seed").select("doc_id", "item_id", "w_id", (F.col("p") + F.col("ahead")).alias("from")).distinct()
-    by_doc = hit.join(windows, "w_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "from", "window")).alias("hits")).withColumnRenamed("doc_id", "hit_id")
+    hit = d.join(small, "seed").select("doc_id", "i_id", (F.col("p") - F.col("j")).alias("from")).groupBy("doc_id", "i_id").agg(F.collect_set("from").alias("from"))
+    by_doc = hit.join(items.select("i_id", "item_id", "item"), "i_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "from", "item")).alias("hits")).withColumnRenamed("doc_id", "hit_id")
     full = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
 
     def matched(w: Column, h: Column) -> Column:
-        start = h["from"]
-        own = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), -start)), F.slice(w, F.greatest(start, F.lit(0)) + 1, F.size(h["window"])))
-        equal = F.zip_with(own, h["window"], lambda a, b: F.when(a == b, 1).otherwise(0))
-        return F.aggregate(equal, F.lit(0), lambda s, x: s + x) / F.size(h["window"])
+        def beside(start: Column) -> Column:
+            near = F.filter(h["from"], lambda x: F.abs(x - start) <= DRIFT)
+            equal = F.transform(h["item"], lambda word, i: F.exists(near, lambda x: F.coalesce(F.get(w, x + i) == word, F.lit(False))).cast("int"))
+            return F.get(F.transform(F.array(equal), best_run), F.lit(0))
+
+        return F.array_max(F.transform(h["from"], beside))
 
     checked = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.col("hits"), lambda h: F.struct(h["item_id"].alias("item_id"), matched(w, h).alias("overlap")))), F.lit(0))
     return full.select("doc_id", F.inline(F.filter(checked, lambda x: x["overlap"] >= SIMILARITY)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, contaminated, n_items (benchmark items overlapped), overlap (best share of equal words, else null).
+    """Per row of ``docs``: doc_id, contaminated, n_items (benchmark items overlapped), overlap (best share of equal words of a run, else null).
 
     Null and empty texts are clean. Repeated rows each appear; rows that share a doc_id share the verdict,
     and so do those with a null doc_id. Other columns are not read.

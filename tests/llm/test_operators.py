@@ -122,6 +122,17 @@ def test_decontamination_tolerates_substitutions(spark):
     assert set(got[got.contaminated].doc_id) == {20, 21}
 
 
+def test_decontamination_finds_short_quotes_and_insertions(spark):
+    words_ = [f"w{i}" for i in range(50)]
+    item, brief = " ".join(words_), " ".join(f"v{i}" for i in range(18))
+    quote = "before it " + " ".join(words_[20:35]) + " and after"
+    inserted = " ".join([*(f"v{i}" for i in range(9)), "new", *(f"v{i}" for i in range(9, 18))])
+    split = " ".join([*words_[:10], "x", *words_[10:19], "y " * 30])
+    bench = spark.createDataFrame([(1, item), (2, brief)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs(spark, ODD + [(20, quote), (21, inserted), (22, split), (23, " ".join(words_[5:15]) + " z" * 40)]), bench).toPandas()
+    assert set(got[got.contaminated].doc_id) == {20, 21, 22}
+
+
 def test_line_dedup_handles_odd_rows(spark):
     rows = ODD + [(30, "a\nb\nc\nd"), (31, "q\na\nb\nc\nd"), (32, "a\na\na\na")]
     got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, rows)).collect()}
