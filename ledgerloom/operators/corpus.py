@@ -11,18 +11,22 @@ from ..sources import scan
 SIZE, OVERLAP = 512, 50
 
 
-def chunks(spark, sf_dir: str) -> DataFrame:
-    """Pieces of 512 words that overlap by 50, with a gapless index by document, an id and a digest; row-local, no shuffle."""
-    d = scan(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+def cut(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, source, chunk_index, c): pieces of 512 words that overlap by 50, with a gapless index by document; row-local, no shuffle."""
+    d = scan(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", " ").alias("w"))
     last = F.greatest(F.ceil((F.size("w") - OVERLAP) / (SIZE - OVERLAP)) - 1, F.lit(0)).cast("int")
-    at = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * (SIZE - OVERLAP) + 1, SIZE))).alias("chunk_index", "c"))
-    return at.select("doc_id", "chunk_index", F.size("c").alias("n_words"), F.md5(F.array_join("c", " ")).alias("digest"))
+    return d.select("doc_id", "source", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * (SIZE - OVERLAP) + 1, SIZE))).alias("chunk_index", "c"))
+
+
+def chunks(spark, sf_dir: str) -> DataFrame:
+    """The pieces' sizes and digests."""
+    return cut(spark, sf_dir).select("doc_id", "chunk_index", F.size("c").alias("n_words"), F.md5(F.array_join("c", " ")).alias("digest"))
 
 
 def chunk_ids(spark, sf_dir: str) -> DataFrame:
-    """Deterministic point ids of each document's first chunk and its marker."""
-    d = scan(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.select("doc_id", uuid5_dns(F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.lit("0"))).alias("point_id"), uuid5_dns(F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.lit("_status"))).alias("marker_id"))
+    """Deterministic point ids of every chunk, and its document's marker."""
+    own = lambda last: uuid5_dns(F.concat_ws(":", "source", F.col("doc_id").cast("string"), last))
+    return cut(spark, sf_dir).select("doc_id", "chunk_index", own(F.col("chunk_index").cast("string")).alias("point_id"), own(F.lit("_status")).alias("marker_id"))
 
 
 def language_bounds(spark, sf_dir: str) -> DataFrame:

@@ -30,3 +30,14 @@ def test_matches_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_point_ids_of_every_chunk(spark):
+    import uuid
+
+    got = {(r.doc_id, r.chunk_index): (r.point_id, r.marker_id) for r in entry.queries()["c5_point_ids"](spark, DIR).collect()}
+    want = {}
+    for d in pd.read_parquet(f"{DIR}/documents.parquet").itertuples():
+        for k in range(max(1, -(-(len(d.text.split(" ")) - 50) // 462))):
+            want[d.doc_id, k] = tuple(str(uuid.uuid5(uuid.NAMESPACE_DNS, f"{d.source}:{d.doc_id}:{last}")) for last in (k, "_status"))
+    assert got == want and any(k for _, k in want)
