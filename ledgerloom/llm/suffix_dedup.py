@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes of strings of a minimum length that start more than once go.
 
-Any two equal strings of ``LENGTH`` bytes choose the same anchor, the smallest hash among their 64-byte
-grams. Anchors are counted first, so only surroundings of repeated anchors meet; within an anchor, intervals of
-a Burrows-Wheeler transform are extended backwards, breadth first, and stop at ``LENGTH``.
+Texts are dealt so that equal strings of ``LENGTH`` bytes meet: each chooses the same anchor, the smallest hash
+among its 64-byte grams, and an anchor's different surroundings lie in one block. In a block, the Burrows-Wheeler
+transform of all its strings is built, and intervals are extended backwards by single bytes, breadth first: that derives common
+prefixes by increasing value and stops at ``LENGTH``. What no interval has bounded by then starts more than once.
 """
 
 from __future__ import annotations
@@ -18,12 +19,9 @@ from .scratch import table
 from .words import _BYTE, mix, powers, slices
 
 LENGTH, GRAM = 400, 64
-#: Bytes of one letter of the transform; LENGTH is a multiple, so LENGTH / LETTER extensions reach it.
-LETTER = 40
-#: Different surroundings of an anchor that one task may take; those of commoner anchors are first split by what lies around it.
-KINDS = 512
-#: Window starts that share a core, round by round, in that split.
-WIDTHS = (42, 6, 1)
+#: Bits of a gram's place beside its hash when the smallest is chosen: a text may have 2 GB.
+PLACE_BITS = 31
+#: Bytes of one block. Surroundings of an anchor that are larger together are dealt anew by what lies next to the anchor.
 BLOCK_BYTES = 1 << 20
 #: Text that one pass over texts takes; its arrays are some hundred times as large.
 SLICE_BYTES = 1 << 19
@@ -48,7 +46,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     hashes = Hashes(data)
     gram = hashes.of(np.arange(len(data) - GRAM + 1), GRAM)
-    bits = np.uint64(max(24, len(gram).bit_length()))
+    bits = np.uint64(PLACE_BITS)
     packed = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
     blocks = -(-len(packed) // wide)
     padded = np.full(blocks * wide, np.iinfo(np.uint64).max)
@@ -85,101 +83,182 @@ def surroundings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, anchor long, nb long, low long, length int, off int")
 
 
-def repeated(data: np.ndarray, begin: np.ndarray, length: np.ndarray, group: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strings (at ``begin``, each of ``weight`` copies) and the starts in them of windows that occur at least twice in their group.
+def suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes in the order of their first ``LENGTH`` symbols or more, and each suffix's place in it.
 
-    Intervals of suffixes start as the groups. A step sorts them stably by the letters before them (the transform's
-    last-to-first mapping); where the letter or the old interval changes, a new interval begins. Intervals of
-    one occurrence end there: their common prefix is shorter than what the step looks for.
+    Prefix doubling: a round sorts the suffixes that are still equal by the places of what follows them. A round's keys
+    hold both places and the suffix, so they fit one number each if there are no more than 2**21 symbols.
     """
-    windows = length - LENGTH + 1
-    of = np.repeat(np.arange(len(begin)), windows)
-    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begin[of] + LENGTH
-    interval, hashes = group[of], Hashes(data)
-    for _ in range(LENGTH // LETTER):
-        at = at - LETTER
-        letter = hashes.of(at, LETTER)
-        order = np.argsort(letter, kind="stable")
-        at, of, letter, interval = at[order], of[order], letter[order], interval[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (letter[1:] != letter[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(new) - 1
-        if len(at):
-            more = (np.add.reduceat(weight[of], np.flatnonzero(new)) > 1)[interval]
-            at, of, interval = at[more], of[more], interval[more]
-    order = np.argsort(at)
-    return of[order], (at - begin[of])[order]
+    n = len(symbols)
+    bits, low = np.uint64(21), np.uint64((1 << 21) - 1)
+    order = np.sort((symbols.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64))
+    value, order = order >> bits, (order & low).astype(np.int64)
+    new = np.ones(n, bool)
+    new[1:] = value[1:] != value[:-1]
+    place = np.zeros(n, np.int64)
+    place[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ahead = 1
+    while ahead < LENGTH:
+        last = np.append(new[1:], True)
+        at = np.flatnonzero(~(new & last))
+        if not len(at):
+            break
+        own = order[at]
+        after = np.where(own + ahead < n, place[np.minimum(own + ahead, n - 1)] + 1, 0)
+        keys = np.sort((place[own].astype(np.uint64) << np.uint64(42)) | (after.astype(np.uint64) << bits) | own.astype(np.uint64))
+        own, keys = (keys & low).astype(np.int64), keys >> bits
+        first = np.ones(len(at), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        order[at] = own
+        new[at] = first
+        place[own] = np.maximum.accumulate(np.where(first, at, 0))
+        ahead *= 2
+    place[order] = np.arange(n)
+    return order, place
+
+
+def bounds(symbols: np.ndarray, n_ends: int, order: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each place of the order and one after the last, whether the suffixes on its two sides share less than ``LENGTH`` symbols.
+
+    The transform's last symbols are those before each suffix; going to them (``back``) extends an interval's string by one
+    symbol in front. An interval is a string; intervals of one length lie apart. Each bounds what comes after it, at its own length if no shorter
+    one did before, and only then goes on, so all values up to the minimum come in order and each boundary is met once.
+    ``symbols`` below ``n_ends`` end a string, each is another, and nothing is extended over them.
+    """
+    n = len(order)
+    before = symbols[order - 1]  # of the first suffix it is the last symbol, which ends a string
+    back = place[order - 1]
+    lead = symbols[order]
+    known = np.zeros(n + 1, bool)
+    known[n] = True
+    known[0] = True
+    known[1:n] = lead[1:] != lead[:-1]
+    begin = np.flatnonzero(known[:n])
+    stop = np.append(begin[1:], n)
+    owner = np.full(n, -1)
+    for _ in range(1, LENGTH):
+        size = stop - begin
+        inside = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        of = np.repeat(np.arange(len(size)), size)
+        alive = before[inside] >= n_ends
+        to, of = back[inside[alive]], of[alive]
+        if not len(to):
+            break
+        owner[to] = of
+        to = np.flatnonzero(owner >= 0) if len(to) > n >> 5 else np.sort(to)
+        of = owner[to]
+        owner[to] = -1
+        new = np.ones(len(to), bool)
+        new[1:] = (np.diff(to) != 1) | (of[1:] != of[:-1]) | (lead[to[1:]] != lead[to[:-1]])
+        begin = to[new]
+        stop = to[np.append(np.flatnonzero(new)[1:] - 1, len(to) - 1)] + 1
+        fresh = ~known[stop]
+        begin, stop = begin[fresh], stop[fresh]
+        known[stop] = True
+    return known
+
+
+def repeated(strings: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String numbers and starts in them of the windows of ``LENGTH`` bytes that start more than once in all ``strings``, each of ``weight`` copies."""
+    sizes = np.array([len(x) for x in strings])
+    ends = np.cumsum(sizes + 1) - 1
+    symbols = np.zeros(int(ends[-1]) + 1, np.int64)
+    inner = np.ones(len(symbols), bool)
+    inner[ends] = False
+    symbols[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + len(strings)
+    symbols[ends] = np.arange(len(strings))
+    order, place = suffixes(symbols)
+    known = bounds(symbols, len(strings), order, place)
+    more = np.zeros(len(symbols), bool)
+    more[order[~known[:-1] | ~known[1:]]] = True
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    many = weight > 1
+    whole = np.where(many, sizes - LENGTH + 1, 0)
+    at = np.repeat(begin - np.cumsum(whole) + whole, whole) + np.arange(whole.sum())
+    more[at] = True
+    at = np.flatnonzero(more)
+    of = np.searchsorted(ends, at)
+    return of, at - begin[of]
 
 
 def expand(batches):
-    """Ranges of repeated windows of (anchor, nb, n, bytes) rows that come sorted by anchor and nb; whole anchors by blocks."""
-    held: list[tuple[int, int, int, bytes]] = []
+    """Ranges of repeated windows of (level, anchor, part, nb, n, bytes) rows that come sorted by all but the last two; whole parts of anchors by blocks."""
+    held: list[tuple] = []
 
     def flush():
-        size = np.array([len(x[3]) for x in held])
-        group = np.array([x[0] for x in held])
-        group = np.concatenate(([0], np.cumsum(group[1:] != group[:-1])))
-        of, at = repeated(np.frombuffer(b"".join(x[3] for x in held), np.uint8), np.cumsum(size) - size, size, group, np.array([x[2] for x in held]))
+        of, at = repeated([x[5] for x in held], np.array([x[4] for x in held]))
         new = np.ones(len(at), bool)
         new[1:] = (of[1:] != of[:-1]) | (np.diff(at) != 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:] - 1, len(at) - 1) if len(at) else first
-        own = of[first]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([held[k][0] for k in own], pa.int64()), pa.array([held[k][1] for k in own], pa.int64()), pa.array(at[first], pa.int64()), pa.array(at[last] + LENGTH, pa.int64())], names=["anchor", "nb", "a", "b"]
-        )
+        own = of[first].tolist()
+        columns = [pa.array([held[k][c] for k in own], kind) for c, kind in ((0, pa.int32()), (1, pa.int64()), (3, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(at[first]), pa.array(at[last] + LENGTH)], names=["level", "anchor", "nb", "a", "b"])
 
     total = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:2] == held[-1][:2]:
+            if held and row[:4] == held[-1][:4]:
                 continue  # a repeated row of the table
-            if total > BLOCK_BYTES and row[0] != held[-1][0]:
+            if held and total + len(row[5]) > BLOCK_BYTES and row[:3] != held[-1][:3]:
                 yield flush()
                 held.clear()
                 total = 0
             held.append(row)
-            total += len(row[3])
+            total += len(row[5]) + 1
     if held:
         yield flush()
 
 
-def cores(width: int):
-    """Splits strings around an anchor into runs of up to ``width`` window starts, by their distance before the anchor.
+def halves(batches):
+    """Splits (anchor, part, nb, n, off, bytes, width) rows by how far before the anchor a window starts, into ranges of half the width.
 
-    All windows of a run share its core, so a run whose core is nowhere else has no repeated window.
+    All windows of a range hold the same bytes next to the anchor, and these name its part; ``own`` names the bytes of a part, ``a`` is where they begin.
     """
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for anchor, nb, n, a, off, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                last = len(own) - LENGTH
-                for c in range((off - last) // width, off // width + 1):
-                    start, stop = max(0, off - (c + 1) * width + 1), min(last, off - c * width)
-                    string = own[start : stop + LENGTH]
-                    core = own[off - c * width : off - (c + 1) * width + 1 + LENGTH]
-                    name = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (core, string)]
-                    out.append((anchor, nb, n, a + start, off - start, string, *name))
-            kinds = (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["anchor", "nb", "n", "a", "off", "bytes", "core", "own"])
-
-    return run
-
-
-def refine(hot: DataFrame) -> list[DataFrame]:
-    """(anchor, nb, a, b) of the repeated windows of ``hot`` (anchor, nb, n, a, off, bytes), however many share an anchor.
-
-    Each round splits what is undecided into shorter runs: those with a core of one place have none, those
-    whose strings are all equal are repeated as a whole. The last runs are single windows.
+    for batch in batches:
+        out = []
+        for anchor, part, nb, n, off, string, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            wide, last = -(-width // 2), len(string) - LENGTH
+            for k in range((off - last) // wide, off // wide + 1):
+                start, stop = max(0, off - (k + 1) * wide + 1), min(last, off - k * wide)
+                core, own = string[off - k * wide : off - (k + 1) * wide + 1 + LENGTH], string[start : stop + LENGTH]
+                name = [int.from_bytes(hashlib.blake2b(x + b"%d %d %d" % (k, wide, part), digest_size=8).digest(), "little", signed=True) for x in (core, own)]
+                out.append((anchor, name[0], nb, n, off - start, own, wide, name[1], start))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["anchor", "part", "nb", "n", "off", "bytes", "width", "own", "a"])
+
+
+def ranges(pieces: DataFrame) -> DataFrame:
+    """(anchor, nb, a, b): repeated windows of ``pieces`` (anchor, nb, n, off, bytes), the different surroundings of each anchor.
+
+    An anchor whose surroundings don't fit a block is dealt anew in parts by :func:`halves`, equal strings of a part become one, and
+    parts that still don't fit are split again: at the latest, a part is one string of one window. Ranges found in parts are
+    then read back as ranges of what they were split from.
     """
-    out = []
-    for width in WIDTHS:
-        each = table(hot.mapInArrow(cores(width), "anchor long, nb long, n long, a long, off long, bytes binary, core long, own long"))
-        shared = each.groupBy("anchor", "core").agg(F.sum("n").alias("places"), (F.min("own") == F.max("own")).alias("equal")).where("places > 1").drop("places")
-        each = each.join(shared, ["anchor", "core"])
-        out.append(each.where("equal").select("anchor", "nb", "a", (F.col("a") + F.length("bytes")).alias("b")))
-        hot = each.where("not equal").select("anchor", "nb", "n", "a", "off", "bytes")
+    columns = ["anchor", "part", "nb", "n", "off", "bytes", "width"]
+    now = pieces.withColumns({"part": F.lit(0).cast("long"), "off": F.col("off").cast("long"), "width": F.lit(LENGTH - GRAM + 1)}).select(*columns)
+    ready, members = [], []
+    while True:
+        size = now.groupBy("anchor", "part").agg(F.sum(F.length("bytes") + 1).alias("total"), F.max("width").alias("widest"))
+        large = table(size.where((F.col("total") > BLOCK_BYTES) & (F.col("widest") > 1)).select("anchor", "part"))
+        ready.append(now.join(large, ["anchor", "part"], "left_anti").withColumn("level", F.lit(len(members))))
+        if large.isEmpty():
+            break
+        split = now.join(large, ["anchor", "part"], "left_semi").select(*columns)
+        members.append(table(split.mapInArrow(halves, "anchor long, part long, nb long, n long, off long, bytes binary, width int, own long, a long")))
+        first = [F.first(c).alias(c) for c in ("off", "bytes", "width")]
+        now = table(members[-1].groupBy("anchor", "part", "own").agg(F.sum("n").alias("n"), *first).withColumnRenamed("own", "nb")).select(*columns)
+    rows = ready[0]
+    for part in ready[1:]:
+        rows = rows.unionByName(part)
+    by = ["level", "anchor", "part", "nb"]
+    dealt = rows.select(*by, "n", "bytes").repartition("level", "anchor", "part").sortWithinPartitions(*by)
+    found = table(dealt.mapInArrow(expand, "level int, anchor long, nb long, a long, b long"))
+    out = found.where(F.col("level") == len(members)).drop("level")
+    for level in reversed(range(len(members))):
+        within = members[level].select("anchor", "own", F.col("nb").alias("whole"), F.col("a").alias("start"))
+        back = out.withColumnRenamed("nb", "own").join(within, ["anchor", "own"]).select("anchor", F.col("whole").alias("nb"), (F.col("a") + F.col("start")).alias("a"), (F.col("b") + F.col("start")).alias("b"))
+        out = back.unionByName(found.where(F.col("level") == level).drop("level"))
     return out
 
 
@@ -189,28 +268,21 @@ def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     counts = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("places")).where("places > 1")
     live = table(kinds.join(counts, "anchor"))
     whole = live.where("kinds = 1").select("anchor", "nb", F.lit(0).cast("long").alias("a"), F.col("length").cast("long").alias("b"))
-    many = live.where("kinds > 1").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.key").alias("r_key"), F.struct("anchor", "nb", "n", "kinds", "off", F.col("rep.low").alias("low"), "length").alias("s"))
+    many = live.where("kinds > 1").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.key").alias("r_key"), F.struct("anchor", "nb", "n", "off", F.col("rep.low").alias("low"), "length").alias("s"))
     many = many.groupBy("r_id", "r_key").agg(F.collect_list("s").alias("s"))
     cut = docs.join(many, (F.col("key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     cut = cut.withColumn("bytes", F.encode("text", "UTF-8"))
-    piece = lambda s: F.struct(s["anchor"].alias("anchor"), s["nb"].alias("nb"), s["n"].alias("n"), s["kinds"].alias("kinds"), s["off"].alias("off"), F.substring(F.col("bytes"), s["low"].cast("int") + 1, s["length"]).alias("bytes"))
+    piece = lambda s: F.struct(s["anchor"].alias("anchor"), s["nb"].alias("nb"), s["n"].alias("n"), s["off"].alias("off"), F.substring(F.col("bytes"), s["low"].cast("int") + 1, s["length"]).alias("bytes"))
     pieces = table(cut.select(F.explode(F.transform("s", piece)).alias("p")).select("p.*"))
-    columns = ["anchor", "nb", "n", "bytes"]
-    dealt = pieces.where(F.col("kinds") <= KINDS).select(*columns).repartition("anchor").sortWithinPartitions("anchor", "nb")
-    few = dealt.mapInArrow(expand, "anchor long, nb long, a long, b long")
-    hot = pieces.where(F.col("kinds") > KINDS).dropDuplicates(["anchor", "nb"]).select("anchor", "nb", "n", F.lit(0).cast("long").alias("a"), "off", "bytes")
-    out = whole.unionByName(few)
-    for part in refine(hot):
-        out = out.unionByName(part)
-    return table(out)
+    return table(whole.unionByName(ranges(pieces)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (doc_id, key, text) with ``ranges``, an array of (start, end) bytes to remove, null where none; may overlap."""
     found = table(surroundings(docs))
-    ranges = found.join(marks(docs, found), ["anchor", "nb"]).select("doc_id", "key", F.struct((F.col("low") + F.col("a")).alias("start"), (F.col("low") + F.col("b")).alias("end")).alias("r"))
-    ranges = ranges.groupBy("doc_id", "key").agg(F.collect_set("r").alias("ranges")).select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "ranges")
-    joined = docs.join(ranges, (F.col("key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
+    gone = found.join(marks(docs, found), ["anchor", "nb"]).select("doc_id", "key", F.struct((F.col("low") + F.col("a")).alias("start"), (F.col("low") + F.col("b")).alias("end")).alias("r"))
+    gone = gone.groupBy("doc_id", "key").agg(F.collect_set("r").alias("ranges")).select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "ranges")
+    joined = docs.join(gone, (F.col("key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
     return joined.select("doc_id", "text", "ranges")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, embed_dedup, jaccard, licenses, line_dedup, lm_score, pieces, secrets, suffix_dedup, toxicity
 
@@ -223,36 +224,45 @@ def test_embedding_links_are_whole_on_many_vectors(spark, monkeypatch):
 
 
 def test_language_model_prefers_its_target(spark):
-    d = docs(spark, ODD + [(40, "red green blue " * 50), (41, "one two three " * 50)])
-    got = {r.doc_id: r for r in lm_score.score(d, d.where("doc_id = 40"), d).collect()}
-    assert got[40].difference < got[41].difference and got[1].difference is None and got[2].n_tokens == 0
+    d = docs(spark, ODD + [(40, "red green blue " * 50), (41, "one two three " * 50), (42, "red green blue " * 40)])
+    got = {r.doc_id: r for r in lm_score.score(d, F.col("doc_id") == 40).collect()}
+    assert got[42].difference < got[41].difference and got[1].difference is None and got[2].n_tokens == 0
+    assert lm_score.score(docs(spark, []), F.col("doc_id") == 40).count() == 0
 
 
-def test_language_model_counts_every_word_and_bigram(spark):
+def test_language_model_counts_match_brute_force(spark, monkeypatch):
     import math
     from collections import Counter
 
+    monkeypatch.setattr(lm_score, "SAMPLE", 60)
     draw = random.Random(4)
     rows = ODD + [(100 + k, " ".join(f"w{draw.randrange(40000) if draw.random() < 0.7 else draw.randrange(9)}" for _ in range(400))) for k in range(200)]
+    rows += [rows[-1]] * 3 + [(None, rows[-2][1])]
     d, split = docs(spark, rows), [(i, words(t)) for i, t in rows]
+    v = len({x for _, w in split for x in w})
+    assert v > 16_384
     own = lambda i: i is not None and i >= 100 and i % 3 == 0
     models = []
     for part in ([w for i, w in split if own(i)], [w for _, w in split]):
-        pair = Counter(x for w in part for x in zip([None, *w], w, strict=False))
-        models.append((pair, Counter(x for w in part for x in w), Counter(a for (a, _), n in pair.items() for _ in range(n))))
-    v = len(models[0][1] | models[1][1])
-    assert v > 16_384
+        models.append((Counter(x for w in part for x in zip([None, *w], w, strict=False)), Counter(x for w in part for x in [None, *w][: len(w)])))
 
-    def loss(w, pair, one, seen):
-        total = sum(one.values())
-        return sum(-math.log(0.6 * pair[a, b] / max(seen[a], 1) + 0.4 * (one[b] + 1) / (total + v + 1)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+    def loss(w, model, inside):
+        pair, seen = Counter(zip([None, *w], w, strict=False)), Counter([None, *w][: len(w)])
+        left = lambda x, total, mine: total[x] - inside * mine[x]
+        return sum(-math.log((left((a, b), model[0], pair) + lm_score.ADDED) / (left(a, model[1], seen) + lm_score.ADDED * v)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+
+    monkeypatch.setattr(lm_score, "vocabulary", lambda _: v)
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(d, F.expr("doc_id >= 100 and doc_id % 3 = 0")).collect()), key=str)
+    want = sorted(((i, len(w), loss(w, models[0], own(i)) if w else None, loss(w, models[1], True) if w else None) for i, w in split), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for x, y in zip(got, want, strict=True):
+        assert x[2:] == pytest.approx(y[2:]) if x[2] is not None else y[2] is None
 
-    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(d, d.where("doc_id >= 100 and doc_id % 3 = 0"), d).collect()), key=str)
-    assert len(got) == len(rows)
-    checked = {i: w for i, w in split if i in (4, 100, 102, 150)}
-    for i, n, t, b in got:
-        if i in checked:
-            assert n == len(checked[i]) and t == pytest.approx(loss(checked[i], *models[0])) and b == pytest.approx(loss(checked[i], *models[1]))
+
+def test_language_model_vocabulary_is_near(spark):
+    d = documents(spark)
+    want = len({x for r in d.collect() for x in words(r.text)})
+    assert abs(lm_score.vocabulary(d) - want) < 0.04 * want
 
 
 @pytest.mark.parametrize("f", [licenses.scan, secrets.scan, line_dedup.dedup, jaccard.classes, pieces.round_trip])
@@ -274,9 +284,9 @@ def without_repeats(texts, n):
         yield len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(t, gone, strict=True) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("kinds", [512, 1])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, kinds):
-    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+@pytest.mark.parametrize("block", [1 << 20, 900])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     draw = random.Random(3)
     fresh = lambda n: "".join(draw.choice("abcd é") for _ in range(n))
     passage, exact = fresh(700), fresh(380)
@@ -287,5 +297,21 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, kinds):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_intervals_give_the_common_prefixes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LENGTH", 5)
+    draw = random.Random(6)
+    for _ in range(60):
+        strings = ["".join(draw.choice("ab") for _ in range(draw.randrange(5, 30))).encode() for _ in range(draw.randrange(1, 8))]
+        weight = [draw.choice([1, 1, 1, 2]) for _ in strings]
+        seen = {}
+        for s, n in zip(strings, weight, strict=True):
+            for i in range(len(s) - 4):
+                seen[s[i : i + 5]] = seen.get(s[i : i + 5], 0) + n
+        want = [(k, i) for k, s in enumerate(strings) for i in range(len(s) - 4) if seen[s[i : i + 5]] > 1]
+        import numpy as np
+
+        assert list(zip(*(x.tolist() for x in suffix_dedup.repeated(strings, np.array(weight))), strict=True)) == want
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.digest(docs(spark, [])).count() == 0
