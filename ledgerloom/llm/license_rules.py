@@ -23,7 +23,7 @@ lgpl; lesser library lgpl; (gnu )?(lesser|library) general public license; gnu l
 lgpl-2.1; lesser lgpl lgplv2; lesser general public license (version |v)2 1; lgpl ?v?2 1; licenses lgpl 2 1
 lgpl-3.0; lesser lgpl lgplv3; lesser general public license (version |v)3( 0)?; lgpl ?v?3( 0)?; licenses lgpl 3 0
 agpl-3.0; affero agpl agplv3; affero general public license( (version |v)?3( 0)?)?; agpl ?v?3( 0)?; licenses agpl 3 0; gnu agpl
-gfdl; gfdl documentation; gnu free documentation license; gfdl (1 [123])?; licenses fdl
+gfdl; gfdl documentation; gnu free documentation license; gfdl( 1 [123])?; licenses fdl
 bsd; bsd redistribution; bsd license; licensed under (the |a )?bsd; bsd style license; redistribution and use in source and binary forms with or without modification are permitted
 bsd-2-clause; bsd freebsd simplified; bsd 2 clause; (2|two) clause bsd; simplified bsd license; freebsd license
 bsd-3-clause; bsd revised neither; bsd 3 clause; (3|three) clause bsd; (new|revised|modified) bsd license; neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote
@@ -44,7 +44,7 @@ wtfpl; wtfpl fuck; do what the fuck you want to public license; wtfpl( version 2
 zlib; zlib; zlib license; zlib libpng license; licensed under (the )?zlib
 libpng; libpng; libpng license; png reference library license
 boost; boost bsl; boost software license( (version )?1 0)?; bsl 1 0; boost org license 1 0
-cc0-1.0; cc0 dedication; cc0 (1 0)?; creative commons zero; public domain dedication; creativecommons org publicdomain zero 1 0
+cc0-1.0; cc0 dedication; cc0( 1 0)?; creative commons zero; public domain dedication; creativecommons org publicdomain zero 1 0
 cc-by; creative creativecommons cc; creative commons attribution( license)?; cc by( [1-4] [05])?; creativecommons org licenses by( [1-4] [05])?; licensed under (a )?creative commons
 cc-by-sa; creative creativecommons cc; creative commons attribution share ?alike; cc by sa; creativecommons org licenses by sa
 cc-by-nd; creative creativecommons cc; creative commons attribution no ?deriv(ative)?s?; cc by nd; creativecommons org licenses by nd
