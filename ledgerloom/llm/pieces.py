@@ -1,4 +1,4 @@
-"""SentencePiece unigram encoding: Viterbi over a double-array trie of scored pieces, byte fallback, decoding."""
+"""SentencePiece unigram encoding: Viterbi over a double-array trie of pieces with log scores, byte fallback, decoding."""
 
 from __future__ import annotations
 
@@ -15,9 +15,14 @@ from .words import slices
 
 #: Vocabulary of a public tokenizer; a parameter of every function here.
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+MARKER = b"\xe2\x96\x81"
 #: Spaces and the word after them.
 RUN = re.compile(rb" +[^ ]*")
 UNKNOWN_PENALTY = 10.0
+#: Bytes of a word that is worth cutting.
+LONG_WORD = 48
+#: A merge-rank vocabulary lists its pieces by how often they were merged. Their log scores follow the Zipf-Mandelbrot law with this shift.
+ZIPF_SHIFT = 2.7
 #: Words that one task remembers between slices, at most; more are encoded again.
 REMEMBERED = 400_000
 
@@ -55,8 +60,23 @@ def fields(b: bytes):
             i += n
 
 
+def log_scores(scores: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The file's scores, if they are logarithms of chances; scores that are merge ranks become the logarithms of 1 / (rank + shift), scaled to sum to 1.
+
+    Ranks are whole numbers of which the chances' sum would not be near 1. Nothing is trained: the order of the pieces is the file's.
+    """
+    normal = kinds == 1
+    if not normal.any() or 0.5 < np.exp(scores[normal]).sum() < 2 and (scores[normal] % 1).any():
+        return scores
+    rank = np.empty(int(normal.sum()))
+    rank[np.argsort(-scores[normal], kind="stable")] = np.arange(1, normal.sum() + 1)
+    out = scores.copy()
+    out[normal] = -np.log(rank + ZIPF_SHIFT) - np.log((1 / (rank + ZIPF_SHIFT)).sum())
+    return np.float64(np.float32(out))
+
+
 def load(path: str = MODEL_PATH) -> Pieces:
-    """Pieces (text, score, kind: 1 normal, 2 unknown, 3 control, 4 own, 6 byte) of a .model file."""
+    """Pieces (text, log score, kind: 1 normal, 2 unknown, 3 control, 4 own, 6 byte) of a .model file."""
     texts, scores, kinds = [], [], []
     with open(path, "rb") as f:
         for number, value in fields(f.read()):
@@ -65,7 +85,11 @@ def load(path: str = MODEL_PATH) -> Pieces:
                 texts.append(piece[1])
                 scores.append(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0])
                 kinds.append(piece.get(3, 1))
-    return Pieces(texts, np.array(scores, np.float64), np.array(kinds))
+    kinds = np.array(kinds)
+    inner = [t for t, k in zip(texts, kinds.tolist(), strict=True) if k in (1, 4) and MARKER in t.lstrip(MARKER)]
+    if inner:
+        raise ValueError(f"texts are split at spaces, but these pieces hold the marker after other characters: {inner[:5]}")
+    return Pieces(texts, log_scores(np.array(scores, np.float64), kinds), kinds)
 
 
 class Trie:
@@ -123,6 +147,11 @@ class Encoder:
             self.byte[int(self.pieces.texts[k][3:5], 16)] = k
         self.unknown_score = self.pieces.scores[self.pieces.kinds == 1].min() - UNKNOWN_PENALTY
         self.memory: dict[bytes, np.ndarray] = {}
+        #: Bytes that stand side by side in some piece.
+        self.beside = np.zeros((256, 256), bool)
+        for k in np.flatnonzero(np.isin(self.pieces.kinds, (1, 4))):
+            own = np.frombuffer(self.pieces.texts[k], np.uint8)
+            self.beside[own[:-1], own[1:]] = True
 
     def words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of many words at once: one Viterbi step per start byte runs over all words that are that long."""
@@ -178,12 +207,20 @@ class Encoder:
             out[k] = np.array(ids[::-1], np.int32)
         return out
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """A long word's parts: cut between characters that stand side by side in no piece, so its best path is that of its parts."""
+        if len(word) <= LONG_WORD:
+            return [word]
+        own = np.frombuffer(word, np.uint8)
+        at = (np.flatnonzero(~self.beside[own[:-1], own[1:]] & ((own[1:] & 0xC0) != 0x80)) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
+
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts. Each space becomes the marker, one more stands first; no piece of the model has a
-        marker after another character, so the best path of a text is that of each run of markers and its word."""
+        marker after another character (:func:`load` checks it), so the best path of a text is that of each run of markers and its word."""
         split = []
         for x in texts:
-            split.append([w.replace(b" ", b"\xe2\x96\x81") for w in RUN.findall(b" " + x)] if x else [])
+            split.append([part for w in RUN.findall(b" " + x) for part in self.cut(w.replace(b" ", MARKER))] if x else [])
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.memory))
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory = {}
@@ -194,14 +231,15 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of the ids: byte pieces are bytes, markers are spaces, and the first marker goes."""
         t, k = self.pieces.texts, self.pieces.kinds
-        out = b"".join(bytes([int(t[i][3:5], 16)]) if k[i] == 6 else b" \xe2\x81\x87 " if k[i] == 2 else b"" if k[i] == 3 else t[i].replace(b"\xe2\x96\x81", b" ") for i in ids.tolist())
+        out = b"".join(bytes([int(t[i][3:5], 16)]) if k[i] == 6 else b" \xe2\x81\x87 " if k[i] == 2 else b"" if k[i] == 3 else t[i].replace(MARKER, b" ") for i in ids.tolist())
         return out.removeprefix(b" ")
 
 
 def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """doc_id and ids array<int> of each row's whole text, unchanged but for spaces as markers.
 
-    Null gives null, the empty text no ids. A text that itself holds the marker decodes with a space there.
+    Null gives null, the empty text no ids. Of paths with equal scores the one whose last pieces begin first stays. Repeated rows are encoded
+    each. A text that itself holds the marker decodes with a space there. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches):
@@ -230,7 +268,11 @@ def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """Per row: doc_id, n_pieces, ids_sha256 (of the ids joined by spaces), restored (decoding gives the text back)."""
+    """Per row: doc_id, n_pieces, ids_sha256 (of the ids joined by spaces), restored (decoding gives the text back).
+
+    A null text is treated as an empty one: no pieces, restored. Ties, repeated rows and other columns as in :func:`encode`. Restored is false
+    where a text holds the marker itself.
+    """
 
     def run(batches):
         encoder = Encoder(path)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,53 @@ def test_pieces_are_the_best_path_and_round_trip(spark):
     assert again.restored.all()
 
 
+def as_unigram(model):
+    """The model file as one of the unigram kind with our log scores, for the public library."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(k, v):
+        return number(k << 3) + number(v) if isinstance(v, int) else number(k << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else number(k << 3 | 2) + number(len(v)) + v
+
+    with open(pieces.MODEL_PATH, "rb") as f:
+        raw, out, k = list(pieces.fields(f.read())), b"", 0
+    for name, value in raw:
+        if name == 1:
+            value = field(1, model.texts[k]) + field(2, float(model.scores[k])) + field(3, int(model.kinds[k]))
+            k += 1
+        elif name == 2:
+            value = field(3, 1) + field(35, 1)
+        out += field(name, value)
+    return out
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    model, encoder = pieces.load(), pieces.Encoder()
+    library = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(model))
+    texts = [r.text for r in documents(spark).limit(400).collect()] + ["x", "é ☃ 𝔘", "a  b   c", "\n\n tab\t"]
+    same = 0
+    for text in texts:
+        own, other = encoder.texts([text.encode()])[0].tolist(), library.encode(text)
+        score = lambda ids: sum(model.scores[i] if model.kinds[i] != 6 else 0.0 for i in ids)
+        same += own == other
+        assert score(own) >= score(other) - 1e-3 or 6 in model.kinds[other]
+    assert same > 0.98 * len(texts)
+
+
+def test_long_words_are_cut_without_a_change(monkeypatch):
+    encoder, text = pieces.Encoder(), ("含梦 the" + "含梦是不x9Qz/+aé" * 40 + "\n{}" * 90).encode()
+    own = encoder.texts([text])[0].tolist()
+    monkeypatch.setattr(pieces, "LONG_WORD", 1 << 30)
+    assert pieces.Encoder().texts([text])[0].tolist() == own
+    assert len(encoder.texts([("ab是" * 100_000).encode()])[0]) > 100_000
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = " ".join(f"w{i}" for i in range(30))
     changed = " ".join("zz" if i % 9 == 4 else f"W{i}" for i in range(30))
