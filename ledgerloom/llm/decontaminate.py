@@ -10,6 +10,8 @@ from .scratch import BROADCAST_ROWS, table
 #: Word places that a seed reads; the others may differ. A run of ``SPAN`` words has a seed of each mask.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 6, 7, 8), (0, 1, 3, 5, 6, 8))
 SPAN = 9
+#: Words of the shortest item that is looked for.
+SHORTEST = 3
 #: An overlap is a run of at least so many words of an item, or the whole of a shorter item, that agrees in ``SIMILARITY`` of its words.
 RUN = 15
 SIMILARITY = 0.8
@@ -23,15 +25,22 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def seeds(text: Column) -> Column:
-    """Structs (p, seed) of every place and mask of a text's words; none under ``SPAN`` words.
+def seeds(text: Column, lengths: list[int], whole: bool) -> Column:
+    """Structs (p, seed) of every place and mask of a text's words, and of every run of each of ``lengths`` words; if ``whole``, of that run alone that is the text.
 
     The words are bound by a lambda, so they are split and hashed once for the text.
     """
+    run = lambda h, n: lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(-n), *(F.get(h, p + i) for i in range(n))).alias("seed"))
 
     def of(h: Column) -> Column:
-        places = F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(places, lambda p: F.array(*(F.struct(p.alias("p"), F.xxhash64(F.lit(k), *(F.get(h, p + i) for i in mask)).alias("seed")) for k, mask in enumerate(MASKS)))))
+        nothing = F.array().cast("array<int>")
+        places = lambda n: F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(nothing)
+        spaced = F.flatten(F.transform(places(SPAN), lambda p: F.array(*(F.struct(p.alias("p"), F.xxhash64(F.lit(k), *(F.get(h, p + i) for i in mask)).alias("seed")) for k, mask in enumerate(MASKS)))))
+        if whole:
+            short = [F.transform(F.when(F.size(h) == n, F.array(F.lit(0))).otherwise(nothing), run(h, n)) for n in lengths]
+        else:
+            short = [F.transform(places(n), run(h, n)) for n in lengths]
+        return F.concat(spaced, *short) if short else spaced
 
     return F.get(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), of), F.lit(0))
 
@@ -54,13 +63,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap) of items of which a run around hits agrees in ``SIMILARITY`` of its words.
 
     Each hit gives a diagonal, on which the whole item is laid beside the text; near diagonals count together.
-    Items of fewer words than ``SPAN`` have no seed and match nothing.
+    Items of fewer words than ``SPAN`` have no spaced seed: those of at least ``SHORTEST`` words are found by the hash of all their words, shorter
+    ones match nothing, since such words stand in clean texts too.
     """
     items = table(benchmark.select(words(F.col("text")).alias("item"), "item_id", "text").withColumn("i_id", F.xxhash64("item")))
-    small = table(items.select("i_id", F.explode(seeds(F.col("text"))).alias("s")).select("i_id", F.col("s.p").alias("j"), "s.seed").distinct())
+    lengths = sorted(r[0] for r in items.select(F.size("item")).distinct().where(F.size("item").between(SHORTEST, SPAN - 1)).collect())
+    small = table(items.select("i_id", F.explode(seeds(F.col("text"), lengths, True)).alias("s")).select("i_id", F.col("s.p").alias("j"), "s.seed").distinct())
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    d = docs.select("doc_id", F.explode(seeds(F.col("text"))).alias("s")).select("doc_id", F.col("s.p").alias("p"), "s.seed")
+    d = docs.select("doc_id", F.explode(seeds(F.col("text"), lengths, False)).alias("s")).select("doc_id", F.col("s.p").alias("p"), "s.seed")
     hit = d.join(small, "seed").select("doc_id", "i_id", (F.col("p") - F.col("j")).alias("from")).groupBy("doc_id", "i_id").agg(F.collect_set("from").alias("from"))
     by_doc = hit.join(items.select("i_id", "item_id", "item"), "i_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "from", "item")).alias("hits")).withColumnRenamed("doc_id", "hit_id")
     full = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))

@@ -182,6 +182,15 @@ def test_decontamination_finds_short_quotes_and_insertions(spark):
     assert set(got[got.contaminated].doc_id) == {20, 21, 22}
 
 
+def test_decontamination_finds_short_items(spark):
+    bench = spark.createDataFrame([(1, "what does the quick fox jump over"), (2, "two words"), (3, "is it so"), (4, "")], "item_id long, text string")
+    rows = ODD + [(20, "he asked: What does the quick fox jump over?"), (21, "what does the quick dog jump over"), (22, "two words"), (23, "and is it so that"), (24, "is it, hmm, so")]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {20, 23}
+    assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
+    assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
+
+
 def test_line_dedup_handles_odd_rows(spark):
     rows = ODD + [(30, "a\nb\nc\nd"), (31, "q\na\nb\nc\nd"), (32, "a\na\na\na")]
     got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, rows)).collect()}
