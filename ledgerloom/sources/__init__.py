@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,10 @@ def auto_typed(cell: Column) -> dict[str, Column]:
     flag = F.when(F.lower(cell).isin("true", "false"), F.lower(cell) == "true")
     number = F.when(flag.isNull(), cell.try_cast("double"))
     return {"as_bool": F.when(~blank, flag), "as_double": F.when(~blank, number), "as_string": F.when(~blank & flag.isNull() & number.isNull(), cell)}
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A query over some of the tables, which it names by themselves."""
+    for name in names:
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **{name: scan(spark, sf_dir, name) for name in names})
