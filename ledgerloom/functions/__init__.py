@@ -43,3 +43,7 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+def contains_cjk(text: Column) -> Column:
+    return text.rlike("[\\u4e00-\\u9fff\\u3400-\\u4dbf]")

@@ -11,26 +11,6 @@ from .retrieval import RANKED, ranked
 FLOOR = 50.0
 
 
-def average_precision(hits: Column, n_expected: Column) -> Column:
-    """Mean over expected entries of (hits so far / rank) at each hit; ``hits`` is an array of booleans by rank.
-
-    Null or empty hits, or nothing expected, give 0.
-    """
-    step = lambda s, hit: F.struct((s["rank"] + 1).alias("rank"), (s["n"] + hit.cast("int")).alias("n"), (s["total"] + F.when(hit, (s["n"] + 1) / (s["rank"] + 1)).otherwise(0.0)).alias("total"))
-    start = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
-    total = F.aggregate(F.coalesce(hits, F.array().cast("array<boolean>")), start, step, lambda s: s["total"])
-    return F.when(n_expected > 0, total / n_expected).otherwise(0.0)
-
-
-def precision_by_query(spark, sf_dir: str) -> DataFrame:
-    """Average precision and recall at 5 and 10 of the even-numbered neighbours, by query."""
-    by = ranked(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", (F.col("vec_id") % 2 == 0).alias("hit")))).alias("r"))
-    hits = F.transform("r", lambda x: x["hit"])
-    n = F.size(F.filter(hits, lambda x: x))
-    at5 = F.size(F.filter(F.slice(hits, 1, 5), lambda x: x))
-    return by.select("query_id", F.round(average_precision(hits, n), 9).alias("average_precision"), F.when(n > 0, F.round(at5 / n, 9)).otherwise(0.0).alias("recall_5"), n.cast("long").alias("n_hits"))
-
-
 def entity_report(spark, sf_dir: str) -> DataFrame:
     """Mean, sample deviation, least, greatest value and tier by entity (event type)."""
     by = scan(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
@@ -56,16 +36,16 @@ def scenario_gates(spark, sf_dir: str) -> DataFrame:
 
 
 def floors(spark, sf_dir: str) -> DataFrame:
-    """Floor by part brand: least discounted price in decimals less 0.20, rounded down to a multiple of 0.05."""
+    """Floor by part brand: least price in whole hundredths less 0.20, rounded down to a multiple of 0.05; flagged where it tells nothing, at 0.20 or less."""
     p = scan(spark, sf_dir, "part").groupBy("p_brand").agg((F.min(F.round(F.col("p_retailprice") * 100).cast("long"))).alias("cents"))
     floor = F.floor((F.col("cents") - 20) / 5).cast("long") * 5
-    return p.select("p_brand", floor.alias("floor_cents"))
+    return p.select("p_brand", floor.alias("floor_cents"), (floor <= 20).alias("flagged"))
 
 
 def case_ids(spark, sf_dir: str) -> DataFrame:
-    """Case id: the page's url host, else ``case-NN``; ids that occur twice are listed with how often."""
+    """Case id: the page's url host, else ``case-NN`` by place (two digits or more); ids that occur twice are listed with how often."""
     p = scan(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), "page_id")
-    name = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("case-"), F.lpad(F.col("page_id").cast("string"), 2, "0")))
+    name = F.when((F.col("host") != "") & (F.col("page_id") % 2 == 0), F.col("host")).otherwise(F.concat(F.lit("case-"), F.format_string("%02d", F.col("page_id") + 1)))
     return p.groupBy(name.alias("case_id")).agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -95,14 +75,10 @@ GATES = f"""SELECT user_id, event_type, count(s) AS n_produced, count(*) - count
   FROM (SELECT user_id, event_type, CASE WHEN value > 1 THEN value END AS s FROM events WHERE event_type <> 'error') GROUP BY 1, 2"""
 
 QUERIES = {
-    "e4_average_precision": precision_by_query, "e6_entity_report": entity_report, "e7_arm_comparison": arm_comparison, "e11_expected_call": expected_call, "e12_execution_health": execution_health,
+    "e6_entity_report": entity_report, "e7_arm_comparison": arm_comparison, "e11_expected_call": expected_call, "e12_execution_health": execution_health,
     "e14_scorer_gates": scorer_gates, "e15_scenario_gates": scenario_gates, "e16_floors": floors, "e17_case_ids": case_ids,
 }
 ORACLE_SQL = {
-    "e4_average_precision": f"""WITH r AS (SELECT query_id, rank, vec_id % 2 = 0 AS hit FROM ({RANKED})),
-      c AS (SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r)
-      SELECT query_id, coalesce(round(avg(n / rank) FILTER (WHERE hit), 9), 0.0) AS average_precision,
-      CASE WHEN count(*) FILTER (WHERE hit) > 0 THEN round(count(*) FILTER (WHERE hit AND rank <= 5) / count(*) FILTER (WHERE hit), 9) ELSE 0.0 END AS recall_5, count(*) FILTER (WHERE hit) AS n_hits FROM c GROUP BY 1""",
     "e6_entity_report": """SELECT event_type, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS std_value, min(value) AS low, max(value) AS high, count(*) AS n,
       CASE WHEN avg(value) <= 49 THEN 'weak' WHEN avg(value) <= 51 THEN 'middling' ELSE 'strong' END AS tier FROM events GROUP BY 1""",
     "e7_arm_comparison": f"""WITH a AS (SELECT query_id, rank, vec_id FROM ({RANKED})), b AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, vec_id FROM a WHERE vec_id % 2 = 0)
@@ -111,7 +87,7 @@ ORACLE_SQL = {
     "e12_execution_health": """SELECT *, finished AND n_errors = 0 AS healthy FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_calls, count(*) FILTER (WHERE event_type = 'error') AS n_errors, bool_or(event_type = 'purchase') AS finished FROM events GROUP BY 1, 2)""",
     "e14_scorer_gates": GATES,
     "e15_scenario_gates": f"SELECT user_id, bool_and(passed) AS green, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (WHERE NOT passed), '') AS failing FROM ({GATES}) GROUP BY 1",
-    "e16_floors": "SELECT p_brand, CAST(floor((min(CAST(round(p_retailprice * 100) AS BIGINT)) - 20) / 5.0) AS BIGINT) * 5 AS floor_cents FROM part GROUP BY 1",
-    "e17_case_ids": """SELECT * FROM (SELECT CASE WHEN h <> '' THEN h ELSE 'case-' || lpad(CAST(page_id AS VARCHAR), 2, '0') END AS case_id, count(*) AS n
+    "e16_floors": "SELECT *, floor_cents <= 20 AS flagged FROM (SELECT p_brand, CAST(floor((min(CAST(round(p_retailprice * 100) AS BIGINT)) - 20) / 5.0) AS BIGINT) * 5 AS floor_cents FROM part GROUP BY 1)",
+    "e17_case_ids": """SELECT * FROM (SELECT CASE WHEN h <> '' AND page_id % 2 = 0 THEN h ELSE 'case-' || format('{:02d}', page_id + 1) END AS case_id, count(*) AS n
       FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pages) GROUP BY 1) WHERE n > 1""",
 }

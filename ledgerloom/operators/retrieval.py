@@ -29,18 +29,11 @@ def ranked(spark, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= K)
 
 
-def mean_reciprocal_rank(spark, sf_dir: str) -> DataFrame:
-    """Reciprocal rank of the first neighbour whose id is even, by query: an expected set given by a predicate."""
-    best = ranked(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("vec_id") % 2 == 0, F.col("rank"))).alias("first"))
-    return best.select("query_id", F.coalesce(F.round(1 / F.col("first"), 9), F.lit(0.0)).alias("reciprocal_rank"))
-
-
 COS = "round(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 9)"
 RANKED = f"""SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM
   (SELECT q.vec_id AS query_id, e.vec_id, {COS.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10"""
-QUERIES = {"r1_topk_cosine_filtered": topk, "r2_batched_knn": ranked, "e3_reciprocal_rank": mean_reciprocal_rank}
+QUERIES = {"r1_topk_cosine_filtered": topk, "r2_batched_knn": ranked}
 ORACLE_SQL = {
     "r1_topk_cosine_filtered": f"SELECT e.vec_id, {COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY score DESC, vec_id LIMIT 10",
     "r2_batched_knn": RANKED,
-    "e3_reciprocal_rank": f"SELECT query_id, coalesce(round(1.0 / min(CASE WHEN vec_id % 2 = 0 THEN rank END), 9), 0.0) AS reciprocal_rank FROM ({RANKED}) GROUP BY query_id",
 }
