@@ -36,13 +36,6 @@ def language_bounds(spark, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", ratio.alias("ratio"), ratio.between(0, 0.05).alias("in_bounds"))
 
 
-def regenerate_target(spark, sf_dir: str) -> DataFrame:
-    """First turn of the trailing run of assistant turns by conversation; null where the last turn isn't one. One aggregate."""
-    by = scan(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("role") != "assistant", F.col("turn"))).alias("other"), F.array_sort(F.collect_set(F.when(F.col("role") == "assistant", F.col("turn")))).alias("own"))
-    tail = F.filter("own", lambda t: t > F.coalesce("other", F.lit(-1)))
-    return by.select("conv_id", F.get(tail, F.lit(0)).alias("target_turn"))
-
-
 def last_user_text(spark, sf_dir: str) -> DataFrame:
     c = scan(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''")
     return c.groupBy("conv_id").agg(F.max_by(F.md5("text"), "turn").alias("text_md5"))
@@ -56,20 +49,18 @@ def call_budget(spark, sf_dir: str) -> DataFrame:
 
 
 def first_latency(spark, sf_dir: str) -> DataFrame:
-    """Seconds from each user's first event to the first click, and the median over users by first event's type."""
+    """Microseconds from each user's first event to the first click."""
     by = scan(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("start"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("click"))
     return by.where("click is not null").select("user_id", (F.unix_micros(F.col("click").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("latency_us"))
 
 
-QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "v9_regenerate_target": regenerate_target, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}
+QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}
 ORACLE_SQL = {
     "c2_word_chunks": """WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
       p AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 50) / 462.0), 1) AS BIGINT))) AS i FROM d)
       SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(w[i * 462 + 1 : i * 462 + 512]) AS INTEGER) AS n_words, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS digest FROM p""",
     "e9_language_bounds": """SELECT conv_id, turn, ratio, ratio BETWEEN 0 AND 0.05 AS in_bounds FROM (SELECT conv_id, turn,
       CASE WHEN length(s) > 0 THEN round(length(regexp_replace(s, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]', '', 'g')) / length(s), 9) ELSE 0.0 END AS ratio FROM (SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS s FROM conversations))""",
-    "v9_regenerate_target": """SELECT c.conv_id, min(CASE WHEN role = 'assistant' AND turn > coalesce(o, -1) THEN turn END) AS target_turn FROM conversations c
-      JOIN (SELECT conv_id, max(CASE WHEN role <> 'assistant' THEN turn END) AS o FROM conversations GROUP BY 1) x USING (conv_id) GROUP BY 1""",
     "v10_last_user_text": "SELECT conv_id, arg_max(md5(text), turn) AS text_md5 FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1",
     "v6_call_budget": """SELECT event_id, CAST(n AS INTEGER) AS call_no, n > 3 AS blocked FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')""",
     "v12_first_latency": "SELECT user_id, epoch_us(c) - epoch_us(s) AS latency_us FROM (SELECT user_id, min(ts) AS s, min(CASE WHEN event_type = 'click' THEN ts END) AS c FROM events GROUP BY 1) WHERE c IS NOT NULL",
