@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How late an event may be before its window's state is dropped.
-LATENESS = "400 days"
+#: How late an event may be before its window's state is dropped. Within one run over a finished table nothing is late.
+LATENESS = "1 day"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder in the cluster's shared one; a temporary one only in local mode, where none need be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
