@@ -20,7 +20,7 @@ DECORATIVE = (
 ).split()
 ITEM, PART = r"(?i)^\s*Item\s+(\d+[A-Z]?)\.", r"(?i)^\s*PART\s+(I{1,3}V?|IV)\b"
 NOT_BESIDE = ("div", "td", "th", "table", "ul", "ol", "li")
-BLOCK_TAGS = {"div", "p", "td", "th", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCK_TAGS = {"div", "p", "td", "th", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT_AS_IS, UNSEEN = {"pre", "code", "textarea"}, {"script", "style", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
