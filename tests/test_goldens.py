@@ -161,7 +161,7 @@ def test_empty_filings_are_rejected(spark):
 
 def test_blocks_lose_no_line(spark):
     prose = "This is a long line of prose that says enough to follow a heading, as a paragraph does in a report."
-    texts = [(1, 10, f"before\nFirst Part\n{prose}\nSecond Part\n{prose}"), (1, 11, "nothing here"), (1, 12, f"{'x ' * 1600}\nFirst Part\n{prose * 60}\nSecond Part\n{prose}")]
+    texts = [(1, 10, f"before\nFirst Part\n{prose}\nSecond Part\n{prose}"), (1, 11, "nothing here"), (1, 12, f"{'x ' * 1600}\nFirst Part\n{prose * 120}\nSecond Part\n{prose}")]
     rows = blocks.lines(spark.createDataFrame(texts, "filing_id long, item_id long, text string"))
     md = spark.createDataFrame([(1, "### First Part"), (1, "### Second Part"), (1, "### PART II")], "filing_id long, line string")
     marks = blocks.anchored_lines(rows, blocks.heading_candidates(md, F.lit(None).cast("string"))).unionByName(blocks.fallback_lines(rows))
