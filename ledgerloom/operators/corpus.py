@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cjk_ratio, uuid5_dns
+from ..functions import cjk_ratio, contains_cjk, uuid5_dns
 from ..sources import scan
 
 SIZE, OVERLAP = 512, 50
@@ -36,6 +36,14 @@ def language_bounds(spark, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", ratio.alias("ratio"), ratio.between(0, 0.05).alias("in_bounds"))
 
 
+def cjk_texts(spark, sf_dir: str) -> DataFrame:
+    """CJK share of each turn to which every fifth one has some added, whether it has any, and whether the share lies in the conversation's bounds; without bounds that is an error, here null."""
+    extra = F.when(F.col("turn") % 5 == 0, F.lit(" 中文 字")).otherwise("")
+    c = scan(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", extra).alias("text"), F.when(F.col("conv_id") % 4 > 0, F.lit(0.01)).alias("low"))
+    ratio = F.round(cjk_ratio(F.col("text")), 9)
+    return c.select("conv_id", "turn", ratio.alias("ratio"), contains_cjk(F.col("text")).alias("has_cjk"), (ratio >= F.col("low")).alias("in_bounds"))
+
+
 def last_user_text(spark, sf_dir: str) -> DataFrame:
     c = scan(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''")
     return c.groupBy("conv_id").agg(F.max_by(F.md5("text"), "turn").alias("text_md5"))
@@ -54,13 +62,15 @@ def first_latency(spark, sf_dir: str) -> DataFrame:
     return by.where("click is not null").select("user_id", (F.unix_micros(F.col("click").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("latency_us"))
 
 
-QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}
+QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "e8_cjk_texts": cjk_texts, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}
 ORACLE_SQL = {
     "c2_word_chunks": """WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
       p AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 50) / 462.0), 1) AS BIGINT))) AS i FROM d)
       SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(w[i * 462 + 1 : i * 462 + 512]) AS INTEGER) AS n_words, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS digest FROM p""",
     "e9_language_bounds": """SELECT conv_id, turn, ratio, ratio BETWEEN 0 AND 0.05 AS in_bounds FROM (SELECT conv_id, turn,
       CASE WHEN length(s) > 0 THEN round(length(regexp_replace(s, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]', '', 'g')) / length(s), 9) ELSE 0.0 END AS ratio FROM (SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS s FROM conversations))""",
+    "e8_cjk_texts": """SELECT conv_id, turn, ratio, ratio > 0 AS has_cjk, CASE WHEN conv_id % 4 > 0 THEN ratio >= 0.01 END AS in_bounds FROM (SELECT conv_id, turn, CASE WHEN length(s) > 0 THEN round(length(regexp_replace(s, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]', '', 'g')) / length(s), 9) ELSE 0.0 END AS ratio
+      FROM (SELECT conv_id, turn, regexp_replace(text || CASE WHEN turn % 5 = 0 THEN ' 中文 字' ELSE '' END, '\\s', '', 'g') AS s FROM conversations))""",
     "v10_last_user_text": "SELECT conv_id, arg_max(md5(text), turn) AS text_md5 FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1",
     "v6_call_budget": """SELECT event_id, CAST(n AS INTEGER) AS call_no, n > 3 AS blocked FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')""",
     "v12_first_latency": "SELECT user_id, epoch_us(c) - epoch_us(s) AS latency_us FROM (SELECT user_id, min(ts) AS s, min(CASE WHEN event_type = 'click' THEN ts END) AS c FROM events GROUP BY 1) WHERE c IS NOT NULL",

@@ -64,14 +64,32 @@ def concentration(spark, sf_dir: str) -> DataFrame:
     return by.join(total, ["c_nationkey", "year"]).where(share > 0.1).select(F.col("c_nationkey").alias("nation"), "year", F.col("o_custkey").alias("customer"), F.round(share, 9).alias("share"))
 
 
+def slices(spark, sf_dir: str) -> DataFrame:
+    """Revenue of each brand (as segment) and region by quarter and by year: quarterly rows have a quarter, annual ones none; and the share of the period's total."""
+    line = scan(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("cents"))
+    by_key = line.groupBy("l_partkey", "l_suppkey", F.year("l_shipdate").alias("fiscal_year"), F.quarter("l_shipdate").alias("fiscal_quarter")).agg(F.sum("cents").alias("cents"))
+    nation = scan(spark, sf_dir, "nation").join(scan(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    region = scan(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    rows = by_key.join(scan(spark, sf_dir, "part").select("p_partkey", "p_brand"), by_key.l_partkey == F.col("p_partkey")).join(region, by_key.l_suppkey == F.col("s_suppkey"))
+    kinds = F.inline(F.array(F.struct(F.lit("segment").alias("slice"), F.col("p_brand").alias("name")), F.struct(F.lit("region").alias("slice"), F.col("r_name").alias("name"))))
+    quarter = rows.select("fiscal_year", "fiscal_quarter", "cents", kinds).groupBy("slice", "name", "fiscal_year", "fiscal_quarter").agg(F.sum("cents").alias("cents"))
+    both = quarter.withColumn("period_type", F.lit("quarterly")).unionByName(quarter.groupBy("slice", "name", "fiscal_year").agg(F.sum("cents").alias("cents")).withColumns({"period_type": F.lit("annual"), "fiscal_quarter": F.lit(None).cast("int")}))
+    total = F.sum("cents").over(Window.partitionBy("slice", "period_type", "fiscal_year", "fiscal_quarter"))
+    return both.select("slice", "name", "period_type", "fiscal_year", "fiscal_quarter", "cents", F.round(F.col("cents") / total, 9).alias("share"))
+
+
 Q_SQL = """SELECT l_suppkey AS company, CAST(last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS DATE) AS period_end,
   count(*) AS n_lines, CAST(sum(CAST(trunc(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS gross_cents, CAST(sum(l_quantity) AS BIGINT) AS units
   FROM lineitem GROUP BY 1, 2"""
 QF_SQL = f"""SELECT company, period_end, CAST(year(period_end) + CASE WHEN month(period_end) > 9 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year,
   CAST(CASE month(period_end) WHEN 12 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 3 ELSE 4 END AS INTEGER) AS fiscal_quarter, n_lines, gross_cents, units FROM ({Q_SQL})"""
 
-QUERIES = {"f1_fiscal_quarters": quarterly, "f9_trailing_four_quarters": trailing, "f2_column_merge": merged, "f4_constraint_report": constraint_report, "f10_customer_concentration": concentration}
+QUERIES = {"f1_fiscal_quarters": quarterly, "f9_trailing_four_quarters": trailing, "f2_column_merge": merged, "f4_constraint_report": constraint_report, "f10_customer_concentration": concentration, "f10_slices": slices}
 ORACLE_SQL = {
+    "f10_slices": """WITH q AS (SELECT slice, name, year(l_shipdate) AS fiscal_year, quarter(l_shipdate) AS fiscal_quarter, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM
+        (SELECT l_shipdate, l_extendedprice, unnest(['segment', 'region']) AS slice, unnest([p_brand, r_name]) AS name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY 1, 2, 3, 4),
+      b AS (SELECT slice, name, 'quarterly' AS period_type, fiscal_year, fiscal_quarter, cents FROM q UNION ALL SELECT slice, name, 'annual', fiscal_year, NULL, CAST(sum(cents) AS BIGINT) FROM q GROUP BY 1, 2, 4)
+      SELECT slice, name, period_type, CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(fiscal_quarter AS INTEGER) AS fiscal_quarter, cents, round(cents / sum(cents) OVER (PARTITION BY slice, period_type, fiscal_year, fiscal_quarter), 9) AS share FROM b""",
     "f1_fiscal_quarters": QF_SQL,
     "f9_trailing_four_quarters": f"""SELECT company, fiscal_year, fiscal_quarter, CASE WHEN count(*) OVER w = 4 THEN CAST(sum(gross_cents) OVER w AS BIGINT) END AS ttm_cents
       FROM ({QF_SQL}) WINDOW w AS (PARTITION BY company ORDER BY fiscal_year * 4 + fiscal_quarter RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)""",
