@@ -54,10 +54,10 @@ def entries(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[at] >> cut, (both[at] & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64), np.diff(np.append(at, len(both)))
 
 
-def losses(keys: np.ndarray, n: np.ndarray, left: np.ndarray, vocabulary: int) -> np.ndarray:
+def losses(keys: np.ndarray, n: np.ndarray, left: np.ndarray, vocabulary: int, added: float) -> np.ndarray:
     """Nats of ``n`` occurrences of each key when ``left`` of them are in the model."""
     context = (keys & np.uint64(1)) > 0
-    return n * np.where(context, 1, -1) * np.log(left + np.where(context, ADDED * max(vocabulary, 1), ADDED))
+    return n * np.where(context, 1, -1) * np.log(left + np.where(context, added * max(vocabulary, 1), added))
 
 
 def flags(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -114,7 +114,7 @@ BINARY = ("high", "low", "sizes", "texts", "n")
 PACKED = "bucket long, slice long, " + ", ".join(f"{c} binary" for c in BINARY) + ", doc_id array<long>, tokens array<long>, t array<double>, b array<double>"
 
 
-def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int, bits: int) -> DataFrame:
+def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int, added: float, bits: int) -> DataFrame:
     """Each slice's keys by bucket (their first ``bits``), with the texts that have them; and once a slice its texts with the losses of their common keys."""
     shift = np.uint64(KEY_BITS - bits)
 
@@ -130,7 +130,7 @@ def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int,
                 rest = ~held
                 for k, flag in enumerate((target, background)):
                     own, r = n[held], row[held]
-                    base[k] = np.bincount(r, losses(key[held], own, counts[k][at[held]] - own * flag[r], words), batch.num_rows)
+                    base[k] = np.bincount(r, losses(key[held], own, counts[k][at[held]] - own * flag[r], words, added), batch.num_rows)
             key, row, n = key[rest], row[rest], n[rest]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
@@ -165,7 +165,7 @@ def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int,
     return rows.mapInArrow(run, PACKED)
 
 
-def bucket_sums(rows: list[dict], words: int, bits: int):
+def bucket_sums(rows: list[dict], words: int, added: float, bits: int):
     """For each slice of a bucket's ``rows``: its name, the numbers of its texts there, and what the bucket's keys add to their two losses."""
     whole = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
     keys = (whole("high", np.uint32).astype(np.uint64) << np.uint64(16)) | whole("low", np.uint16)
@@ -177,7 +177,7 @@ def bucket_sums(rows: list[dict], words: int, bits: int):
     terms = []
     for k in range(2):
         own = n * ((text >> np.uint16(ROW_BITS + k)) & np.uint16(1))
-        terms.append(losses(keys, n, np.bincount(of_key, own)[of_key] - own if len(own) else own, words))
+        terms.append(losses(keys, n, np.bincount(of_key, own)[of_key] - own if len(own) else own, words, added))
     row = (text & np.uint16((1 << ROW_BITS) - 1)).astype(np.int64)
     for r, a, b in zip(rows, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if a < b:
@@ -189,7 +189,7 @@ HELD_TEXTS = 1 << 21
 SUMS = "slice long, texts binary, t binary, b binary, doc_id array<long>, tokens array<long>, t0 array<double>, b0 array<double>"
 
 
-def summed(words: int, bits: int):
+def summed(words: int, added: float, bits: int):
     """Over rows sorted by bucket: a row for each slice with what all buckets here add to its texts' losses, as the texts' numbers and two lists of floats."""
     texts = 1 << ROW_BITS
 
@@ -198,7 +198,7 @@ def summed(words: int, bits: int):
         rows: list[dict] = []
 
         def close():
-            for name, row, t, b in bucket_sums(rows, words, bits) if rows else ():
+            for name, row, t, b in bucket_sums(rows, words, added, bits) if rows else ():
                 own = sums.setdefault(name, np.zeros((3, int(row.max()) + 1)))
                 if own.shape[1] <= row.max():
                     own = sums[name] = np.pad(own, ((0, 0), (0, int(row.max()) + 1 - own.shape[1])))
@@ -248,7 +248,7 @@ def gathered(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64()), "tokens": pa.array(meta["tokens"], pa.int64()), "t": total[0], "b": total[1]})
 
 
-def score(docs: DataFrame, target: Column, background: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, target: Column, background: Column | None = None, added: float = ADDED) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference (all nats per token).
 
     The rows where ``target`` holds are the target's texts, those where ``background`` holds (without it: all) the background's. The
@@ -267,8 +267,8 @@ def score(docs: DataFrame, target: Column, background: Column | None = None) ->
     counts, words = counts_of(docs, common), vocabulary(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, min(16, (4 * parts - 1).bit_length()))
-    dealt = packed(docs, common, counts, words, bits).repartition("bucket").sortWithinPartitions("bucket")
-    by = dealt.mapInArrow(summed(words, bits), SUMS).groupBy("slice").applyInArrow(gathered, "doc_id long, tokens long, t double, b double").withColumnRenamed("tokens", "n_tokens")
+    dealt = packed(docs, common, counts, words, added, bits).repartition("bucket").sortWithinPartitions("bucket")
+    by = dealt.mapInArrow(summed(words, added, bits), SUMS).groupBy("slice").applyInArrow(gathered, "doc_id long, tokens long, t double, b double").withColumnRenamed("tokens", "n_tokens")
     mean = lambda x: F.when(F.col("n_tokens") > 0, x / F.col("n_tokens"))
     return by.select("doc_id", "n_tokens", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"), mean(F.col("t") - F.col("b")).alias("difference"))
 
