@@ -62,8 +62,16 @@ def first_latency(spark, sf_dir: str) -> DataFrame:
     return by.where("click is not null").select("user_id", (F.unix_micros(F.col("click").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("latency_us"))
 
 
+def _sql_uuid5(name: str) -> str:
+    h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
+    return f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '5' || substr({h}, 14, 3), substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr({h}, 17, 1)), 1) || substr({h}, 18, 3), substr({h}, 21, 12))"
+
+
+IDS_SQL = f"""SELECT doc_id, chunk_index, {_sql_uuid5("source || ':' || doc_id || ':' || chunk_index")} AS point_id, {_sql_uuid5("source || ':' || doc_id || ':_status'")} AS marker_id FROM
+  (SELECT doc_id, source, CAST(unnest(range(0, CAST(greatest(ceil((len(string_split(text, ' ')) - 50) / 462.0), 1) AS BIGINT))) AS INTEGER) AS chunk_index FROM documents)"""
 QUERIES = {"c2_word_chunks": chunks, "c5_point_ids": chunk_ids, "e9_language_bounds": language_bounds, "e8_cjk_texts": cjk_texts, "v10_last_user_text": last_user_text, "v6_call_budget": call_budget, "v12_first_latency": first_latency}
 ORACLE_SQL = {
+    "c5_point_ids": IDS_SQL,
     "c2_word_chunks": """WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
       p AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 50) / 462.0), 1) AS BIGINT))) AS i FROM d)
       SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(w[i * 462 + 1 : i * 462 + 512]) AS INTEGER) AS n_words, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS digest FROM p""",

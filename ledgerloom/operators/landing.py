@@ -269,6 +269,7 @@ ORACLE_SQL = {
     "s6_exists": f"SELECT c_custkey, a.fiscal_year, n IS NOT NULL AS exists FROM (SELECT c_custkey, 'c' || c_custkey % 12 AS ticker, unnest([1995, 2001]) AS fiscal_year FROM customer) a LEFT JOIN ({_ROWS}) r ON a.ticker = r.ticker AND a.fiscal_year = r.fiscal_year",
     "s7_tickers": f"SELECT c_custkey, CASE WHEN ok THEN t END AS ticker, NOT ok AS rejected FROM (SELECT c_custkey, {_TICKER} AS t, regexp_matches({_TICKER}, '^[A-Z0-9][A-Z0-9.\\-]*$') AS ok FROM customer)",
     "s8_universe": "SELECT c_custkey, upper(c_mktsegment) AS ticker FROM customer WHERE upper(c_mktsegment) IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')",
+    "s9_content_scan": f"SELECT doc_id, chunk_index, point_id FROM ({corpus.IDS_SQL})",
     "s10_result_table": f"""SELECT case_id, n AS "output.n", CASE WHEN case_id % 11 = 0 THEN 'ERROR' ELSE CAST(n AS VARCHAR) END AS "_generated.output.n", CASE WHEN case_id % 11 = 0 THEN 'ERROR' ELSE CAST(first AS VARCHAR) END AS "output.first",
       CASE WHEN case_id % 11 = 0 THEN '' ELSE '{{"n":' || n || ',"first":' || first || '}}' END AS output_json, {_SCORE.format("clicks", "n % 3 = 0")} AS score_click, {_SCORE.format("views", "false")} AS score_view
       FROM (SELECT user_id AS case_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, min(event_id) AS first FROM events GROUP BY 1)""",
