@@ -230,7 +230,7 @@ def markdown_digest(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "h1_page_blocks": lambda s, d: page_blocks(scan(s, d, "pages")), "h2_plain_styles": styles, "h3_body_sizes": of_blocks(body_sizes), "h4_dominant_sizes": sized, "h5_bold_headings": heading_like, "h6_item_regions": of_blocks(item_regions),
-    "h7_part_anchors": of_blocks(part_anchors), "h8_isolated_blocks": standing_report("isolated"), "h9_strong_sizes": standing_report("strong"), "h10_promoted_headings": of_blocks(promoted), "h12_subsections": of_blocks(subsections),
+    "h7_part_anchors": of_blocks(part_anchors), "h8_isolated_blocks": standing_report("isolated"), "h9_strong_sizes": standing_report("strong"), "h10_promoted_headings": of_blocks(promoted), "h11_noise_tokens": of_blocks(noise_tokens), "h12_subsections": of_blocks(subsections),
     "h13_markdown": markdown_digest, "h14_fallback": pages_with_fallback,
 }
 
@@ -263,6 +263,7 @@ ORACLE_SQL = {
     "h8_isolated_blocks": f"SELECT filing_id, block_idx, isolated FROM {STANDING}",
     "h9_strong_sizes": f"SELECT filing_id, block_idx, strong FROM {STANDING}",
     "h10_promoted_headings": f"SELECT * FROM {PROMOTED}",
+    "h11_noise_tokens": f"SELECT filing_id, trim(text) AS text FROM {BLOCKS} WHERE length(trim(text)) BETWEEN 3 AND 50 GROUP BY 1, 2 HAVING count(*) >= 4",
     "h12_subsections": f"SELECT * FROM {SUBS}",
     "h13_markdown": f"""SELECT filing_id, md5(m) AS markdown_md5, CAST(length(m) AS INTEGER) AS n_chars FROM (SELECT filing_id, string_agg(CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block_idx) AS m FROM {BLOCKS}
       LEFT JOIN (SELECT filing_id, block_idx, CAST(min(level) AS INTEGER) AS level FROM (SELECT * FROM {PROMOTED} UNION ALL SELECT * FROM {SUBS}) GROUP BY 1, 2) USING (filing_id, block_idx) WHERE trim(text) <> '' GROUP BY 1)""",

@@ -71,6 +71,19 @@ def csv_round_trip(spark, sf_dir: str) -> DataFrame:
     return dataset(spark, path, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def run_log(spark, sf_dir: str) -> DataFrame:
+    """The audit log after a run for each event type and day was appended, success or error; counters and metadata stay on error. An append writes new files and never reads the log."""
+    e = scan(spark, sf_dir, "events")
+    bad = F.col("value") > 150
+    runs = e.groupBy(F.col("event_type").alias("pipeline"), F.to_date("ts").alias("run_day")).agg(F.date_format(F.min("ts"), "HH:mm:ss").alias("started"), F.date_format(F.max("ts"), "HH:mm:ss").alias("finished"), F.count("*").alias("rows_written"), F.min(F.when(bad, F.col("event_id"))).alias("bad_id"), F.max("event_id").alias("last_id"))
+    status = F.when(F.col("bad_id").isNull(), "success").otherwise("error")
+    runs = runs.select("pipeline", "run_day", "started", "finished", "rows_written", status.alias("status"), F.when(F.col("bad_id").isNotNull(), F.concat(F.lit("ValueTooLarge: "), F.col("bad_id"))).alias("error"), F.to_json(F.struct("last_id")).alias("metadata"))
+    path = f"{folder(spark)}/runs"
+    for half in ("day(run_day) <= 15", "day(run_day) > 15"):
+        runs.where(half).write.mode("append").partitionBy("status").parquet(path)
+    return spark.read.parquet(path).select("pipeline", "run_day", "started", "finished", "rows_written", "status", "error", "metadata")
+
+
 def filing_rows(spark, sf_dir: str) -> DataFrame:
     o = scan(spark, sf_dir, "orders")
     return o.groupBy(F.concat(F.lit("c"), F.col("o_custkey") % 10).alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(F.count("*").alias("n"))
@@ -258,7 +271,7 @@ _IDS = "SELECT doc_id, source, CAST(unnest(range(0, CAST(greatest(ceil((len(stri
 
 QUERIES = {
     "s1_csv_dataset": csv_round_trip, "s2_auto_typed": typed_cells, "s3_declared_types": cell_rejects, "s4_mapped_rows": mapped_rows, "s5_filing_store": stored_filings, "s6_exists": existing, "s7_tickers": valid_tickers, "s8_universe": in_universe, "s9_content_scan": content_scan,
-    "s10_result_table": results, "s11_quotes": quotes, "s12_metrics": metrics, "t19_latest_filings": latest, "t21_work_list": planned, "r3_latest_scope": latest_scope, "c11_rerun": rerun, "f3_two_feeds": two_feeds, "f8_identities": identities, "f9_ratios": ratios,
+    "s10_result_table": results, "s11_quotes": quotes, "s12_metrics": metrics, "t19_latest_filings": latest, "t21_work_list": planned, "r3_latest_scope": latest_scope, "c11_rerun": rerun, "f5_run_log": run_log, "f3_two_feeds": two_feeds, "f8_identities": identities, "f9_ratios": ratios,
 }
 ORACLE_SQL = {
     "s1_csv_dataset": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
@@ -282,6 +295,8 @@ ORACLE_SQL = {
       c AS (SELECT e.label, e.year, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS score FROM e JOIN s ON e.label = s.label AND e.year = s.year)
       SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c) WHERE rank <= 3""",
     "c11_rerun": f"SELECT slice, sum(n) + count(*) AS n_points, sum(n) + count(*) AS n_ids FROM (SELECT doc_id % 8 AS slice, doc_id, count(*) AS n FROM ({_IDS}) GROUP BY 1, 2) GROUP BY 1",
+    "f5_run_log": """SELECT pipeline, run_day, started, finished, rows_written, CASE WHEN b IS NULL THEN 'success' ELSE 'error' END AS status, 'ValueTooLarge: ' || b AS error, '{"last_id":' || l || '}' AS metadata FROM (SELECT event_type AS pipeline, CAST(ts AS DATE) AS run_day,
+      strftime(min(ts), '%H:%M:%S') AS started, strftime(max(ts), '%H:%M:%S') AS finished, count(*) AS rows_written, min(CASE WHEN value > 150 THEN event_id END) AS b, max(event_id) AS l FROM events GROUP BY 1, 2)""",
     "f3_two_feeds": f"""SELECT company, fiscal_year, fiscal_quarter, CASE WHEN fiscal_quarter IN (2, 3) THEN gross_cents + 1 ELSE gross_cents END AS gross_cents, CASE WHEN fiscal_quarter IN (1, 2) THEN CASE WHEN units > 500 THEN units * 2 END ELSE units END AS units, true AS same FROM ({QF_SQL})""",
     "f8_identities": f"""SELECT l_orderkey, identity, off FROM (SELECT l_orderkey, unnest(['net = gross - discount', 'charge = net + tax']) AS identity, unnest([net - (gross - discount), charge - (net + tax)]) AS off FROM
       (SELECT l_orderkey, {_CENTS.format("l_extendedprice")} AS gross, {_CENTS.format("l_extendedprice * l_discount")} AS discount, {_CENTS.format("l_extendedprice * (1 - l_discount)")} AS net, {_CENTS.format("l_extendedprice * (1 - l_discount) * l_tax")} AS tax, {_CENTS.format("l_extendedprice * (1 - l_discount) * (1 + l_tax)")} AS charge FROM lineitem GROUP BY 1)) WHERE abs(off) > 2""",

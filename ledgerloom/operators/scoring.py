@@ -141,6 +141,16 @@ def entity_precision(spark, sf_dir: str) -> DataFrame:
     return by.drop("target").join(mix.select("query_id", F.array_join(F.transform("l", lambda x: F.concat(F.lit("F"), x["entity"], F.lit(":"), -x["m"])), " ").alias("mix")), "query_id")
 
 
+def entity_tiers(spark, sf_dir: str) -> DataFrame:
+    """By entity: mean, sample deviation, least and greatest precision of its queries' ten chunks, the other entities among them, and its tier."""
+    own = ranked(spark, sf_dir).select("query_id", (F.col("vec_id") % 5).alias("entity"), (F.floor(F.col("query_id") / 20) % 5).alias("target"))
+    other = F.when(F.col("entity") != F.col("target"), F.concat(F.lit("F"), F.col("entity")))
+    by_query = own.groupBy("query_id", "target").agg((F.sum((F.col("entity") == F.col("target")).cast("int")) / 10).alias("p"), F.collect_set(other).alias("others"))
+    by = by_query.groupBy("target").agg(F.avg("p").alias("m"), F.stddev_samp("p").alias("s"), F.min("p").alias("low"), F.max("p").alias("high"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("o"))
+    tier = F.when(F.col("m") <= 0.2, "weak").when(F.col("m") <= 0.5, "middling").when(F.col("m") == 1, "perfect").otherwise("good")
+    return by.select("target", F.round("m", 9).alias("mean"), F.round("s", 9).alias("std"), "low", "high", F.array_join(F.array_sort("o"), " ").alias("contaminants"), tier.alias("tier"))
+
+
 def agent_cases(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = derived(spark, sf_dir, CASES, "events")
     score = F.when(F.col("n") % 4 < 2, F.col("mean"))
@@ -220,7 +230,7 @@ VERDICTS = f"""SELECT scenario, scorer, aggregate, n_produced, skipped, errored,
   UNION ALL SELECT CAST(scenario AS BIGINT), scorer, NULL, 0, '', '', NULL FROM ({FLOORS}) WHERE scenario NOT IN (SELECT scenario FROM ({CASES}) WHERE task_error IS NULL)"""
 
 QUERIES = {
-    "e1_hits": hit_table, "e2_recall": scored("recall_5", "recall_10"), "e3_reciprocal_rank": scored("reciprocal_rank"), "e4_average_precision": scored("average_precision"), "e5_entity_precision": entity_precision,
+    "e1_hits": hit_table, "e2_recall": scored("recall_5", "recall_10"), "e3_reciprocal_rank": scored("reciprocal_rank"), "e4_average_precision": scored("average_precision"), "e5_entity_precision": entity_precision, "e6_entity_tiers": entity_tiers,
     "e10_tool_arguments": tool_arguments, "e13_judge_scores": judge_scores, "e14_scorer_verdicts": scorer_verdicts, "e15_scenario_gate": scenario_gate, "e18_row_subset": chosen_rows, "e19_diagnostic_ids": diagnostic_ids, "e20_validation": validation,
 }
 ORACLE_SQL = {
@@ -231,6 +241,9 @@ ORACLE_SQL = {
     "e5_entity_precision": f"""SELECT query_id, round(count(*) FILTER (WHERE rank <= 5 AND entity = target) / 5, 9) AS precision_5, round(count(*) FILTER (WHERE entity = target) / 10, 9) AS precision_10,
       any_value(mix) AS mix FROM (SELECT query_id, rank, vec_id % 5 AS entity, CAST(floor(query_id / 20) AS BIGINT) % 5 AS target FROM ({RANKED})) JOIN
       (SELECT query_id, string_agg('F' || entity || ':' || n, ' ' ORDER BY n DESC, entity) AS mix FROM (SELECT query_id, vec_id % 5 AS entity, count(*) AS n FROM ({RANKED}) GROUP BY 1, 2) GROUP BY 1) USING (query_id) GROUP BY 1""",
+    "e6_entity_tiers": f"""SELECT target, round(m, 9) AS mean, round(s, 9) AS std, low, high, contaminants, CASE WHEN m <= 0.2 THEN 'weak' WHEN m <= 0.5 THEN 'middling' WHEN m = 1 THEN 'perfect' ELSE 'good' END AS tier FROM
+      (SELECT target, avg(p) AS m, stddev_samp(p) AS s, min(p) AS low, max(p) AS high FROM (SELECT query_id, target, count(*) FILTER (WHERE entity = target) / 10 AS p FROM (SELECT query_id, vec_id % 5 AS entity, CAST(floor(query_id / 20) AS BIGINT) % 5 AS target FROM ({RANKED})) GROUP BY 1, 2) GROUP BY 1) JOIN
+      (SELECT target, coalesce(string_agg(DISTINCT 'F' || entity, ' ' ORDER BY 'F' || entity) FILTER (WHERE entity <> target), '') AS contaminants FROM (SELECT query_id, vec_id % 5 AS entity, CAST(floor(query_id / 20) AS BIGINT) % 5 AS target FROM ({RANKED})) GROUP BY 1) USING (target)""",
     "e10_tool_arguments": """SELECT user_id AS case_id, CAST(1 - max(CAST(user_id % 2 = 0 AND (user_id % 3 <> 0 OR event_type = 'click') AND (value <= 0.5 OR event_id % 97 = 0) AS INTEGER)) AS DOUBLE) AS score FROM events GROUP BY 1""",
     "e13_judge_scores": "SELECT doc_id, CASE WHEN length(text) >= 40 THEN CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END END AS score FROM labels JOIN documents USING (doc_id)",
     "e14_scorer_verdicts": f"SELECT scenario, scorer, round(aggregate, 7) AS aggregate, n_produced, skipped, errored, cause FROM ({VERDICTS})",
