@@ -147,6 +147,9 @@ class Encoder:
             self.byte[int(self.pieces.texts[k][3:5], 16)] = k
         self.unknown_score = self.pieces.scores[self.pieces.kinds == 1].min() - UNKNOWN_PENALTY
         self.memory: dict[bytes, np.ndarray] = {}
+        #: What each id decodes to, and its number as text.
+        self.bytes_of = [bytes([int(t[3:5], 16)]) if k == 6 else b" \xe2\x81\x87 " if k == 2 else b"" if k == 3 else t.replace(MARKER, b" ") for t, k in zip(self.pieces.texts, self.pieces.kinds.tolist(), strict=True)]
+        self.names = [str(k) for k in range(len(self.bytes_of))]
         #: Bytes that stand side by side in some piece.
         self.beside = np.zeros((256, 256), bool)
         for k in np.flatnonzero(np.isin(self.pieces.kinds, (1, 4))):
@@ -230,8 +233,7 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of the ids: byte pieces are bytes, markers are spaces, and the first marker goes."""
-        t, k = self.pieces.texts, self.pieces.kinds
-        out = b"".join(bytes([int(t[i][3:5], 16)]) if k[i] == 6 else b" \xe2\x81\x87 " if k[i] == 2 else b"" if k[i] == 3 else t[i].replace(MARKER, b" ") for i in ids.tolist())
+        out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         return out.removeprefix(b" ")
 
 
@@ -281,7 +283,7 @@ def round_trip(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
             texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             ids = encoder.texts(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]), pa.array([encoder.decode(x) == t for x, t in zip(ids, texts, strict=True)])],
+                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(encoder.names.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]), pa.array([encoder.decode(x) == t for x, t in zip(ids, texts, strict=True)])],
                 names=["doc_id", "n_pieces", "ids_sha256", "restored"],
             )
 
