@@ -25,7 +25,7 @@ ROW_BITS, KEY_BITS = 12, 52
 #: sent. At most (keys of a text) / COMMON keys are so, whatever the corpus. Which keys these are doesn't change a score.
 SAMPLE, COMMON = 2000, 1 / 128
 #: Text of a slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Relative error of V.
 VOCABULARY_ERROR = 0.01
 
