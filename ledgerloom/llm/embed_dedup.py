@@ -207,9 +207,12 @@ def audit(nodes: DataFrame, others: DataFrame) -> float:
             kind = batch.column(1).to_numpy()
             for k in np.unique(kind).tolist():
                 if k in sides:
-                    rows = np.flatnonzero(kind == k)
                     ids, v = sides[k]
-                    n = ((v @ matrix(batch.column(3).take(pa.array(rows))).T >= THRESHOLD) & (ids[:, None] != batch.column(0).to_numpy()[rows][None, :])) @ batch.column(2).to_numpy()[rows]
+                    n = np.zeros(len(ids))
+                    own = np.flatnonzero(kind == k)
+                    for rows in np.array_split(own, -(-len(own) // 1024)):
+                        near = v @ matrix(batch.column(3).take(pa.array(rows))).T >= THRESHOLD
+                        n += (near & (ids[:, None] != batch.column(0).to_numpy()[rows][None, :])) @ batch.column(2).to_numpy()[rows]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["a", "there"])
 
     there = nodes.select("id", "kind", "n", "v").mapInArrow(run, "a long, there long").groupBy("a").agg(F.sum("there").alias("there"))
