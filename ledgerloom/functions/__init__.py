@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as Unicode has it, for the inside of a pattern's brackets; Java's own class knows ASCII's alone. The second is for DuckDB's patterns.
+SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SQL_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def stripped(text: Column | str) -> Column:
+    """``text`` without white space at its ends; each run of white space is looked at once."""
+    return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+
+
+def right_stripped(text: Column | str) -> Column:
+    return F.regexp_replace(text, rf"(?<![{SPACE}])[{SPACE}]++\z", "")
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
 def fiscal_year(period_end: Column, fye_month: Column) -> Column:
     return F.year(period_end) + F.when(F.month(period_end) > fye_month, 1).otherwise(0)
@@ -35,7 +55,7 @@ def uuid5_dns(name: Column) -> Column:
 
 def item_key(heading: Column) -> Column:
     """``Item 1A. Risk Factors`` -> ``1a``; null where there is no item number."""
-    key = F.lower(F.regexp_extract(heading, r"(?i)^\s*item\s+(\d{1,2}[a-c]?)\b", 1))
+    key = F.lower(F.regexp_extract(heading, rf"(?i)^[{SPACE}]*item[{SPACE}]+(\d{{1,2}}[a-c]?)\b", 1))
     return F.when(key != "", key)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import SQL_SPACE, stripped
 from ..sources import derived, scan
 from ..streaming.sessions import folder
 
@@ -20,7 +21,7 @@ EMITTED = "session_id long, seq long, ord int, type string, id string"
 
 #: What is taken out of an error's text, in this order, and what stands for it.
 REDACTIONS = (
-    (r"(?m)Traceback \(most recent call last\):.*\n(?:\s+.*\n)*", ""),
+    (r"(?m)Traceback \(most recent call last\):.*\n(?:\s+.*\n)*+", ""),
     (r"\w+://[^\s@]*@[^\s]+", "[connection_string]"),
     (r"(?i)Bearer\s+\S+", "[REDACTED]"),
     (r"\bsk-[A-Za-z0-9_-]{10,}\b", "[REDACTED]"),
@@ -40,7 +41,7 @@ def redact(text: Column) -> Column:
     """An error's text without its traceback, connection strings, keys, internal hosts and paths."""
     for pattern, put in REDACTIONS:
         text = F.regexp_replace(text, pattern, put)
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return stripped(text)
 
 
 def log(spark, sf_dir: str) -> DataFrame:
@@ -257,7 +258,7 @@ LIFECYCLE = (
 )
 _REDACTED = "error"
 for _pattern, _put in REDACTIONS:
-    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_put}', 'g')"
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern.replace(')*+', ')*')}', '{_put}', 'g')"
 
 QUERIES = {
     "v1_lifecycle": of_log(lifecycle), "v1_stream_lifecycle": streamed, "v3_paired_calls": of_log(paired_calls), "v4_run_results": of_log(run_results), "v5_pending_progress": of_log(pending_progress), "v7_redacted_errors": redacted_errors, "v8_records": of_log(records),

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import citation
+from ..functions import SPACE, SQL_SPACE, bound, citation, stripped
 from ..sources import derived
 from .corpus import OVERLAP, SIZE
+from .sections import sql_strip
 
 PRELUDE_CHARS, REPEATS, FIRST_ANCHOR = 3000, 4, 0.30
 #: Headings that tell nothing, compared without case.
@@ -55,12 +56,12 @@ NOISE_SHAPES = (
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def canonical(text: Column) -> Column:
     """One form of quotes, dashes, compatible characters and white space; the case stays."""
-    return F.trim(F.regexp_replace(F.translate(nfkc(text), "‘’“”–—", "''\"\"--"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(nfkc(text), "‘’“”–—", "''\"\"--"), rf"[{SPACE}]+", " "))
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def heading_candidates(markdown: DataFrame, registrant: Column) -> DataFrame:
     """(filing_id, level, heading, canon): different headings of level 3 and 4 of each filing's Markdown (filing_id, line) without noise: fixed texts
     and shapes, the registrant's name, and what stands four times or more at any level."""
     md = markdown.withColumn("hashes", F.regexp_extract("line", r"^(#{1,6}) (.+)$", 1)).where("hashes <> ''")
-    md = md.select("filing_id", F.length("hashes").alias("level"), F.trim(F.regexp_extract("line", r"^(#{1,6}) (.+)$", 2)).alias("heading"), registrant.alias("registrant"))
+    md = md.select("filing_id", F.length("hashes").alias("level"), stripped(F.regexp_extract("line", r"^(#{1,6}) (.+)$", 2)).alias("heading"), registrant.alias("registrant"))
     md = md.withColumn("canon", canonical(F.col("heading"))).withColumn("fold", F.lower("canon"))
     counted = md.withColumn("n", F.count("*").over(Window.partitionBy("filing_id", "fold")))
     noise = F.col("fold").isin(*(x.lower() for x in NOISE)) | (F.col("fold") == F.lower("registrant")) | (F.col("n") >= REPEATS) | (F.col("heading") == "")
@@ -93,11 +94,11 @@ def anchored_lines(text_lines: DataFrame, candidates: DataFrame) -> DataFrame:
 def fallback_lines(text_lines: DataFrame) -> DataFrame:
     """Lines that look like a heading by themselves and stand like one: no sentence ends just before, and long prose follows."""
     w = Window.partitionBy("item_id").orderBy("line_idx")
-    s = F.trim(F.col("line"))
-    solid = F.when(F.trim("line") != "", F.trim("line"))
+    text_lines = text_lines.withColumn("s", stripped("line"))
+    s, solid = F.col("s"), F.nullif(F.col("s"), F.lit(""))
     shaped = F.length(s).between(5, 120) & ~s.rlike(r"\d{3,}") & ~s.rlike(r"^[\d\s]+$") & ~s.rlike(r"(?i)^item\s+\d+[a-c]?\.?") & ~s.rlike(r"^\(\d+\)") & ~s.rlike(r"[|$%]") & ~s.rlike(r"[.,;:]$")
     rows = text_lines.withColumn("before", F.coalesce(F.lag("line").over(w), F.lit(""))).withColumn("after", F.first(solid, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    return rows.where(shaped & ~F.col("before").rlike(r"[.!?]\s*$") & (F.length("after") > 80)).select("item_id", "line_idx", "at", "n_chars", F.lit("text_fallback").alias("source"))
+    return rows.where(shaped & ~F.col("before").rlike(rf"[.!?][{SPACE}]*+\z") & (F.length("after") > 80)).select("item_id", "line_idx", "at", "n_chars", F.lit("text_fallback").alias("source"))
 
 
 def detected(anchors: DataFrame) -> DataFrame:
@@ -120,9 +121,9 @@ def assembled(text_lines: DataFrame, anchors: DataFrame) -> DataFrame:
     number = F.sum(F.coalesce("mark", F.lit(0))).over(Window.partitionBy("item_id").orderBy("line_idx"))
     rows = rows.withColumn("block", number.cast("int"))
     by = rows.groupBy("filing_id", "item_id", "source", "block").agg(
-        F.max(F.when(F.col("mark") == 1, F.trim("line"))).alias("heading"), F.array_sort(F.collect_list(F.when(F.col("mark").isNull(), F.struct("line_idx", "line")))).alias("l")
+        F.max(F.when(F.col("mark") == 1, stripped("line"))).alias("heading"), F.array_sort(F.collect_list(F.when(F.col("mark").isNull(), F.struct("line_idx", "line")))).alias("l")
     )
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
+    text = stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     by = by.select("filing_id", "item_id", "source", "block", "heading", text.alias("text"))
     return by.withColumn("block", F.when((F.col("block") == 0) & F.col("source").isNotNull() & (F.length("text") > PRELUDE_CHARS), -1).otherwise(F.col("block")))
 
@@ -146,7 +147,7 @@ def chunked(pieces: DataFrame) -> DataFrame:
 
 HEADS = "concat('Overview Of ', source, ' ', doc_id % 5) AS h1, concat('Results For ', lang, ' ', doc_id % 3) AS h2"
 ITEMS = f"""SELECT filing_id, doc_id AS item_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, chr(10), h1, chr(10), text, chr(10), text, chr(10), h2, chr(10), text, ' ', text) WHEN doc_id % 7 = 1 THEN text
-  ELSE concat('Item ', doc_id % 12, '. Heading', chr(10), h1, chr(10), text, chr(10), '  ', h2, chr(10), chr(10), text) END AS text FROM (SELECT doc_id, text, CAST(floor(doc_id / 12) AS BIGINT) AS filing_id, {HEADS} FROM documents)"""
+  ELSE concat('Item ', doc_id % 12, '. Heading', chr(10), h1, chr(10), text, chr(10), '  ', h2, chr(10), CASE doc_id % 3 WHEN 0 THEN chr(9) WHEN 1 THEN chr(160) ELSE '' END, chr(10), text) END AS text FROM (SELECT doc_id, text, CAST(floor(doc_id / 12) AS BIGINT) AS filing_id, {HEADS} FROM documents)"""
 MARKDOWN = f"""SELECT CAST(floor(doc_id / 12) AS BIGINT) AS filing_id, concat(CASE doc_id % 4 WHEN 0 THEN '### ' WHEN 1 THEN '#### ' WHEN 2 THEN '##  ' ELSE '' END, CASE k WHEN 1 THEN h1 WHEN 2 THEN h2 WHEN 3 THEN 'PART II' WHEN 4 THEN 'Table of contents' ELSE concat(upper(lang), ' CORP') END) AS line
   FROM (SELECT doc_id, lang, {HEADS} FROM documents) CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) n"""
 
@@ -216,22 +217,22 @@ def content_counts(spark, sf_dir: str) -> DataFrame:
     return out.select("filing_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNull().alias("is_empty"))
 
 
-CANON = "trim(regexp_replace(translate(nfc_normalize({0}), '‘’“”–—', '''''\"\"--'), '\\s+', ' ', 'g'))"
+CANON = "trim(regexp_replace(translate(nfc_normalize({0}), '‘’“”–—', '''''\"\"--'), '[" + SQL_SPACE.replace("{", "{{").replace("}", "}}") + "]+', ' ', 'g'))"
 LINES = f"""SELECT *, {CANON.format("line")} AS canon, coalesce(sum(length(line) + 1) OVER (PARTITION BY item_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
   FROM (SELECT filing_id, item_id, length(text) AS n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM ({ITEMS}))"""
 _NOISE = " OR ".join([f"fold IN ({', '.join(repr(x.lower()) for x in NOISE)})", "fold = 'results for en 1'", f"n >= {REPEATS}", "heading = ''", *(f"regexp_matches(heading, '{x}')" for x in NOISE_SHAPES)])
 CANDIDATES = f"""SELECT DISTINCT filing_id, level, heading, canon FROM (SELECT *, count(*) OVER (PARTITION BY filing_id, fold) AS n FROM (SELECT *, lower(canon) AS fold FROM (SELECT *, {CANON.format("heading")} AS canon
-  FROM (SELECT filing_id, CAST(length(regexp_extract(line, '^(#{{1,6}}) (.+)$', 1)) AS INTEGER) AS level, trim(regexp_extract(line, '^(#{{1,6}}) (.+)$', 2)) AS heading FROM ({MARKDOWN}) WHERE regexp_matches(line, '^(#{{1,6}}) (.+)$')))))
+  FROM (SELECT filing_id, CAST(length(regexp_extract(line, '^(#{{1,6}}) (.+)$', 1)) AS INTEGER) AS level, {sql_strip("regexp_extract(line, '^(#{1,6}) (.+)$', 2)")} AS heading FROM ({MARKDOWN}) WHERE regexp_matches(line, '^(#{{1,6}}) (.+)$')))))
   WHERE level IN (3, 4) AND NOT ({_NOISE})"""
 ANCHORS = f"""SELECT DISTINCT item_id, line_idx, at_, n_chars, CASE level WHEN 3 THEN 'markdown_h3' ELSE 'markdown_h4' END AS source FROM ({LINES}) l JOIN ({CANDIDATES}) c USING (filing_id, canon) WHERE canon <> ''"""
-FALLBACK = f"""SELECT item_id, line_idx, at_, n_chars, 'text_fallback' AS source FROM (SELECT *, trim(line) AS s, coalesce(lag(line) OVER w, '') AS before, first_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+FALLBACK = f"""SELECT item_id, line_idx, at_, n_chars, 'text_fallback' AS source FROM (SELECT *, {sql_strip('line')} AS s, coalesce(lag(line) OVER w, '') AS before, first_value(nullif({sql_strip('line')}, '') IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY line_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
   FROM ({LINES}) WINDOW w AS (PARTITION BY item_id ORDER BY line_idx)) WHERE length(s) BETWEEN 5 AND 120 AND NOT regexp_matches(s, '\\d{{3,}}') AND NOT regexp_matches(s, '^[\\d\\s]+$') AND NOT regexp_matches(s, '(?i)^item\\s+\\d+[a-c]?\\.?')
-  AND NOT regexp_matches(s, '^\\(\\d+\\)') AND NOT regexp_matches(s, '[|$%]') AND NOT regexp_matches(s, '[.,;:]$') AND NOT regexp_matches(before, '[.!?]\\s*$') AND length(after) > 80"""
+  AND NOT regexp_matches(s, '^\\(\\d+\\)') AND NOT regexp_matches(s, '[|$%]') AND NOT regexp_matches(s, '[.,;:]$') AND NOT regexp_matches(before, '[.!?][{SQL_SPACE}]*$') AND length(after) > 80"""
 BOTH = f"SELECT * FROM ({ANCHORS}) UNION ALL SELECT * FROM ({FALLBACK})"
 SOURCES = f"""SELECT item_id, arg_min(source, CASE source WHEN 'markdown_h3' THEN 1 WHEN 'markdown_h4' THEN 2 ELSE 3 END) AS source FROM
   (SELECT item_id, source, count(*) AS n, min(at_) AS f, max(n_chars) AS c FROM ({BOTH}) GROUP BY 1, 2) WHERE n >= 2 AND f <= {FIRST_ANCHOR} * c GROUP BY 1"""
 BLOCKS = f"""SELECT filing_id, item_id, source, CASE WHEN block = 0 AND source IS NOT NULL AND length(text) > {PRELUDE_CHARS} THEN -1 ELSE block END AS block, heading, text FROM
-  (SELECT filing_id, item_id, source, block, max(CASE WHEN mark THEN trim(line) END) AS heading, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_idx) FILTER (WHERE NOT mark), ''), '^\\s+|\\s+$', '', 'g') AS text FROM
+  (SELECT filing_id, item_id, source, block, max(CASE WHEN mark THEN {sql_strip('line')} END) AS heading, {sql_strip("coalesce(string_agg(line, chr(10) ORDER BY line_idx) FILTER (WHERE NOT mark), '')")} AS text FROM
   (SELECT *, CAST(sum(CAST(mark AS INTEGER)) OVER (PARTITION BY item_id ORDER BY line_idx) AS INTEGER) AS block FROM
   (SELECT l.*, s.source, m.line_idx IS NOT NULL AS mark FROM ({LINES}) l LEFT JOIN ({SOURCES}) s ON l.item_id = s.item_id LEFT JOIN (SELECT DISTINCT item_id, source, line_idx FROM ({BOTH})) m ON m.item_id = l.item_id AND m.line_idx = l.line_idx AND m.source = s.source))
   GROUP BY filing_id, item_id, source, block)"""

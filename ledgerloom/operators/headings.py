@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import SPACE, SQL_SPACE
 from ..sources import scan
 
 #: Style properties that only decorate.
@@ -18,7 +19,9 @@ DECORATIVE = (
     "font-family font-size font-style color background-color background padding padding-top padding-bottom padding-left padding-right margin margin-top margin-bottom margin-left margin-right "
     "border border-top border-bottom border-left border-right line-height letter-spacing text-decoration text-indent vertical-align width height min-width min-height max-width max-height"
 ).split()
-ITEM, PART = r"(?i)^\s*Item\s+(\d+[A-Z]?)\.", r"(?i)^\s*PART\s+(I{1,3}V?|IV)\b"
+ITEM_FORM, PART_FORM, NAME_FORM = r"(?i)^{s}*Item{s}+(\d+[A-Z]?)\.", r"(?i)^{s}*PART{s}+(I{{1,3}}V?|IV)\b", r"(?i)^{s}*Item{s}+\d+[A-Z]?\b"
+#: What an item's and a part's heading begin with; the reference form of an item may lack the dot.
+ITEM, PART, ITEM_NAME = (x.format(s=f"[{SPACE}]") for x in (ITEM_FORM, PART_FORM, NAME_FORM))
 NOT_BESIDE = ("div", "td", "th", "table", "ul", "ol", "li")
 BLOCK_TAGS = {"div", "p", "td", "th", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT_AS_IS, UNSEEN = {"pre", "code", "textarea"}, {"script", "style", "head"}
@@ -151,7 +154,7 @@ def noise_tokens(blocks: DataFrame) -> DataFrame:
 
 def subsections(blocks: DataFrame) -> DataFrame:
     """(filing_id, block_idx, level, text): heading-like blocks within item regions, without noise and item references; sizes from large to small are levels 3, 4 and 5."""
-    own = blocks.where(is_heading_like(blocks) & ~F.col("text").rlike(r"(?i)^\s*Item\s+\d+[A-Z]?\b"))
+    own = blocks.where(is_heading_like(blocks) & ~F.col("text").rlike(ITEM_NAME))
     own = own.join(noise_tokens(blocks), ["filing_id", "text"], "left_anti").withColumn("size", dominant_size(F.col("sizes")))
     regions = item_regions(blocks)
     begins = regions.select("filing_id", F.col("start_idx").alias("block_idx"), "item_num")
@@ -234,6 +237,7 @@ QUERIES = {
     "h13_markdown": markdown_digest, "h14_fallback": pages_with_fallback,
 }
 
+_ITEM, _PART, _NAME = (x.format(s=f"[{SQL_SPACE}]") for x in (ITEM_FORM, PART_FORM, NAME_FORM))
 BLOCKS = """(SELECT *, tag = 'td' AS in_table, length(text) % 3 <> 1 AS has_bold, length(text) % 3 <> 1 AND length(text) % 2 = 0 AS bold_only, 8 + length(text) % 5 AS s1, greatest(length(text) - 3, 0) AS c1, 6 + length(text) % 2 AS s2 FROM
   (SELECT CAST(floor(doc_id / 12) AS BIGINT) AS filing_id, doc_id % 12 AS block_idx, 'td' AS tag, 'Item ' || doc_id % 12 || '. Heading' AS text FROM documents UNION ALL
   SELECT filing_id, 1000 + k * 1000 + i AS block_idx, (['div', 'p', 'td', 'p', 'span'])[length(text) % 5 + 1] AS tag, text FROM (SELECT CAST(floor(doc_id / 12) AS BIGINT) AS filing_id, doc_id % 12 AS k,
@@ -242,15 +246,15 @@ SIZE = "CASE WHEN c1 >= 3 THEN s1 ELSE s2 END"
 BODY = f"""(SELECT filing_id, arg_max(size, c * 1000000.0 - f) AS body_size FROM (SELECT filing_id, size, sum(c) AS c, min(block_idx) AS f FROM
   (SELECT filing_id, block_idx, s1 AS size, c1 AS c FROM {BLOCKS} UNION ALL SELECT filing_id, block_idx, s2, 3 FROM {BLOCKS}) GROUP BY 1, 2) GROUP BY 1)"""
 REGIONS = f"""(SELECT filing_id, item_num, start_idx, lead(start_idx) OVER (PARTITION BY filing_id ORDER BY start_idx) AS end_idx FROM (SELECT *, min(CASE WHEN NOT in_table THEN start_idx END) OVER (PARTITION BY filing_id) AS body FROM
-  (SELECT filing_id, upper(regexp_extract(text, '{ITEM}', 1)) AS item_num, max(block_idx) AS start_idx, arg_max(in_table, block_idx) AS in_table FROM {BLOCKS} WHERE regexp_matches(text, '{ITEM}') GROUP BY 1, 2)) WHERE body IS NULL OR NOT (in_table AND start_idx < body))"""
-PARTS = f"(SELECT filing_id, upper(regexp_extract(text, '{PART}', 1)) AS part, max(block_idx) AS block_idx FROM {BLOCKS} WHERE has_bold AND regexp_matches(text, '{PART}') GROUP BY 1, 2)"
+  (SELECT filing_id, upper(regexp_extract(text, '{_ITEM}', 1)) AS item_num, max(block_idx) AS start_idx, arg_max(in_table, block_idx) AS in_table FROM {BLOCKS} WHERE regexp_matches(text, '{_ITEM}') GROUP BY 1, 2)) WHERE body IS NULL OR NOT (in_table AND start_idx < body))"""
+PARTS = f"(SELECT filing_id, upper(regexp_extract(text, '{_PART}', 1)) AS part, max(block_idx) AS block_idx FROM {BLOCKS} WHERE has_bold AND regexp_matches(text, '{_PART}') GROUP BY 1, 2)"
 _BESIDE = ", ".join(f"'{x}'" for x in NOT_BESIDE)
 STANDING = f"""(SELECT *, tag NOT IN ('td', 'th') AND NOT in_table AND size >= body_size AND NOT coalesce(before IN ({_BESIDE}), false) AND NOT coalesce(after IN ({_BESIDE}), false) AS isolated, length(text) < 150 AND size > body_size * 1.1 AS strong
   FROM (SELECT *, {SIZE} AS size, lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM {BLOCKS} WHERE trim(text) <> '' WINDOW w AS (PARTITION BY filing_id ORDER BY block_idx)) JOIN {BODY} USING (filing_id))"""
 PROMOTED = f"""(SELECT filing_id, block_idx, level, text FROM {STANDING} JOIN (SELECT filing_id, block_idx, 1 AS level FROM {PARTS} UNION ALL SELECT filing_id, start_idx, 2 FROM {REGIONS}) USING (filing_id, block_idx) WHERE level = 1 OR has_bold OR isolated OR strong)"""
 LIKE = "tag IN ('div', 'p') AND NOT in_table AND bold_only AND length(text) BETWEEN 3 AND 200 AND NOT regexp_matches(text, '^\\d+$') AND (length(text) <= 30 OR NOT regexp_matches(text, '[.!?]$'))"
 SUBS = f"""(SELECT filing_id, block_idx, CAST(least(dense_rank() OVER (PARTITION BY filing_id, start_idx ORDER BY size DESC), 3) + 2 AS INTEGER) AS level, text FROM (SELECT b.filing_id, b.block_idx, b.text, {SIZE} AS size, r.start_idx FROM {BLOCKS} b ASOF JOIN {REGIONS} r ON b.filing_id = r.filing_id AND b.block_idx >= r.start_idx
-  WHERE {LIKE} AND NOT regexp_matches(b.text, '(?i)^\\s*Item\\s+\\d+[A-Z]?\\b') AND (b.filing_id, b.text) NOT IN (SELECT (filing_id, trim(text)) FROM {BLOCKS} WHERE length(trim(text)) BETWEEN 3 AND 50 GROUP BY filing_id, trim(text) HAVING count(*) >= 4)))"""
+  WHERE {LIKE} AND NOT regexp_matches(b.text, '{_NAME}') AND (b.filing_id, b.text) NOT IN (SELECT (filing_id, trim(text)) FROM {BLOCKS} WHERE length(trim(text)) BETWEEN 3 AND 50 GROUP BY filing_id, trim(text) HAVING count(*) >= 4)))"""
 _DECORATIVE = ", ".join(f"'{x}'" for x in DECORATIVE)
 ORACLE_SQL = {
     "h2_plain_styles": f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split('font-size:' || length(text) % 9 || 'pt; COLOR : red;font-weight:bold;; margin-top:0;display:' || CASE WHEN length(text) % 2 = 0 THEN 'block' ELSE 'none' END, ';'), lambda p: trim(p)),

@@ -7,15 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import SPACE, bound, stripped
 from ..sources import derived
-from .sections import MARK, POINTER
+from .sections import _POINTERS, FEW, POINTER, remaining, sql_remaining
 
 PART_I, ITEM_1 = r"(?m)^# (?:PART|Part) I\b", r"(?m)^## (?:ITEM|Item) 1\b"
 PAGE = r"(?m)^[ \t]*\d*[ \t]*\n---[ \t]*(?:\n|\z)(?:\[Table of Contents\]\([^)]+\)[ \t]*(?:\n|\z))?"
 #: Abbreviations that keep their capitals, and words that stay small after the first.
 ABBREVIATIONS = ("MD&A", "SEC", "U.S.", "U.S", "R&D", "CEO", "CFO", "CTO", "ESG", "AI", "IT", "IPO")
 SMALL = ("of", "the", "and", "for", "to", "in", "on", "at", "by", "a", "an", "or", "as", "is")
-FEW = 100
+#: White space but for line ends, for the inside of brackets.
+BLANK = SPACE.replace(r"\s", r" \t\x0b\f\r")
 
 
 def front(md: Column) -> Column:
@@ -38,15 +40,9 @@ def strip_pages(md: Column) -> Column:
     return F.regexp_replace(md, PAGE, "")
 
 
-def remaining(body: Column) -> Column:
-    """Characters of a section that tell something once its sentences that point elsewhere, links and marks are gone."""
-    kept = F.array_join(F.filter(F.split(body, r"(?<=[.!?])\s+(?=\S)"), lambda s: ~s.rlike("(?i)" + POINTER)), " ")
-    return F.length(F.regexp_replace(F.regexp_replace(kept, r"!?\[[^\]]*\]\([^)]*\)", ""), r"[\s\-|*]+", ""))
-
-
 def section_list(md: Column) -> Column:
-    """The text cut before each heading of level 1 or 2; joined, it is the text."""
-    return F.split(F.regexp_replace(md, r"(?m)^(?=#{1,2} )", MARK), MARK)
+    """The text cut before each heading of level 1 or 2; joined, it is the text. The first part stands before any heading and may be empty."""
+    return F.concat(F.when(md.rlike(r"\A#{1,2} "), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.split(md, r"(?m)^(?=#{1,2} )"))
 
 
 def is_part_three(section: Column) -> Column:
@@ -54,8 +50,8 @@ def is_part_three(section: Column) -> Column:
 
 
 def is_stub(section: Column) -> Column:
-    body = F.regexp_replace(section, r"\A[^\n]*\n", "")
-    return is_part_three(section) & (~body.rlike(r"\S") | (body.rlike("(?i)" + POINTER) & (remaining(body) < FEW)))
+    empty_or_pointing = lambda body: ~body.rlike(rf"[^{SPACE}]") | (body.rlike("(?i)" + POINTER) & (remaining(body) < FEW))
+    return is_part_three(section) & bound(F.regexp_replace(section, r"\A[^\n]*\n", ""), empty_or_pointing)
 
 
 def strip_stubs(md: Column) -> Column:
@@ -65,10 +61,11 @@ def strip_stubs(md: Column) -> Column:
 
 def merge_titles(md: Column) -> Column:
     """A bare item heading takes the next line that isn't blank, if that is a short title, plain or as a bullet: all capitals or each word capitalised."""
-    small = "(?i:" + "|".join(SMALL) + r")(?=\s|$)"
-    cased = rf"\p{{Lu}}\S*(?:[^\S\n]+(?:{small}|\p{{Lu}}\S*))*"
-    capitals = r"(?=[^\n]*\p{Lu})[^\p{Ll}\n]*[^\p{Ll}\s]"
-    pattern = rf"(?m)^(## (?:ITEM|Item)[^\S\n]+\d+[A-Z]?)\.?[ \t]*\n(?:[^\S\n]*\n)*[^\S\n]*(?:- [^\S\n]*)?(?![#|]|```|- )(?=[^\n]{{1,99}}$)({cased}|{capitals})[^\S\n]*$"
+    small = "(?i:" + "|".join(SMALL) + rf")(?=[{SPACE}]|$)"
+    cased = rf"\p{{Lu}}[^{SPACE}]*(?:[{BLANK}]+(?:{small}|\p{{Lu}}[^{SPACE}]*))*"
+    capitals = rf"(?=[^\n]*\p{{Lu}})[^\p{{Ll}}\n]*[^\p{{Ll}}{SPACE}]"
+    # possessive, so that no run of blank lines is deep
+    pattern = rf"(?m)^(## (?:ITEM|Item)[{BLANK}]++\d+[A-Z]?)\.?[ \t]*+\n(?:[{BLANK}]*+\n)*+[{BLANK}]*+(?:- [{BLANK}]*+)?(?![#|]|```|- )(?=[^\n]{{1,99}}$)({cased}|{capitals})[{BLANK}]*$"
     return F.regexp_replace(md, pattern, "$1. $2")
 
 
@@ -94,7 +91,7 @@ def normal_headings(md: Column) -> Column:
     item = r"^## (?:ITEM|Item)\s+(\d+[A-Z]?)\.?[ \t]*(.*)$"
 
     def line(x: Column) -> Column:
-        title = F.trim(F.regexp_extract(x, item, 2))
+        title = stripped(F.regexp_extract(x, item, 2))
         head = F.concat(F.lit("## Item "), F.regexp_extract(x, item, 1), F.lit("."))
         return F.when(~x.rlike(item), x).when(title == "", head).otherwise(F.concat(head, F.lit(" "), title_case(title)))
 
@@ -106,7 +103,8 @@ RULES = (strip_cover, strip_pages, strip_stubs, merge_titles, normal_headings)
 
 
 def clean(md: Column) -> Column:
-    return reduce(lambda x, rule: rule(x), RULES, md)
+    """All rules; each one's result is computed once."""
+    return reduce(bound, RULES, md)
 
 
 MD = """SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN concat('Cover page', chr(10), '# PART I', chr(10)) WHEN 1 THEN concat('Cover', chr(10)) WHEN 2 THEN concat('---', chr(10), 'title: x', chr(10), '---', chr(10), 'Cover', chr(10), '# Part I.', chr(10)) ELSE '' END,
@@ -121,8 +119,8 @@ def source(spark, sf_dir: str) -> DataFrame:
 
 def ruled(rule):
     def query(spark, sf_dir: str) -> DataFrame:
-        out = rule(F.col("md"))
-        return source(spark, sf_dir).select("doc_id", F.md5(out).alias("md5"), F.length(out).alias("n_chars"))
+        out = bound(bound(F.col("md"), rule), lambda x: F.struct(F.md5(x).alias("md5"), F.length(x).alias("n_chars")))
+        return source(spark, sf_dir).select("doc_id", out.alias("out")).select("doc_id", "out.*")
 
     return query
 
@@ -137,12 +135,16 @@ def profile(spark, sf_dir: str) -> DataFrame:
     """Of each filing: links to the contents, bare dashes, page and table separators, items 10 to 14 by kind, later items, and the anchor."""
     s = source(spark, sf_dir)
     count = lambda p: F.regexp_count("md", F.lit(p))
-    parts = F.filter(section_list(F.col("md")), is_part_three)
-    stub = F.size(F.filter(parts, is_stub))
-    hybrid = F.size(F.filter(parts, lambda x: ~is_stub(x) & x.rlike("(?i)" + POINTER)))
+
+    def kinds(parts: Column) -> Column:
+        kind = F.transform(parts, lambda x: F.when(is_stub(x), "stub").when(x.rlike("(?i)" + POINTER), "hybrid").otherwise("real"))
+        of = lambda all_, name: F.size(F.filter(all_, lambda x: x == name)).alias(f"n_{name}")
+        return bound(kind, lambda k: F.struct(*(of(k, name) for name in ("stub", "hybrid", "real"))))
+
+    s = s.withColumn("kinds", bound(F.filter(section_list(F.col("md")), is_part_three), kinds))
     return s.select(
         "doc_id", count(r"\[Table of Contents\]\([^)]+\)").alias("n_links"), count(r"(?m)^---[ \t]*$").alias("n_dashes"), count(PAGE).alias("n_pages"), count(r"(?m)^\|[ \-:|]+\|[ \t]*$").alias("n_tables"),
-        stub.alias("n_stub"), hybrid.alias("n_hybrid"), (F.size(parts) - stub - hybrid).alias("n_real"), F.col("md").rlike(r"(?m)^## (?:ITEM|Item) (?:1C|9[ABC])\b").alias("has_late"), anchor_type(F.col("md")).alias("anchor"),
+        "kinds.*", F.col("md").rlike(r"(?m)^## (?:ITEM|Item) (?:1C|9[ABC])\b").alias("has_late"), anchor_type(F.col("md")).alias("anchor"),
     )
 
 
@@ -151,7 +153,7 @@ def variants(spark, sf_dir: str) -> DataFrame:
     lines = source(spark, sf_dir).select("doc_id", F.posexplode(F.split("md", "\n")).alias("line_idx", "line")).where(F.col("line").rlike("^#{1,6} "))
     item = r"^## (?:ITEM|Item)\s+\d+[A-Z]?\.?[ \t]*(.*)$"
     kind = F.when(F.col("line").rlike("^# PART"), "PART").when(F.col("line").rlike("^# Part"), "Part").when(F.col("line").rlike("^## ITEM"), "ITEM").when(F.col("line").rlike("^## Item"), "Item").otherwise("other")
-    title = F.trim(F.regexp_extract("line", item, 1))
+    title = stripped(F.regexp_extract("line", item, 1))
     rows = lines.select("doc_id", "line_idx", "line", kind.alias("kind"), title.alias("title"))
     by = rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("ITEM", "Item") & (F.col("title") == "")).alias("n_empty"), F.count_if(F.length("title").between(1, 4)).alias("n_short"))
     # three of each task's rows before the last ranking
@@ -167,8 +169,8 @@ _P1, _I1 = "^# (?:PART|Part) I\\b", "^## (?:ITEM|Item) 1\\b"
 _ANCHOR = f"CASE WHEN regexp_matches({_BODY}, '(?m){_P1}') THEN 'part' WHEN regexp_matches({_BODY}, '(?m){_I1}') THEN 'item' ELSE 'none' END"
 _STUBBED = "regexp_matches(s, '\\A## (?:ITEM|Item) 1[0-4]\\b[^\\n]*\\n')"
 _REST = "regexp_replace(s, '\\A[^\\n]*\\n', '')"
-_LEFT = f"length(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace({_REST}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: NOT regexp_matches(x, '(?i){POINTER}')), ' '), '!?\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[\\s\\-|*]+', '', 'g'))"
-_IS_STUB = f"({_STUBBED} AND (NOT regexp_matches({_REST}, '\\S') OR (regexp_matches({_REST}, '(?i){POINTER}') AND {_LEFT} < {FEW})))"
+_LEFT = sql_remaining(_REST, _POINTERS[:1])
+_IS_STUB = f"({_STUBBED} AND (NOT regexp_matches({_REST}, '\\S') OR (regexp_matches({_REST}, '(?i){_POINTERS[0]}') AND {_LEFT} < {FEW})))"
 _SECTIONS = "string_split(regexp_replace(md, '(?m)^(#{1,2} )', chr(1) || '\\1', 'g'), chr(1))"
 _SMALL = "|".join(SMALL)
 _ABBREVIATIONS = ", ".join(f"'{x}'" for x in ABBREVIATIONS)
@@ -216,8 +218,8 @@ ORACLE_SQL = {name: _digest(_sql_clean(0, k)) for name, k in (("m1_cover_strip",
     "m4_stub_sections": f"SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, CAST({_LEFT} AS INTEGER) AS remaining, {_IS_STUB} AS is_stub FROM (SELECT doc_id, unnest({_SECTIONS}) AS s, generate_subscripts({_SECTIONS}, 1) AS place FROM ({MD})) WHERE {_STUBBED}",
     "m7_clean": _digest(_sql_clean(5)),
     "m8_profile": f"""SELECT doc_id, {_count("\\[Table of Contents\\]\\([^)]+\\)")} AS n_links, {_count("(?m)^---[ \\t]*$")} AS n_dashes, {_count(PAGE)} AS n_pages, {_count("(?m)^\\|[ \\-:|]+\\|[ \\t]*$")} AS n_tables,
-      CAST(len(list_filter({_SECTIONS}, lambda s: {_IS_STUB})) AS INTEGER) AS n_stub, CAST(len(list_filter({_SECTIONS}, lambda s: {_STUBBED} AND NOT {_IS_STUB} AND regexp_matches(s, '(?i){POINTER}'))) AS INTEGER) AS n_hybrid,
-      CAST(len(list_filter({_SECTIONS}, lambda s: {_STUBBED} AND NOT {_IS_STUB} AND NOT regexp_matches(s, '(?i){POINTER}'))) AS INTEGER) AS n_real, regexp_matches(md, '(?m)^## (?:ITEM|Item) (?:1C|9[ABC])\\b') AS has_late, {_ANCHOR} AS anchor FROM ({MD})""",
+      CAST(len(list_filter({_SECTIONS}, lambda s: {_IS_STUB})) AS INTEGER) AS n_stub, CAST(len(list_filter({_SECTIONS}, lambda s: {_STUBBED} AND NOT {_IS_STUB} AND regexp_matches(s, '(?i){_POINTERS[0]}'))) AS INTEGER) AS n_hybrid,
+      CAST(len(list_filter({_SECTIONS}, lambda s: {_STUBBED} AND NOT {_IS_STUB} AND NOT regexp_matches(s, '(?i){_POINTERS[0]}'))) AS INTEGER) AS n_real, regexp_matches(md, '(?m)^## (?:ITEM|Item) (?:1C|9[ABC])\\b') AS has_late, {_ANCHOR} AS anchor FROM ({MD})""",
     "m9_heading_variants": f"""SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind IN ('ITEM', 'Item') AND title = '') AS n_empty, count(*) FILTER (WHERE length(title) BETWEEN 1 AND 4) AS n_short,
       string_agg(line, '; ' ORDER BY doc_id, k) FILTER (WHERE p <= 3) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, k) AS p FROM ({_LINES})) GROUP BY 1""",
 }

@@ -243,3 +243,44 @@ def test_latest_filing_and_work(spark):
     ask = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1)], "company string, fiscal_year int")
     got = landing.work_list(ask, ask.where("company = 'A'"), ask.where("company <> 'C'"))
     assert {r.company: r.action for r in got.collect()} == {"A": "search", "B": "embed", "C": "fetch and embed"}
+
+
+NBSP = " "
+
+
+def of_text(spark, text, f):
+    return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
+
+
+def test_headings_with_no_break_spaces(spark):
+    assert of_text(spark, f"Item{NBSP}1A.", sections.strict_key) == "1a"
+    assert of_text(spark, f"{NBSP}item{NBSP}7A. ", sections.strict_key) == "7a"
+    assert of_text(spark, f"Item{NBSP}7", sections.name_key) == "7"
+    assert of_text(spark, f"Item 7. A{NBSP}\nItem{NBSP}8.{NBSP}B", lambda t: sections.trim_structural(t, F.lit("7"))) == "Item 7. A"
+    assert of_text(spark, f"Item 7. A{NBSP}Item{NBSP}8.{NBSP}B", lambda t: sections.trim_to_item(t, F.lit("7"))) == "Item 7. A"
+    assert of_text(spark, f"It is incorporated{NBSP}by{NBSP}reference.", sections.stub)["is_stub"]
+
+
+def test_structural_headings(spark):
+    cut = lambda t: of_text(spark, t, lambda x: sections.trim_structural(x, F.lit("7")))
+    assert cut("Item 7. A" + "\n" + " \t" * 200 + "Item 8. B") == "Item 7. A"  # any indent
+    assert cut("x\x01y Item 7. a\nItem 9C. b") == "x\x01y Item 7. a"  # no character is lost
+    assert cut("A" + "PART" + " " * 50 + "IIIItem 10. B") == "A"
+    for kept in ("SubItem 1. x", 'See "Item 1. Business" above', "see (Item 1. x)", "under Item 1A. Risk", "worth Item 5.4 percent", "Item 7. a\n Item 7. b", f"a{NBSP}Item 8. b"):
+        assert cut(kept) == kept
+    assert cut("Item 8. only") == "" and cut("   Item 8. only") == "" and cut("53Item 8. x") == "53"
+
+
+def test_long_runs_of_lines(spark):
+    blank = "\n" * 100_000
+    trace = "Traceback (most recent call last):\n" + "  File x\n" * 100_000 + "TimeoutError: late"
+    assert of_text(spark, trace, agents.redact) == "TimeoutError: late"
+    assert of_text(spark, f"## Item 1.\n{blank}Business\nx", markdown.merge_titles) == "## Item 1. Business\nx"
+    assert of_text(spark, "a" + " " * 100_000 + "b" + blank, functions.stripped) == "a" + " " * 100_000 + "b"
+    assert of_text(spark, "Item 7. a" + blank + "Item 8. b", lambda t: sections.trim_structural(t, F.lit("7"))) == "Item 7. a"
+
+
+def test_next_text_after_a_line_of_white_space(spark):
+    text = f"Intro of it\nOverview Of Things\n\t{NBSP}\n" + "Long prose goes on and on. " * 5
+    rows = blocks.lines(spark.createDataFrame([(1, 1, text)], "filing_id long, item_id long, text string"))
+    assert [r.line_idx for r in blocks.fallback_lines(rows).collect()] == [1]
