@@ -76,22 +76,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_doc = hit.join(items.select("i_id", "item_id", "item"), "i_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "from", "item")).alias("hits")).withColumnRenamed("doc_id", "hit_id")
     full = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
 
-    def matched(w: Column, h: Column) -> Column:
-        def beside(start: Column) -> Column:
-            near = F.filter(h["from"], lambda x: F.abs(x - start) <= DRIFT)
+    def matched(w: Column, h: Column, sorted_: Column) -> Column:
+        def beside(start: Column, k: Column) -> Column:
+            # diagonals differ, so those near one stand within DRIFT places of it
+            near = F.filter(F.slice(sorted_, F.greatest(k + 1 - DRIFT, F.lit(1)), F.lit(2 * DRIFT + 1)), lambda x: F.abs(x - start) <= DRIFT)
             equal = F.transform(h["item"], lambda word, i: F.exists(near, lambda x: F.coalesce(F.get(w, x + i) == word, F.lit(False))).cast("int"))
             return F.get(F.transform(F.array(equal), best_run), F.lit(0))
 
-        return F.array_max(F.transform(h["from"], beside))
+        return F.array_max(F.transform(sorted_, beside))
 
-    checked = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.col("hits"), lambda h: F.struct(h["item_id"].alias("item_id"), matched(w, h).alias("overlap")))), F.lit(0))
+    checked = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.col("hits"), lambda h: F.struct(h["item_id"].alias("item_id"), F.get(F.transform(F.array(F.array_sort(h["from"])), lambda s: matched(w, h, s)), F.lit(0)).alias("overlap")))), F.lit(0))
     return full.select("doc_id", F.inline(F.filter(checked, lambda x: x["overlap"] >= SIMILARITY)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, n_items (benchmark items overlapped), overlap (best share of equal words of a run, else null).
 
-    Null and empty texts are clean. Repeated rows each appear; rows that share a doc_id share the verdict,
+    Null and empty texts are clean, and so is every text without a benchmark; empty tables give no rows. Items of equal words are one text with
+    several numbers, each counted. The work on a hit doesn't grow with the number of hits. Repeated rows each appear; rows that share a doc_id share the verdict,
     and so do those with a null doc_id. Other columns are not read.
     """
     found = overlaps(docs, benchmark).groupBy(F.col("doc_id").alias("hit_id")).agg(F.count_distinct("item_id").alias("n_items"), F.max("overlap").alias("overlap")).withColumn("hit", F.lit(True))

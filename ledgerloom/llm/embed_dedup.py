@@ -19,8 +19,9 @@ NEIGHBOURS, LONGEST = 8, 32
 CELL, CUTS = 256, 4
 #: Rounds go on while they change more than this share of all list entries.
 SETTLED = 0.001
-#: The audit compares about this many nodes with all of their label; passes go on while fewer than RECALL of their links are found.
-AUDIT, RECALL = 2000, 0.99
+#: The audit compares about this many nodes with all of their label, and as many of those with a neighbour at NEAR or more, which are where links are; passes go on
+#: while fewer than RECALL of their links are found. STALLED passes that find no more end it, with an error below LEAST.
+AUDIT, RECALL, NEAR, STALLED, LEAST = 1000, 0.99, 0.9, 3, 0.9
 #: Vectors and numbers of a block of a crowd.
 BLOCK_VECTORS, BLOCK_NUMBERS = 8192, 1 << 20
 
@@ -189,13 +190,16 @@ def links(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.union(within.where("a <> b").select("a", "b")), rest.union(within.select("a", "others")).groupBy("a").agg(F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, others: DataFrame) -> float:
-    """Share of the links of a bounded hash-chosen sample of ``nodes`` that ``others`` (a, others) counts; the sample is compared with all of its label."""
+def audit(nodes: DataFrame, lists: DataFrame, others: DataFrame) -> float:
+    """Share of the links of a bounded sample of ``nodes`` that ``others`` (a, others) counts; the sample is compared with all of its label. One half of it is chosen
+    by hash from all nodes, one from those with a near neighbour in ``lists``, since links may be so rare that the first holds none."""
     count, numbers = nodes.agg(F.count("*"), F.sum(F.size("v"))).first()
     if not count:
         return 1.0
-    share = min(1.0, min(AUDIT, BLOCK_NUMBERS * 4 * count / numbers) / count)
-    chosen = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    size, by = min(AUDIT, BLOCK_NUMBERS * 2 * count / numbers), F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    near = table(lists.where(F.col("cos") >= NEAR).select(F.col("a").alias("id")).distinct())
+    some = near.where(by < int(min(1.0, size / max(1, near.count())) * (1 << 30))).withColumn("near", F.lit(True))
+    chosen = nodes.join(some, "id", "left").where((by < int(min(1.0, size / count) * (1 << 30))) | F.col("near")).drop("near")
     sample = chosen.select("id", "kind", "v").toArrow().combine_chunks()
     if not sample.num_rows:
         return 1.0
@@ -220,21 +224,24 @@ def audit(nodes: DataFrame, others: DataFrame) -> float:
     return 1.0 if not total else (found or 0) / total
 
 
-def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``links`` of the neighbour graph of ``nodes`` (id, kind, n, v). While the audit finds too few of its sample's links, a pass with other random cells is
-    added to the lists. It ends in any case: a pass that leaves the found share as it was is the last."""
+def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """``links`` of the neighbour graph of ``nodes`` (id, kind, n, v), and the share of links that the audit finds in it. While that is too low, a pass with other
+    random cells is added to the lists. It ends in any case, and fails rather than return a graph below ``LEAST``."""
     wanted = table(nodes.select("id", F.lit(NEIGHBOURS).alias("k")))
-    lists, seed, before = None, 1, -1.0
+    lists, seed, before, stalled = None, 1, -1.0, 0
     while True:
         more = start(nodes, seed).withColumn("fresh", F.lit(True))
         lists, wanted = descend(trimmed(more if lists is None else lists.withColumn("fresh", F.lit(False)).unionByName(more), wanted), nodes, wanted)
         edges, others = links(lists, nodes)
         others = table(others)
-        recall = audit(nodes, others)
+        recall = audit(nodes, lists, others)
         log.info("pass %d of the neighbour graph finds %.4f of the sample's links", seed, recall)
-        if recall >= RECALL or recall <= before:
-            return edges, others
-        before, seed = recall, seed + 1
+        stalled = 0 if recall > before else stalled + 1
+        if recall >= RECALL or stalled >= STALLED:
+            if recall < LEAST:
+                raise RuntimeError(f"the neighbour graph holds {recall:.3f} of a sample's links after {seed} passes")
+            return edges, others, recall
+        before, seed = max(before, recall), seed + 1
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -250,7 +257,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     good = F.coalesce(good, F.lit(False))
     rows = e.where(good).withColumn("node", F.xxhash64("label", "v"))
     sets = table(rows.groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
-    edges, others = graph(sets.select(F.col("node").alias("id"), F.xxhash64("label", F.size("v")).alias("kind"), "n", "v"))
+    edges, others, _ = graph(sets.select(F.col("node").alias("id"), F.xxhash64("label", F.size("v")).alias("kind"), "n", "v"))
     part = components(edges.where("a <> b").distinct())
     known = sets.join(part, sets.node == part.id, "left").join(others, sets.node == others.a, "left").select("node", "low", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part"))
     lowest = known.groupBy("part").agg(F.min("low").alias("component_id"))

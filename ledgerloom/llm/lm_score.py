@@ -1,7 +1,7 @@
 """Cross-entropy difference: bigram models of a target and of a background with exact counts over one vocabulary.
 
-A model gives word w after v the chance (n(vw) + ADDED) / (n(v) + ADDED * V), V being the number of different words of all
-texts. So the loss of a text is a sum of one term for each of its bigrams and one for each of its contexts, and each
+A model gives word w after v the chance (n(vw) + a) / (n(v) + a * V), V being the number of different words of all texts and a being ADDED times the model's
+share of the larger model's characters: both models are smoothed at one rate, so the smaller one doesn't lose by its size. So the loss of a text is a sum of one term for each of its bigrams and one for each of its contexts, and each
 term needs a single count. Every text is scored out of sample: its own counts are first taken out of the models it is in.
 """
 
@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS
+from .scratch import BROADCAST_ROWS, table
 from .words import Words, mix, slices
 
-#: What each bigram's count is raised by.
+#: What each bigram's count is raised by in the larger model; in the smaller one it is less by the ratio of their sizes.
 ADDED = 0.01
 #: The previous word at a text's start; words are 64-bit hashes.
 START = np.uint64(0)
@@ -114,7 +114,7 @@ BINARY = ("high", "low", "sizes", "texts", "n")
 PACKED = "bucket long, slice long, " + ", ".join(f"{c} binary" for c in BINARY) + ", doc_id array<long>, tokens array<long>, t array<double>, b array<double>"
 
 
-def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int, added: float, bits: int) -> DataFrame:
+def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int, added: tuple[float, float], bits: int) -> DataFrame:
     """Each slice's keys by bucket (their first ``bits``), with the texts that have them; and once a slice its texts with the losses of their common keys."""
     shift = np.uint64(KEY_BITS - bits)
 
@@ -130,7 +130,7 @@ def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int,
                 rest = ~held
                 for k, flag in enumerate((target, background)):
                     own, r = n[held], row[held]
-                    base[k] = np.bincount(r, losses(key[held], own, counts[k][at[held]] - own * flag[r], words, added), batch.num_rows)
+                    base[k] = np.bincount(r, losses(key[held], own, counts[k][at[held]] - own * flag[r], words, added[k]), batch.num_rows)
             key, row, n = key[rest], row[rest], n[rest]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
@@ -165,7 +165,7 @@ def packed(docs: DataFrame, common: np.ndarray, counts: np.ndarray, words: int,
     return rows.mapInArrow(run, PACKED)
 
 
-def bucket_sums(rows: list[dict], words: int, added: float, bits: int):
+def bucket_sums(rows: list[dict], words: int, added: tuple[float, float], bits: int):
     """For each slice of a bucket's ``rows``: its name, the numbers of its texts there, and what the bucket's keys add to their two losses."""
     whole = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
     keys = (whole("high", np.uint32).astype(np.uint64) << np.uint64(16)) | whole("low", np.uint16)
@@ -177,7 +177,7 @@ def bucket_sums(rows: list[dict], words: int, added: float, bits: int):
     terms = []
     for k in range(2):
         own = n * ((text >> np.uint16(ROW_BITS + k)) & np.uint16(1))
-        terms.append(losses(keys, n, np.bincount(of_key, own)[of_key] - own if len(own) else own, words, added))
+        terms.append(losses(keys, n, np.bincount(of_key, own)[of_key] - own if len(own) else own, words, added[k]))
     row = (text & np.uint16((1 << ROW_BITS) - 1)).astype(np.int64)
     for r, a, b in zip(rows, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if a < b:
@@ -189,7 +189,7 @@ HELD_TEXTS = 1 << 21
 SUMS = "slice long, texts binary, t binary, b binary, doc_id array<long>, tokens array<long>, t0 array<double>, b0 array<double>"
 
 
-def summed(words: int, added: float, bits: int):
+def summed(words: int, added: tuple[float, float], bits: int):
     """Over rows sorted by bucket: a row for each slice with what all buckets here add to its texts' losses, as the texts' numbers and two lists of floats."""
     texts = 1 << ROW_BITS
 
@@ -262,7 +262,9 @@ def score(docs: DataFrame, target: Column, background: Column | None = None, add
     """
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     docs = docs.select("doc_id", "text", flag(target).alias("target"), flag(F.lit(True) if background is None else background).alias("background"))
-    n_rows = docs.count()
+    size = lambda c: F.coalesce(F.sum(F.length("text") * F.col(c)), F.lit(0))
+    n_rows, *sizes = docs.agg(F.count("*"), size("target"), size("background")).first()
+    added = tuple(added * max(n, 1) / max(*sizes, 1) for n in sizes)
     common = common_keys(docs, n_rows)
     counts, words = counts_of(docs, common), vocabulary(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -274,7 +276,10 @@ def score(docs: DataFrame, target: Column, background: Column | None = None, add
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Target: texts labelled quality 1; background: all texts. A null doc_id is never a target."""
+    """Target: texts labelled quality 1; background: all texts. A null doc_id is never a target, a null label is none, and an empty table gives no rows."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    return score(docs.select("doc_id", "text").join(good, "doc_id", "left"), F.col("good"))
+    docs = docs.select("doc_id", "text")
+    if good.count() <= BROADCAST_ROWS:
+        return score(docs.join(F.broadcast(good), "doc_id", "left"), F.col("good"))
+    # rows of a shuffle have no lasting order, which slices of texts need
+    return score(table(docs.join(good, "doc_id", "left")), F.col("good"))

@@ -43,32 +43,41 @@ def both(kind: str, parts: list) -> object:
 
 
 def of_strings(strings: set[str]) -> object:
-    """The query that one of these strings occurs (lower-cased A-Z)."""
-    return both("or", [both("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """The query that one of these strings occurs (lower-cased A-Z), in trigrams of its bytes."""
+    return both("or", [both("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(x.encode() for x in strings)])
+
+
+def spelled(chars: set[str], loose: bool) -> set[str] | None:
+    """``chars`` with A-Z in lower case; None where other characters may stand for one: cased ones beyond ASCII, and if the rule ignores case beyond ASCII, i, k and s."""
+    low = {c.lower() if c.isascii() else c for c in chars}
+    return None if any(not c.isascii() and c.lower() != c.upper() or loose and c in "iks" for c in low) else low
 
 
 def trigram_query(pattern: str) -> object:
     """Mandatory trigrams of a regex, walking its parse tree with the exact strings of the run just read."""
 
-    def walk(items) -> tuple[set[str] | None, object]:
+    flags = re.compile(pattern).flags
+    loose = not flags & re.ASCII and bool(flags & re.IGNORECASE)
+
+    def walk(items, loose=loose) -> tuple[set[str] | None, object]:
         """Exact strings of a sequence (None: unbounded), and the query of what it has beyond them."""
         run, queries, exact = {""}, [], True
         for op, arg in items:
             strings, query = None, True
             if op is K.LITERAL:
-                strings = {chr(arg).lower()}
+                strings = spelled({chr(arg)}, loose)
             elif op is K.IN and all(o in (K.LITERAL, K.RANGE) for o, _ in arg):
-                chars = {chr(c).lower() for o, a in arg for c in (range(a[0], min(a[1], a[0] + 200) + 1) if o is K.RANGE else (a,))}
-                strings = chars if len(chars) <= 6 else None
+                chars = {chr(c) for o, a in arg for c in (range(a[0], min(a[1], a[0] + 200) + 1) if o is K.RANGE else (a,))}
+                strings = spelled(chars, loose) if len({c.lower() for c in chars}) <= 6 else None
             elif op is K.SUBPATTERN:
-                strings, query = walk(arg[-1])
+                strings, query = walk(arg[-1], (loose or bool(arg[1] & re.IGNORECASE)) and not (flags | arg[1]) & re.ASCII)
             elif op is K.BRANCH:
-                got = [walk(x) for x in arg[1]]
+                got = [walk(x, loose) for x in arg[1]]
                 strings = set().union(*(s for s, _ in got)) if all(s is not None for s, _ in got) else None
                 query = True if strings is not None else both("or", [q for _, q in got])
             elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
                 low, high, sub = arg
-                s, q = walk(sub)
+                s, q = walk(sub, loose)
                 query = q if low else True
                 if s is not None and high <= 3:
                     strings = set().union(*({""} if n == 0 else s if n == 1 else {a * n for a in s} for n in range(low, int(high) + 1))) if len(s) == 1 or high == 1 else None
@@ -87,15 +96,15 @@ def trigram_query(pattern: str) -> object:
     return walk(_parser.parse(pattern))[1]
 
 
-def trigrams_in(query: object) -> set[str]:
-    return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams_in, query[1]))
+def trigrams_in(query: object) -> set[bytes]:
+    return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(trigrams_in, query[1]))
 
 
-def answer(query: object, postings: dict[str, np.ndarray], every: np.ndarray) -> np.ndarray:
+def answer(query: object, postings: dict[bytes, np.ndarray], every: np.ndarray) -> np.ndarray:
     """Rows whose postings satisfy the query."""
     if query is True:
         return every
-    if isinstance(query, str):
+    if isinstance(query, bytes):
         return postings[query]
     got = [answer(q, postings, every) for q in query[1]]
     out = got[0]
@@ -107,26 +116,30 @@ def answer(query: object, postings: dict[str, np.ndarray], every: np.ndarray) ->
 class Index:
     """Postings of the trigrams that the rules ask for, over the texts of one slice."""
 
-    def __init__(self, wanted: list[str]):
+    def __init__(self, wanted: list[bytes]):
+        if len(wanted) >= 1 << 16:
+            raise ValueError(f"rules ask for {len(wanted)} trigrams; an index holds {(1 << 16) - 1}")
         self.wanted = wanted
-        self.codes = np.array([int.from_bytes(t.encode(), "big") for t in wanted], np.uint32)
-        self.slot = np.zeros(1 << 24, np.uint8)
+        self.codes = np.array([int.from_bytes(t, "big") for t in wanted], np.uint32)
+        self.slot = np.zeros(1 << 24, np.uint16)
         self.slot[self.codes] = np.arange(1, len(wanted) + 1)
 
-    def postings(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    def postings(self, data: np.ndarray, offsets: np.ndarray) -> dict[bytes, np.ndarray]:
         low = LOWER[data].astype(np.uint32)
-        slot = self.slot[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]] if len(low) > 2 else np.zeros(0, np.uint8)
+        slot = self.slot[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]] if len(low) > 2 else np.zeros(0, np.uint16)
         at = np.flatnonzero(slot)
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + 3 <= offsets[row + 1]
         row, slot = row[inside], slot[at[inside]]
-        return {t: np.unique(row[slot == k + 1]) for k, t in enumerate(self.wanted)}
+        order = np.argsort(slot, kind="stable")  # rows of a slot stay in order
+        row, cuts = row[order], np.searchsorted(slot[order], np.arange(1, len(self.wanted) + 2))
+        return {t: np.unique(row[cuts[k] : cuts[k + 1]]) for k, t in enumerate(self.wanted)}
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with the secret spans of the whole text.
 
-    Null and empty texts have no spans (the digest is of the empty string). Repeated rows are scanned
+    Null and empty texts have no spans (the digest is of the empty string); an empty table gives no rows. Repeated rows are scanned
     each. Spans of different kinds may overlap; all are kept. Work is per row: no shuffle.
     """
     queries = [trigram_query(p) for _, p, _, _ in rules]

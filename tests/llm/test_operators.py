@@ -67,8 +67,8 @@ def test_secrets_match_a_full_scan(spark):
 
 def test_trigram_queries_hold_for_every_match():
     for text in ("api_key=" + "a" * 12, "APIKEY: " + "b" * 12, "passwd='" + "c" * 12):
-        grams = {text.lower()[i : i + 3] for i in range(len(text))}
-        holds = lambda q: q is True or (q in grams if isinstance(q, str) else (all if q[0] == "and" else any)(map(holds, q[1])))  # noqa: E731, B023
+        grams = {text.lower().encode()[i : i + 3] for i in range(len(text))}
+        holds = lambda q: q is True or (q in grams if isinstance(q, bytes) else (all if q[0] == "and" else any)(map(holds, q[1])))  # noqa: E731, B023
         assert holds(secrets.trigram_query(secrets.RULES[0][1]))
 
 
@@ -310,13 +310,14 @@ def test_language_model_counts_match_brute_force(spark, monkeypatch):
     assert v > 16_384
     own = lambda i: i is not None and i >= 100 and i % 3 == 0
     models = []
-    for part in ([w for i, w in split if own(i)], [w for _, w in split]):
-        models.append((Counter(x for w in part for x in zip([None, *w], w, strict=False)), Counter(x for w in part for x in [None, *w][: len(w)])))
+    size = [sum(len(t or "") for i, t in rows if k or own(i)) for k in range(2)]
+    for k, part in enumerate(([w for i, w in split if own(i)], [w for _, w in split])):
+        models.append((Counter(x for w in part for x in zip([None, *w], w, strict=False)), Counter(x for w in part for x in [None, *w][: len(w)]), lm_score.ADDED * size[k] / size[1]))
 
     def loss(w, model, inside):
         pair, seen = Counter(zip([None, *w], w, strict=False)), Counter([None, *w][: len(w)])
         left = lambda x, total, mine: total[x] - inside * mine[x]
-        return sum(-math.log((left((a, b), model[0], pair) + lm_score.ADDED) / (left(a, model[1], seen) + lm_score.ADDED * v)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+        return sum(-math.log((left((a, b), model[0], pair) + model[2]) / (left(a, model[1], seen) + model[2] * v)) for a, b in zip([None, *w], w, strict=False)) / len(w)
 
     monkeypatch.setattr(lm_score, "vocabulary", lambda _: v)
     got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(d, F.expr("doc_id >= 100 and doc_id % 3 = 0")).collect()), key=str)
@@ -326,6 +327,32 @@ def test_language_model_counts_match_brute_force(spark, monkeypatch):
         assert x[2:] == pytest.approx(y[2:]) if x[2] is not None else y[2] is None
 
 
+def test_language_model_smooths_at_one_rate(spark):
+    """A text like both models' texts has nearly equal losses, although the target is a tenth of the background."""
+    draw = random.Random(9)
+    text = lambda: " ".join(f"w{int(draw.paretovariate(0.7)) % 5000}" for _ in range(300))
+    d = docs(spark, [(k, text()) for k in range(400)])
+    got = [r.difference for r in lm_score.score(d, F.col("doc_id") % 10 == 0).collect()]
+    assert abs(sum(got) / len(got)) < 0.5
+
+
+def test_secrets_of_many_rules_and_letters_beyond_ascii(spark):
+    rules = (*secrets.RULES[:3], *((f"own{k}", f"zq{k:03d}[a-z]+x", 0, 0) for k in range(120)), ("mark", "clé=[0-9]+", 0, 0), ("any", "(?i)task=[0-9]+", 0, 0), ("cap", "(?i)É[0-9]{3}", 0, 0))
+    texts = [f"..zq{k:03d}abcx.." for k in range(120)] + ["ma clé=77", "TASK=12 taſk=5", "é123 É456", ""]
+    got = secrets.scan(docs(spark, list(enumerate(texts))), rules).collect()
+    for r in got:
+        want = sorted((m.start(), k, m.end()) for k, (_, p, least, g) in enumerate(rules) for m in re.finditer(p, texts[r.doc_id]) if m.end(g) - m.start(g) >= least)
+        assert r.spans == ",".join(f"{rules[k][0]}:{s}:{e}" for s, k, e in want) and (want or not texts[r.doc_id])
+
+
+def test_decontamination_of_one_word_over_and_over(spark):
+    items = spark.createDataFrame([(1, "same " * 20)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs(spark, [(1, "same " * 6000), (2, "same " * 30), (3, "other " * 6000), (4, None)]), items).collect()
+    assert {r.doc_id: (r.contaminated, r.overlap) for r in got} == {1: (True, 1.0), 2: (True, 1.0), 3: (False, None), 4: (False, None)}
+    assert decontaminate.decontaminate(docs(spark, []), items).collect() == []
+    assert not decontaminate.decontaminate(docs(spark, [(1, "same " * 30)]), items.limit(0)).first().contaminated
+
+
 def test_language_model_vocabulary_is_near(spark):
     d = documents(spark)
     want = len({x for r in d.collect() for x in words(r.text)})
