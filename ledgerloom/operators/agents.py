@@ -175,11 +175,12 @@ def records(events: DataFrame) -> DataFrame:
 
 
 def run_results(events: DataFrame) -> DataFrame:
-    """(session_id, text_md5, n_results, n_errors, tokens, status): each run in one row; it failed if its last tool outcome is an error."""
+    """(session_id, text_md5, n_results, n_errors, tokens, status): each run in one row. This log has no finish of its own: a run whose last event is an error
+    finishes with it and failed; an error that the run got over is none (``streaming.lifecycle.results`` reads finishes)."""
     kind = F.col("kind")
     by = events.groupBy("session_id").agg(
         F.array_sort(F.collect_list(F.when(kind == "text", F.struct("seq", "delta")))).alias("t"), F.count_if(kind == "tool_result").alias("n_results"), F.count_if(kind == "tool_error").alias("n_errors"), F.sum("tokens").alias("tokens"),
-        F.max_by("kind", F.when(kind.isin("tool_result", "tool_error"), F.col("seq"))).alias("last"),
+        F.max_by("kind", "seq").alias("last"),
     )
     return by.select("session_id", F.md5(F.array_join(F.transform("t", lambda x: x["delta"]), "")).alias("text_md5"), "n_results", "n_errors", "tokens", F.when(F.col("last") == "tool_error", "failed").otherwise("finished").alias("status"))
 
@@ -270,7 +271,7 @@ ORACLE_SQL = {
     "v3_paired_calls": f"""SELECT coalesce(c.session_id, r.session_id) AS session_id, coalesce(c.call_id, r.call_id) AS call_id, CASE WHEN c.call_id IS NULL THEN 'unknown' WHEN r.call_id IS NULL THEN 'pending' WHEN k = 'tool_result' THEN 'result' ELSE 'error' END AS status, result_seq
       FROM (SELECT session_id, call_id FROM ({WITH_CALLS}) WHERE kind = 'tool_call') c FULL JOIN (SELECT session_id, call_id, arg_min(kind, seq) AS k, min(seq) AS result_seq FROM ({WITH_CALLS}) WHERE kind IN ('tool_result', 'tool_error') GROUP BY 1, 2) r ON c.session_id = r.session_id AND c.call_id = r.call_id""",
     "v4_run_results": f"""SELECT session_id, md5(coalesce(string_agg(delta, '' ORDER BY seq) FILTER (WHERE kind = 'text'), '')) AS text_md5, count(*) FILTER (WHERE kind = 'tool_result') AS n_results, count(*) FILTER (WHERE kind = 'tool_error') AS n_errors, CAST(sum(tokens) AS BIGINT) AS tokens,
-      CASE WHEN arg_max(kind, seq) FILTER (WHERE kind IN ('tool_result', 'tool_error')) = 'tool_error' THEN 'failed' ELSE 'finished' END AS status FROM ({LOG.replace("CAST(value AS BIGINT)", "CAST(trunc(value) AS BIGINT)")}) GROUP BY 1""",
+      CASE WHEN arg_max(kind, seq) = 'tool_error' THEN 'failed' ELSE 'finished' END AS status FROM ({LOG.replace("CAST(value AS BIGINT)", "CAST(trunc(value) AS BIGINT)")}) GROUP BY 1""",
     "v5_pending_progress": f"""SELECT session_id, seq, call_id FROM (SELECT *, count(*) FILTER (WHERE kind = 'tool_call') OVER w AS begun, count(*) FILTER (WHERE kind IN ('tool_result', 'tool_error')) OVER w AS ended FROM ({WITH_CALLS}) WHERE call_id IS NOT NULL
       WINDOW w AS (PARTITION BY session_id, call_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE kind = 'progress' AND begun > 0 AND ended = 0""",
     "v7_redacted_errors": f"SELECT event_id, regexp_replace({_REDACTED}, '^\\s+|\\s+$', '', 'g') AS clean FROM ({ERRORS.replace(chr(92) * 2, chr(92))})",

@@ -1,13 +1,14 @@
 """Operators against known cases: fiscal periods, merges, cells, bindings, gates, items, stubs, blocks, Markdown, runs, streams."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import functions, sources
 from ledgerloom.operators import agents, blocks, fundamentals, headings, landing, markdown, scoring, sections
-from ledgerloom.streaming import sessions
+from ledgerloom.streaming import lifecycle, sessions
 
 
 def one(spark, column, **values):
@@ -284,3 +285,70 @@ def test_next_text_after_a_line_of_white_space(spark):
     text = f"Intro of it\nOverview Of Things\n\t{NBSP}\n" + "Long prose goes on and on. " * 5
     rows = blocks.lines(spark.createDataFrame([(1, 1, text)], "filing_id long, item_id long, text string"))
     assert [r.line_idx for r in blocks.fallback_lines(rows).collect()] == [1]
+
+
+RUN = [
+    ("text", "m1", None, None, "Hel"), ("text", "m1", None, None, ""), ("text", None, None, None, "lo"), ("reasoning", "m1", None, None, "hm"), ("reasoning", "m1", None, None, "a second part"), ("reasoning", "m2", None, None, ""),
+    ("progress", None, "c1", None, "too early"), ("tool_start", "m2", "c1", "quote", None), ("call", None, "c1", "quote", '{"t": "A"}'), ("progress", None, "c1", None, '{"p": 1}'), ("error", None, "c1", None, "timed out"), ("progress", None, "c1", None, "too late"),
+    ("usage", "m3", None, None, None), ("failure", None, None, None, "broke"), ("text", "m4", None, None, "after the end"),
+]
+TOLD = [
+    ("start", "m1", None), ("text-start", "text-0", None), ("text-delta", "text-0", "Hel"), ("text-delta", "text-0", "lo"), ("reasoning-start", "reasoning-0", None), ("reasoning-delta", "reasoning-0", "hm"), ("reasoning-end", "reasoning-0", None), ("reasoning-start", "reasoning-1", None),
+    ("reasoning-delta", "reasoning-1", "a second part"), ("reasoning-end", "reasoning-1", None), ("reasoning-start", "reasoning-2", None), ("reasoning-end", "reasoning-2", None), ("text-end", "text-0", None), ("tool-call", "c1", '{"t": "A"}'), ("tool-progress", "c1", '{"p": 1}'),
+    ("tool-error", "c1", "timed out"), ("error", None, "broke"), ("finish", None, "error"),
+]
+
+
+def raw_log(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, k, start + datetime.timedelta(seconds=k), 0 if k < 5 else k, *x[:3], x[3], x[4], 10, 1) for k, x in enumerate(RUN)]
+    rows += [(1, 100, start + datetime.timedelta(days=3), 100, "text", "m5", None, None, "again", 7, 2), (2, 5, start, 5, "progress", None, None, None, "x", None, None)]
+    return spark.createDataFrame(rows, lifecycle.RAW)
+
+
+def test_a_run_is_told_whole(spark):
+    out = lifecycle.told(raw_log(spark)).orderBy("session_id", "seq", "ord").collect()
+    assert [(r.type, r.id, r.text) for r in out if r.session_id == 1 and r.seq < 100] == TOLD
+    assert [(r.type, r.id) for r in out if r.session_id == 1 and r.seq == 100] == [("start", "m5"), ("text-start", "text-0"), ("text-delta", "text-0"), ("text-end", "text-0"), ("finish", None)]
+    assert [(r.seq, r.tokens_in, r.tokens_out) for r in out if r.type == "finish"] == [(13, 80, 8), (100, 7, 2), (5, 0, 0)]
+    assert [r.type for r in out if r.session_id == 2] == ["finish"]
+
+
+def test_run_status_and_usage(spark):
+    log = raw_log(spark)
+    out = lifecycle.told(log)
+    assert {(r.session_id, r.seq): (r.status, r.error) for r in lifecycle.results(log, out).collect()} == {(1, 13): ("failed", "broke"), (1, 100): ("finished", None), (2, 5): ("finished", None)}
+    assert [tuple(r) for r in lifecycle.usage(out).orderBy("session_id", "turn").collect()] == [(1, 1, 80, 8), (1, 2, 7, 2), (2, 1, 0, 0)]
+    # an error of a tool alone doesn't fail a run that ends well
+    fine = log.where("seq < 12 and session_id = 1")
+    assert [(r.status, r.error) for r in lifecycle.results(fine, lifecycle.told(fine)).collect()] == [("finished", None)]
+
+
+def test_wire_records_of_all_kinds(spark):
+    rows = [(1, k, 0, t, "i", "n", '{"a": [1, "é\\"]}' if t == "tool-call" else '{"a": 1}' if t.startswith("tool") else 'say "x"\n', 3, 4) for k, t in enumerate(lifecycle.TYPES)]
+    got = {r.seq: r.record for r in lifecycle.records(spark.createDataFrame(rows, lifecycle.TOLD)).collect()}
+    got = {t: json.loads(got[k].removeprefix("data: ")) for k, t in enumerate(lifecycle.TYPES)}
+    said = 'say "x"\n'
+    assert got == {
+        "start": {"type": "start", "messageId": "i", "messageMetadata": {"sessionId": "1"}}, "text-start": {"type": "text-start", "id": "i"}, "text-delta": {"type": "text-delta", "id": "i", "delta": said}, "text-end": {"type": "text-end", "id": "i"},
+        "tool-call": {"type": "tool-input-available", "toolCallId": "i", "toolName": "n", "input": '{"a": [1, "é\\"]}'}, "tool-result": {"type": "tool-output-available", "toolCallId": "i", "output": {"a": 1}}, "tool-error": {"type": "tool-output-error", "toolCallId": "i", "errorText": '{"a": 1}'},
+        "tool-progress": {"type": "data-tool-progress", "id": "i", "data": {"a": 1}, "transient": True}, "reasoning-start": {"type": "reasoning-start", "id": "i"}, "reasoning-delta": {"type": "reasoning-delta", "id": "i", "delta": said}, "reasoning-end": {"type": "reasoning-end", "id": "i"},
+        "error": {"type": "error", "errorText": said}, "finish": {"type": "finish", "finishReason": said, "messageMetadata": {"usage": {"totalTokens": 7}}},
+    }
+
+
+def test_replayed_batches_leave_their_rows_once(spark, tmp_path):
+    write = lifecycle.sink(f"{tmp_path}/rows")
+    rows = spark.range(5)
+    for batch in (0, 1, 1, 0):
+        write(rows, batch)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 10
+
+
+def test_late_and_missing_outcomes(spark):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda h: start + datetime.timedelta(hours=h)
+    rows = [(1, 1, at(0), "tool_start", "a"), (1, 2, at(1), "result", "a"), (1, 3, at(2), "error", "a"), (1, 4, at(20), "result", "a"), (1, 5, at(3), "tool_start", "b"), (1, 6, at(4), "result", "c"), (2, 7, at(1), "result", "b")]
+    log = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string, call_id string")
+    got = {(r.session_id, r.call_id, r.call_seq, r.end_seq, r.status) for r in lifecycle.outcomes(lifecycle.started(log), lifecycle.ended(log)).collect()}
+    assert got == {(1, "a", 1, 2, "result"), (1, "a", 1, 3, "error"), (1, "a", None, 4, "unexpected"), (1, "b", 5, None, "pending"), (1, "c", None, 6, "unexpected"), (2, "b", None, 7, "unexpected")}
