@@ -59,16 +59,27 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def evened(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), rf"[{SPACE}]+", " "))
+
+
 def canonical(text: Column) -> Column:
     """One form of quotes, dashes, compatible characters and white space; the case stays."""
-    return F.trim(F.regexp_replace(F.translate(nfkc(text), "‘’“”–—", "''\"\"--"), rf"[{SPACE}]+", " "))
+    return evened(nfkc(text))
+
+
+def prepared(texts: DataFrame) -> DataFrame:
+    """(filing_id, item_id, n_chars, lines, canon): a row for each text (filing_id, item_id, text), its lines and their canonical forms in arrays, so all that follows is within a row; the
+    compatible characters are put in one form in one pass over the texts."""
+    rows = texts.select("filing_id", "item_id", F.length("text").alias("n_chars"), F.split("text", "\n").alias("lines"), nfkc(F.col("text")).alias("folded"))
+    return rows.select("filing_id", "item_id", "n_chars", "lines", F.transform(F.split("folded", "\n"), evened).alias("canon"))
 
 
-def lines(texts: DataFrame) -> DataFrame:
-    """(filing_id, item_id, line_idx, line, canon, at, n_chars): the lines of each text (filing_id, item_id, text), ``at`` being the characters before one."""
-    each = texts.select("filing_id", "item_id", F.length("text").alias("n_chars"), F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+def lines(rows: DataFrame) -> DataFrame:
+    """(filing_id, item_id, line_idx, line, canon, at): the lines of ``prepared`` texts, ``at`` being the characters before one."""
+    each = rows.select("filing_id", "item_id", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.col("canon").alias("canon"))).alias("line_idx", "z")).select("filing_id", "item_id", "line_idx", "z.*")
     before = F.sum(F.length("line") + 1).over(Window.partitionBy("item_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1))
-    return each.withColumn("canon", canonical(F.col("line"))).withColumn("at", F.coalesce(before, F.lit(0)))
+    return each.withColumn("at", F.coalesce(before, F.lit(0)))
 
 
 def heading_candidates(markdown: DataFrame, registrant: Column) -> DataFrame:
@@ -84,54 +95,65 @@ def heading_candidates(markdown: DataFrame, registrant: Column) -> DataFrame:
     return counted.where(F.col("level").isin(3, 4) & ~F.coalesce(noise, F.lit(False))).select("filing_id", "level", "heading", "canon").distinct()
 
 
-def anchored_lines(text_lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(item_id, line_idx, at, n_chars, source): lines equal to a candidate of their filing."""
-    name = F.when(F.col("level") == 3, "markdown_h3").otherwise("markdown_h4")
-    targets = candidates.select("filing_id", "canon", name.alias("source")).distinct()
-    return text_lines.where("canon <> ''").join(targets, ["filing_id", "canon"]).select("item_id", "line_idx", "at", "n_chars", "source")
+def fallback_lines(lines_: Column) -> Column:
+    """Numbers of the lines that look like a heading by themselves and stand like one: no sentence ends just before, and long prose follows."""
+    solid = F.filter(F.transform(lines_, lambda x, i: F.struct(i.alias("i"), stripped(x).alias("s"))), lambda x: x["s"] != "")
 
+    def stands(all_: Column) -> Column:
+        def heading(x: Column, place: Column) -> Column:
+            s = x["s"]
+            shaped = F.length(s).between(5, 120) & ~s.rlike(r"\d{3,}") & ~s.rlike(rf"^[\d{SPACE}]+$") & ~s.rlike(rf"(?i)^item[{SPACE}]+\d+[a-c]?\.?") & ~s.rlike(r"^\(\d+\)") & ~s.rlike(r"[|$%]") & ~s.rlike(r"[.,;:]$")
+            before = F.coalesce(F.get(lines_, x["i"] - 1), F.lit(""))
+            return F.when(shaped & ~before.rlike(rf"[.!?][{SPACE}]*+\z") & (F.length(F.get(all_, place + 1)["s"]) > 80), x["i"])
 
-def fallback_lines(text_lines: DataFrame) -> DataFrame:
-    """Lines that look like a heading by themselves and stand like one: no sentence ends just before, and long prose follows."""
-    w = Window.partitionBy("item_id").orderBy("line_idx")
-    text_lines = text_lines.withColumn("s", stripped("line"))
-    s, solid = F.col("s"), F.nullif(F.col("s"), F.lit(""))
-    shaped = F.length(s).between(5, 120) & ~s.rlike(r"\d{3,}") & ~s.rlike(r"^[\d\s]+$") & ~s.rlike(r"(?i)^item\s+\d+[a-c]?\.?") & ~s.rlike(r"^\(\d+\)") & ~s.rlike(r"[|$%]") & ~s.rlike(r"[.,;:]$")
-    rows = text_lines.withColumn("before", F.coalesce(F.lag("line").over(w), F.lit(""))).withColumn("after", F.first(solid, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    return rows.where(shaped & ~F.col("before").rlike(rf"[.!?][{SPACE}]*+\z") & (F.length("after") > 80)).select("item_id", "line_idx", "at", "n_chars", F.lit("text_fallback").alias("source"))
+        return F.filter(F.transform(all_, heading), lambda i: i.isNotNull())
 
+    return bound(solid, stands)
 
-def detected(anchors: DataFrame) -> DataFrame:
-    """(item_id, source): the first source in order with two anchors or more, the first of them in the text's first 30 %."""
-    by = anchors.groupBy("item_id", "source").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("n_chars").alias("n_chars"))
-    good = by.where((F.col("n") >= 2) & (F.col("first") <= FIRST_ANCHOR * F.col("n_chars")))
-    rank = F.when(F.col("source") == "markdown_h3", 1).when(F.col("source") == "markdown_h4", 2).otherwise(3)
-    return good.groupBy("item_id").agg(F.min_by("source", rank).alias("source"))
 
+def marked(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``prepared`` rows with the line numbers of each source's anchors (h3 and h4: lines equal to a candidate of their filing; fallback), the first source in order
+    with two anchors or more, the first of them in the text's first 30 %, and its anchors (``marks``; both null where there is none)."""
+    by = candidates.groupBy("filing_id").agg(*(F.collect_set(F.when(F.col("level") == k, F.col("canon"))).alias(f"known{k}") for k in (3, 4)))
+    number = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("canon", i) != "")
+    at = lambda known: F.filter("some", lambda i: F.array_contains(known, F.get("canon", i)))
+    none = F.array().cast("array<int>")
+    rows = rows.join(by, "filing_id", "left").withColumn("some", F.when(F.col("known3").isNull(), none).otherwise(number))
+    rows = rows.select("filing_id", "item_id", "n_chars", "lines", F.coalesce(at("known3"), none).alias("h3"), F.coalesce(at("known4"), none).alias("h4"), fallback_lines(F.col("lines")).alias("fallback"))
+    before = lambda i: F.aggregate(F.slice("lines", 1, i), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    good = lambda c: F.when(F.size(c) >= 2, before(F.get(c, F.lit(0))) <= FIRST_ANCHOR * F.col("n_chars")).otherwise(False)
+    source = F.when(good("h3"), "markdown_h3").when(good("h4"), "markdown_h4").when(good("fallback"), "text_fallback")
+    rows = rows.withColumn("source", source)
+    return rows.withColumn("marks", F.when(F.col("source") == "markdown_h3", F.col("h3")).when(F.col("source") == "markdown_h4", F.col("h4")).when(F.col("source") == "text_fallback", F.col("fallback")))
 
-def assembled(text_lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(filing_id, item_id, source, block, heading, text): each item in blocks from anchor to anchor, block 0 being the prelude.
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """(filing_id, item_id, source, block, heading, text, prelude): each item of ``marked`` in blocks from anchor to anchor, block 0 being the prelude.
 
     What comes before the first anchor is the prelude if it has at most 3,000 characters, else a block without heading (-1). An
-    item without a plausible detection is one flat unit, heading null. No line is lost.
+    item without a plausible detection is one flat unit, heading null. No line is lost. ``prelude`` is the text of block 0 where that isn't the whole item.
     """
-    chosen = detected(anchors)
-    marks = anchors.join(chosen, ["item_id", "source"]).select("item_id", "line_idx", F.lit(1).alias("mark")).distinct()
-    rows = text_lines.join(chosen, "item_id", "left").join(marks, ["item_id", "line_idx"], "left")
-    number = F.sum(F.coalesce("mark", F.lit(0))).over(Window.partitionBy("item_id").orderBy("line_idx"))
-    rows = rows.withColumn("block", number.cast("int"))
-    by = rows.groupBy("filing_id", "item_id", "source", "block").agg(
-        F.max(F.when(F.col("mark") == 1, stripped("line"))).alias("heading"), F.array_sort(F.collect_list(F.when(F.col("mark").isNull(), F.struct("line_idx", "line")))).alias("l")
-    )
-    text = stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    by = by.select("filing_id", "item_id", "source", "block", "heading", text.alias("text"))
-    return by.withColumn("block", F.when((F.col("block") == 0) & F.col("source").isNotNull() & (F.length("text") > PRELUDE_CHARS), -1).otherwise(F.col("block")))
+    cuts = F.concat(F.array(F.lit(-1)), F.coalesce("marks", F.array().cast("array<int>")))
+
+    def cut(cuts: Column) -> Column:
+        def part(at: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(cuts, k + 1), F.size("lines"))
+            text = stripped(F.array_join(F.slice("lines", at + 2, stop - at - 1), "\n"))
+            return F.struct(k.alias("block"), F.when(k > 0, stripped(F.get("lines", at))).alias("heading"), text.alias("text"), (stop - at - 1).alias("n"))
+
+        return F.filter(F.transform(cuts, part), lambda x: (x["block"] > 0) | (x["n"] > 0))
+
+    rows = rows.select("filing_id", "item_id", "source", bound(cuts, cut).alias("parts"))
+    structured = F.col("source").isNotNull()
+    first = F.get(F.filter("parts", lambda x: (x["block"] == 0) & structured & (F.length(x["text"]) <= PRELUDE_CHARS)), F.lit(0))
+    each = rows.withColumn("prelude", first["text"]).select("filing_id", "item_id", "source", "prelude", F.inline("parts"))
+    block = F.when((F.col("block") == 0) & structured & (F.length("text") > PRELUDE_CHARS), -1).otherwise(F.col("block"))
+    return each.select("filing_id", "item_id", "source", block.alias("block"), "heading", "text", "prelude")
 
 
 def units(blocks: DataFrame) -> DataFrame:
     """Chunkable units in order: a flat body; or the prelude, if it isn't empty, and then the blocks, which carry the prelude as context."""
-    prelude = F.max(F.when((F.col("block") == 0) & F.col("source").isNotNull(), F.col("text"))).over(Window.partitionBy("item_id"))
-    own = blocks.withColumn("prelude", prelude).where("block <> 0 or source is null or text <> ''")
+    own = blocks.where("block <> 0 or source is null or text <> ''")
     return own.select("filing_id", "item_id", "block", "heading", "text", F.when((F.col("block") != 0) & (F.col("prelude") != ""), F.col("prelude")).alias("prelude"))
 
 
@@ -160,29 +182,30 @@ def candidates(spark, sf_dir: str) -> DataFrame:
     return heading_candidates(derived(spark, sf_dir, MARKDOWN, "documents"), F.lit("Results For en 1"))
 
 
-def all_anchors(spark, sf_dir: str, rows: DataFrame) -> DataFrame:
-    return anchored_lines(rows, candidates(spark, sf_dir)).unionByName(fallback_lines(rows))
+def all_marked(spark, sf_dir: str) -> DataFrame:
+    return marked(prepared(items(spark, sf_dir)), candidates(spark, sf_dir))
 
 
 def canonical_lines(spark, sf_dir: str) -> DataFrame:
-    return lines(items(spark, sf_dir)).select("item_id", "line_idx", "at", F.md5("canon").alias("canon_md5"))
+    return lines(prepared(items(spark, sf_dir))).select("item_id", "line_idx", "at", F.md5("canon").alias("canon_md5"))
 
 
 def anchors(spark, sf_dir: str) -> DataFrame:
-    return anchored_lines(lines(items(spark, sf_dir)), candidates(spark, sf_dir)).select("item_id", "line_idx", "source")
+    named = lambda c, name: F.transform(c, lambda i: F.struct(i.alias("line_idx"), F.lit(name).alias("source")))
+    both = F.concat(named("h3", "markdown_h3"), named("h4", "markdown_h4"))
+    return all_marked(spark, sf_dir).select("item_id", F.inline(both))
 
 
 def fallbacks(spark, sf_dir: str) -> DataFrame:
-    return fallback_lines(lines(items(spark, sf_dir))).select("item_id", "line_idx")
+    return prepared(items(spark, sf_dir)).select("item_id", F.explode(fallback_lines(F.col("lines"))).alias("line_idx"))
 
 
 def sources(spark, sf_dir: str) -> DataFrame:
-    return detected(all_anchors(spark, sf_dir, lines(items(spark, sf_dir))))
+    return all_marked(spark, sf_dir).where("source is not null").select("item_id", "source")
 
 
 def blocks(spark, sf_dir: str) -> DataFrame:
-    rows = lines(items(spark, sf_dir))
-    return assembled(rows, all_anchors(spark, sf_dir, rows))
+    return assembled(all_marked(spark, sf_dir))
 
 
 def block_table(spark, sf_dir: str) -> DataFrame:

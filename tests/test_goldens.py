@@ -163,10 +163,9 @@ def test_empty_filings_are_rejected(spark):
 def test_blocks_lose_no_line(spark):
     prose = "This is a long line of prose that says enough to follow a heading, as a paragraph does in a report."
     texts = [(1, 10, f"before\nFirst Part\n{prose}\nSecond Part\n{prose}"), (1, 11, "nothing here"), (1, 12, f"{'x ' * 1600}\nFirst Part\n{prose * 120}\nSecond Part\n{prose}")]
-    rows = blocks.lines(spark.createDataFrame(texts, "filing_id long, item_id long, text string"))
+    rows = blocks.prepared(spark.createDataFrame(texts, "filing_id long, item_id long, text string"))
     md = spark.createDataFrame([(1, "### First Part"), (1, "### Second Part"), (1, "### PART II")], "filing_id long, line string")
-    marks = blocks.anchored_lines(rows, blocks.heading_candidates(md, F.lit(None).cast("string"))).unionByName(blocks.fallback_lines(rows))
-    got = blocks.assembled(rows, marks).orderBy("item_id", "block").collect()
+    got = blocks.assembled(blocks.marked(rows, blocks.heading_candidates(md, F.lit(None).cast("string")))).orderBy("item_id", "block").collect()
     for _, item, text in texts:
         own = [x for r in got if r.item_id == item for x in (r.heading, r.text) if x]
         assert sorted(x.strip() for x in "\n".join(own).split("\n")) == sorted(x.strip() for x in text.split("\n"))
@@ -283,8 +282,8 @@ def test_long_runs_of_lines(spark):
 
 def test_next_text_after_a_line_of_white_space(spark):
     text = f"Intro of it\nOverview Of Things\n\t{NBSP}\n" + "Long prose goes on and on. " * 5
-    rows = blocks.lines(spark.createDataFrame([(1, 1, text)], "filing_id long, item_id long, text string"))
-    assert [r.line_idx for r in blocks.fallback_lines(rows).collect()] == [1]
+    rows = blocks.prepared(spark.createDataFrame([(1, 1, text)], "filing_id long, item_id long, text string"))
+    assert rows.select(blocks.fallback_lines(F.col("lines"))).first()[0] == [1]
 
 
 RUN = [
