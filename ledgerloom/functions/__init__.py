@@ -8,17 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for the inside of a pattern's brackets; Java's own class knows ASCII's alone. The second is for DuckDB's patterns.
-SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 SQL_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def stripped(text: Column | str) -> Column:
-    """``text`` without white space at its ends; each run of white space is looked at once."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    """``text`` without white space at its ends, of which alone it looks at more than one character."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def right_stripped(text: Column | str) -> Column:
-    return F.regexp_replace(text, rf"(?<![{SPACE}])[{SPACE}]++\z", "")
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:

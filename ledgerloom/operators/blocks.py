@@ -56,23 +56,20 @@ NOISE_SHAPES = (
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
-
-
-def evened(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), rf"[{SPACE}]+", " "))
+    return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
 def canonical(text: Column) -> Column:
     """One form of quotes, dashes, compatible characters and white space; the case stays."""
-    return evened(nfkc(text))
+    return F.trim(F.regexp_replace(F.translate(nfkc(text), "‘’“”–—", "''\"\"--"), rf"[{SPACE}]+", " "))
 
 
 def prepared(texts: DataFrame) -> DataFrame:
     """(filing_id, item_id, n_chars, lines, canon): a row for each text (filing_id, item_id, text), its lines and their canonical forms in arrays, so all that follows is within a row; the
     compatible characters are put in one form in one pass over the texts."""
     rows = texts.select("filing_id", "item_id", F.length("text").alias("n_chars"), F.split("text", "\n").alias("lines"), nfkc(F.col("text")).alias("folded"))
-    return rows.select("filing_id", "item_id", "n_chars", "lines", F.transform(F.split("folded", "\n"), evened).alias("canon"))
+    even = F.regexp_replace(F.translate("folded", "‘’“”–—", "''\"\"--"), rf"[{SPACE}&&[^\n]]+", " ")
+    return rows.select("filing_id", "item_id", "n_chars", "lines", F.transform(F.split(even, "\n"), lambda x: F.trim(x)).alias("canon"))
 
 
 def lines(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ PAGE = r"(?m)^[ \t]*\d*[ \t]*\n---[ \t]*(?:\n|\z)(?:\[Table of Contents\]\([^)]+
 ABBREVIATIONS = ("MD&A", "SEC", "U.S.", "U.S", "R&D", "CEO", "CFO", "CTO", "ESG", "AI", "IT", "IPO")
 SMALL = ("of", "the", "and", "for", "to", "in", "on", "at", "by", "a", "an", "or", "as", "is")
 #: White space but for line ends, for the inside of brackets.
-BLANK = SPACE.replace(r"\s", r" \t\x0b\f\r")
+BLANK = rf"{SPACE}&&[^\n]"
 
 
 def front(md: Column) -> Column:
@@ -164,6 +164,38 @@ def variants(spark, sf_dir: str) -> DataFrame:
     return by.join(samples, "kind")
 
 
+def outline(markdown: DataFrame) -> DataFrame:
+    """(doc_id, node, header_path, text_md5) of Markdown (doc_id, md): a node is a heading with the lines up to the next, or what stands before the first, unless blank. Its path is
+    the open headings above it and its own: a heading closes those of its level and deeper. Lines between fences are no headings. A slash in a heading parts it, and a heading isn't repeated after an equal one."""
+    rows = markdown.select("doc_id", F.posexplode(F.split("md", "\n")).alias("line_idx", "line"))
+    w = Window.partitionBy("doc_id").orderBy("line_idx")
+    rows = rows.withColumn("fenced", F.count_if(F.col("line").startswith("```")).over(w) % 2 == 1)
+    level = F.length(F.regexp_extract("line", r"^(#{1,6}) +(.*[^ ].*)$", 1))
+    rows = rows.withColumn("level", F.when(~F.col("fenced") & (level > 0), level)).withColumn("title", F.when(F.col("level").isNotNull(), stripped(F.regexp_extract("line", r"^#{1,6} +(.*)$", 1))))
+    rows = rows.withColumn("node", F.count("level").over(w))
+    heads = rows.where("level is not null").select("doc_id", "node", "line_idx", "level", "title")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = {}
+    for k in range(1, 6):  # the last heading of each level, and the last of a higher level, which closes it
+        last[f"h{k}"] = F.last(F.when(F.col("level") == k, F.struct("line_idx", "title")), ignorenulls=True).over(before)
+        last[f"above{k}"] = F.last(F.when(F.col("level") < k, F.col("line_idx")), ignorenulls=True).over(before)
+    heads = heads.withColumns(last)
+    open_ = [F.when((F.col("level") > k) & (F.col(f"h{k}.line_idx") > F.coalesce(F.col(f"above{k}"), F.lit(-1))), F.col(f"h{k}.title")) for k in range(1, 6)]
+    parts = F.filter(F.flatten(F.transform(F.array_compact(F.array(*open_)), lambda x: F.split(x, "/"))), lambda x: x != "")
+    path = bound(parts, lambda p: F.array_join(F.when(F.get(p, F.size(p) - 1).eqNullSafe(F.col("title")), p).otherwise(F.array_append(p, F.col("title"))), " / "))
+    texts = rows.groupBy("doc_id", "node").agg(F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("l")).select("doc_id", "node", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    out = texts.join(heads.select("doc_id", "node", path.alias("header_path")), ["doc_id", "node"], "left").where((F.col("node") > 0) | (stripped("text") != ""))
+    return out.select("doc_id", "node", F.coalesce("header_path", F.lit("")).alias("header_path"), F.md5("text").alias("text_md5"))
+
+
+def nested(spark, sf_dir: str) -> DataFrame:
+    return outline(derived(spark, sf_dir, NESTED, "documents"))
+
+
+#: Markdown with headings of all levels, slashes, repeats and a fence around the documents' texts.
+NESTED = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Intro ', source, chr(10)) END, '# Annual ', source, chr(10), text, chr(10), '### Deep ', doc_id % 4, chr(10), text, chr(10), '## Part/Whole', chr(10), '### Below', chr(10), 'x', chr(10), '### Below', chr(10), '#### Below', chr(10), '```', chr(10), '# not one', chr(10), '```', chr(10),
+  CASE WHEN doc_id % 2 = 0 THEN '# Second' ELSE '## Second' END, chr(10), text, chr(10), '###### Six', chr(10), '#no heading', chr(10), '##### Five') AS md FROM documents"""
+
 _BODY = "substr(md, length(regexp_extract(md, '(?s)\\A(---\\n.*?\\n---\\n)', 1)) + 1)"
 _P1, _I1 = "^# (?:PART|Part) I\\b", "^## (?:ITEM|Item) 1\\b"
 _ANCHOR = f"CASE WHEN regexp_matches({_BODY}, '(?m){_P1}') THEN 'part' WHEN regexp_matches({_BODY}, '(?m){_I1}') THEN 'item' ELSE 'none' END"
@@ -213,6 +245,7 @@ _LINES = f"""SELECT *, {_KIND} AS kind, trim(regexp_extract(line, '^## (?:ITEM|I
 QUERIES = {
     "m1_cover_strip": ruled(strip_cover), "m2_page_separators": ruled(strip_pages), "m3_part_three_stubs": ruled(strip_stubs), "m4_stub_sections": stub_sections, "m5_split_titles": ruled(merge_titles),
     "m6_headings": ruled(normal_headings), "m7_clean": ruled(clean), "m8_profile": profile, "m9_heading_variants": variants,
+    "c4_outline": nested,
 }
 ORACLE_SQL = {name: _digest(_sql_clean(0, k)) for name, k in (("m1_cover_strip", 0), ("m2_page_separators", 1), ("m3_part_three_stubs", 2), ("m5_split_titles", 3), ("m6_headings", 4))} | {
     "m4_stub_sections": f"SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, CAST({_LEFT} AS INTEGER) AS remaining, {_IS_STUB} AS is_stub FROM (SELECT doc_id, unnest({_SECTIONS}) AS s, generate_subscripts({_SECTIONS}, 1) AS place FROM ({MD})) WHERE {_STUBBED}",
@@ -223,3 +256,15 @@ ORACLE_SQL = {name: _digest(_sql_clean(0, k)) for name, k in (("m1_cover_strip",
     "m9_heading_variants": f"""SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind IN ('ITEM', 'Item') AND title = '') AS n_empty, count(*) FILTER (WHERE length(title) BETWEEN 1 AND 4) AS n_short,
       string_agg(line, '; ' ORDER BY doc_id, k) FILTER (WHERE p <= 3) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, k) AS p FROM ({_LINES})) GROUP BY 1""",
 }
+ORACLE_SQL |= {
+    "c4_outline": f"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(md, chr(10)), 1) AS INTEGER) AS i, unnest(string_split(md, chr(10))) AS line FROM ({NESTED})),
+      f AS (SELECT *, count(*) FILTER (WHERE starts_with(line, '```')) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM l),
+      h AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '^#{{1,6}} +[^ ]') THEN length(regexp_extract(line, '^(#{{1,6}}) ', 1)) END AS level FROM f),
+      n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS node FROM h),
+      heads AS (SELECT doc_id, node, i, level, trim(regexp_replace(line, '^#{{1,6}} +', '')) AS title FROM n WHERE level IS NOT NULL),
+      paths AS (SELECT c.doc_id, c.node, any_value(c.title) AS title, list_filter(flatten(list(string_split(p.title, '/') ORDER BY p.i)), lambda x: x <> '') AS above FROM heads c LEFT JOIN heads p ON p.doc_id = c.doc_id AND p.i < c.i AND p.level < c.level
+        AND NOT EXISTS (SELECT 1 FROM heads q WHERE q.doc_id = c.doc_id AND q.i > p.i AND q.i < c.i AND q.level <= p.level) GROUP BY 1, 2),
+      texts AS (SELECT doc_id, node, string_agg(line, chr(10) ORDER BY i) AS text FROM n GROUP BY 1, 2)
+      SELECT t.doc_id, t.node, CASE WHEN p.node IS NULL THEN '' ELSE array_to_string(CASE WHEN len(above) > 0 AND above[-1] = title THEN above ELSE list_append(coalesce(above, []), title) END, ' / ') END AS header_path, md5(text) AS text_md5
+      FROM texts t LEFT JOIN paths p ON p.doc_id = t.doc_id AND p.node = t.node WHERE t.node > 0 OR trim(text) <> ''""",
+}

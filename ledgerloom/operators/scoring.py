@@ -14,20 +14,27 @@ from .retrieval import RANKED, ranked
 
 
 def hits(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """(query_id, entry, rank): results (query_id, rank, header_path, text) whose path begins with an entry's ``path`` (case counts) and, unless its ``snippet`` is null or empty, whose text holds it (case doesn't)."""
-    both = results.join(expected, "query_id")
-    snippet = F.coalesce(F.col("snippet"), F.lit("")) == ""
-    return both.where(F.col("header_path").startswith(F.col("path")) & (snippet | F.contains(F.lower("text"), F.lower("snippet")))).select("query_id", "entry", "rank")
+    """(query_id, entry, rank): results (query_id, rank, header_path, text) that hit an expected entry.
+
+    An entry has any number of rows (query_id, entry, path, snippet). A result hits it if its path begins with any of the entry's paths (case counts) and, unless
+    all snippets are null or empty, its text holds any of them (case doesn't). A result that repeats a path and text of a better rank is the same chunk and counts there alone.
+    """
+    entries = expected.groupBy("query_id", "entry").agg(F.collect_set("path").alias("paths"), F.collect_set(F.lower(F.nullif(F.col("snippet"), F.lit("")))).alias("snippets"))
+    chunks = results.groupBy("query_id", "header_path", "text").agg(F.min("rank").alias("rank"))
+    both = chunks.join(entries, "query_id")
+    path = F.exists("paths", lambda p: F.col("header_path").startswith(p))
+    snippet = (F.size("snippets") == 0) | F.exists("snippets", lambda s: F.contains(F.lower("text"), s))
+    return both.where(path & snippet).select("query_id", "entry", "rank")
 
 
 def bound_scores(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """(query_id, n_expected, recall_5, recall_10, reciprocal_rank, average_precision) of every query with expected entries (query_id, entry, path, snippet).
+    """(query_id, n_expected, recall_5, recall_10, reciprocal_rank, average_precision) of every query with expected entries (query_id, entry, path, snippet); an entry of several rows is one.
 
     Recall: the entries in order each take the best ranked hit that none took before. Average precision: by rank, a chunk binds to the
     first entry that is still free; the denominator is the number of entries, so entries without a hit pull it down. Null where nothing is expected.
     """
     found = hits(results, expected).groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("entry", "rank"))).alias("h"))
-    by = expected.groupBy("query_id").agg(F.count("*").alias("n_expected"), F.array_sort(F.collect_set("entry")).alias("entries")).join(found, "query_id", "left")
+    by = expected.groupBy("query_id").agg(F.count_distinct("entry").alias("n_expected"), F.array_sort(F.collect_set("entry")).alias("entries")).join(found, "query_id", "left")
     h = F.coalesce("h", F.array().cast("array<struct<entry:int,rank:int>>"))
 
     def recall(k: int) -> Column:
@@ -104,8 +111,8 @@ def selected(rows: DataFrame, ids: list[str]) -> DataFrame:
     return ask.join(known, "id", "left").select("pos", "id", status.alias("status"))
 
 
-EXPECTED = """SELECT vec_id AS query_id, CAST(entry AS INTEGER) AS entry, CASE entry WHEN 0 THEN concat('F', t, ' / 2024') WHEN 1 THEN concat('F', (t + 1) % 5, ' / 2024 / Item ', t % 4) ELSE concat('F', t, ' / 20') END AS path,
-  CASE entry WHEN 0 THEN '' WHEN 1 THEN 'CHUNK 1' ELSE '7 of' END AS snippet FROM (SELECT vec_id, CAST(floor(vec_id / 20) AS BIGINT) % 5 AS t FROM embeddings WHERE vec_id % 20 = 0) CROSS JOIN (SELECT 0 AS entry UNION ALL SELECT 1 UNION ALL SELECT 2) e"""
+EXPECTED = """SELECT vec_id AS query_id, CAST(entry % 3 AS INTEGER) AS entry, CASE entry WHEN 0 THEN concat('F', t, ' / 2024') WHEN 1 THEN concat('F', (t + 1) % 5, ' / 2024 / Item ', t % 4) WHEN 4 THEN concat('F', (t + 2) % 5, ' / 2024') ELSE concat('F', t, ' / 20') END AS path,
+  CASE entry WHEN 0 THEN '' WHEN 1 THEN 'CHUNK 1' WHEN 4 THEN 'chunk 2' ELSE '7 of' END AS snippet FROM (SELECT vec_id, CAST(floor(vec_id / 20) AS BIGINT) % 5 AS t FROM embeddings WHERE vec_id % 20 = 0) CROSS JOIN (SELECT 0 AS entry UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 4) e"""
 CASES = """SELECT user_id % 7 AS scenario, concat('case-', user_id) AS case_id, CASE WHEN user_id % 13 = 3 THEN 'crash' END AS task_error, event_type, avg(value) / 100 AS mean, count(*) AS n FROM events WHERE user_id % 7 < 6 GROUP BY user_id, event_type"""
 FLOORS = "SELECT s AS scenario, event_type AS scorer, CASE WHEN s = 1 THEN 0.05 ELSE 0.3 END AS floor FROM (SELECT DISTINCT event_type FROM events WHERE event_type < 't') CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 6) x"
 
@@ -208,8 +215,56 @@ def validation(spark, sf_dir: str) -> DataFrame:
     return by.select("item_id", F.when(F.col("exact"), "pass").when(F.col("near"), "near miss").when(F.col("path"), "no snippet").otherwise("no path").alias("status"))
 
 
+def listed(json: Column) -> Column:
+    """The strings of a JSON list; empty for a null or empty text; null for what is no list."""
+    value = F.try_parse_json(json)
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(F.coalesce(F.trim(json), F.lit("")) == "", F.array().cast("array<string>")).when(is_list, F.try_variant_get(value, "$", "array<string>"))
+
+
+def prefixed(paths: DataFrame, of: DataFrame) -> DataFrame:
+    """(path, header_path): pairs of which the second begins with the first, both of tables of different values. Each header path offers its beginnings of the lengths that paths have, and these meet by equality."""
+    lengths = paths.select(F.length("path").alias("n")).distinct().groupBy().agg(F.array_sort(F.collect_set("n")).alias("lengths"))  # one row, no more numbers than a path has characters
+    starts = of.crossJoin(F.broadcast(lengths)).select("header_path", F.explode(F.filter("lengths", lambda n: n <= F.length("header_path"))).alias("n"))
+    return starts.select("header_path", F.substr("header_path", F.lit(1), F.col("n")).alias("path")).join(paths, "path")
+
+
+def validated(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(row_id, place, status) of evaluation ``rows`` (row_id, paths, snippets: JSON lists) against ``chunks`` (header_path, text).
+
+    A row is ``malformed`` (a field is no list) or ``skipped`` (no path), place null; else each of its paths is ``ok`` (chunks begin with it, and one of them holds the
+    snippet of the same place, if there is one, in any case), ``no snippet``, ``near miss`` (only in another case) or ``failed``. An empty path is every chunk's. Paths and chunks meet by equal
+    beginnings, and each snippet is looked for once among a header path's chunks, however many rows ask for it.
+    """
+    read = rows.select("row_id", listed(F.col("paths")).alias("p"), listed(F.col("snippets")).alias("s"))
+    odd = read.where("p is null or s is null or size(p) = 0").select("row_id", F.lit(None).cast("int").alias("place"), F.when(F.col("p").isNull() | F.col("s").isNull(), "malformed").otherwise("skipped").alias("status"))
+    each = read.where("p is not null and s is not null").select("row_id", "s", F.posexplode("p").alias("place", "path"))
+    each = each.select("row_id", "place", "path", F.lower(F.nullif(F.get("s", F.col("place")), F.lit(""))).alias("snippet"))
+    heads = chunks.select("header_path").distinct()
+    exact = prefixed(each.select("path").distinct(), heads)
+    asked = each.where("snippet is not null").join(exact, "path").groupBy("header_path").agg(F.collect_set("snippet").alias("asked"))
+    held = chunks.join(asked, "header_path").select("header_path", F.explode(F.filter("asked", lambda s: F.contains(F.lower("text"), s))).alias("snippet")).distinct()
+    told = exact.join(held, "header_path").select("path", "snippet").distinct().withColumn("told", F.lit(True))
+    found = exact.select("path").distinct().withColumn("found", F.lit(True))
+    low = heads.select(F.lower("header_path").alias("header_path")).distinct()
+    near = prefixed(each.select(F.lower("path").alias("path")).distinct(), low).select(F.col("path").alias("low")).distinct().withColumn("near", F.lit(True))
+    out = each.join(found, "path", "left").join(told, ["path", "snippet"], "left").withColumn("low", F.lower("path")).join(near, "low", "left")
+    status = F.when(F.col("found") & (F.col("snippet").isNull() | F.col("told")), "ok").when(F.col("found"), "no snippet").when(F.col("near"), "near miss").otherwise("failed")
+    return out.select("row_id", "place", status.alias("status")).unionByName(odd)
+
+
+DATASET = """SELECT item_id AS row_id, CASE item_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{"a": 1}' WHEN 2 THEN concat('["F', item_id % 6, ' / 2024') ELSE concat('["F', item_id % 6, ' / 2024 / Item ', item_id % 4, '", "f', item_id % 5, ' / 2024", "F', item_id % 5, '"]') END AS paths,
+  CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN '["CHUNK 1", "", "chunk 20"]' WHEN 2 THEN 'x' WHEN 3 THEN '["none", "none", "none"]' ELSE '["chunk 2"]' END AS snippets FROM benchmark"""
+STORE = "SELECT concat('F', vec_id % 5, ' / 2024 / Item ', vec_id % 3, '. T') AS header_path, concat('Chunk ', vec_id) AS text FROM embeddings"
+
+
+def dataset_rows(spark, sf_dir: str) -> DataFrame:
+    return validated(derived(spark, sf_dir, DATASET, "benchmark"), derived(spark, sf_dir, STORE, "embeddings"))
+
+
 CHUNKS = f"SELECT query_id, rank, vec_id, concat('F', vec_id % 5, ' / 2024 / Item ', vec_id % 4, '. T') AS header_path, concat('Chunk ', vec_id, ' of the store') AS text FROM ({RANKED})"
-HITS = f"SELECT query_id, entry, rank FROM ({CHUNKS}) c JOIN ({EXPECTED}) e USING (query_id) WHERE starts_with(header_path, path) AND (snippet = '' OR contains(lower(text), lower(snippet)))"
+HITS = f"""SELECT query_id, entry, rank FROM ({CHUNKS}) c JOIN (SELECT query_id, entry, list(path) AS p, list(lower(snippet)) FILTER (WHERE snippet <> '') AS s FROM ({EXPECTED}) GROUP BY 1, 2) e USING (query_id)
+  WHERE len(list_filter(p, lambda x: starts_with(header_path, x))) > 0 AND (s IS NULL OR len(list_filter(s, lambda x: contains(lower(text), x))) > 0)"""
 QUERIES_OF = "SELECT DISTINCT query_id FROM (" + EXPECTED + ")"
 
 
@@ -231,7 +286,7 @@ VERDICTS = f"""SELECT scenario, scorer, aggregate, n_produced, skipped, errored,
 
 QUERIES = {
     "e1_hits": hit_table, "e2_recall": scored("recall_5", "recall_10"), "e3_reciprocal_rank": scored("reciprocal_rank"), "e4_average_precision": scored("average_precision"), "e5_entity_precision": entity_precision, "e6_entity_tiers": entity_tiers,
-    "e10_tool_arguments": tool_arguments, "e13_judge_scores": judge_scores, "e14_scorer_verdicts": scorer_verdicts, "e15_scenario_gate": scenario_gate, "e18_row_subset": chosen_rows, "e19_diagnostic_ids": diagnostic_ids, "e20_validation": validation,
+    "e10_tool_arguments": tool_arguments, "e13_judge_scores": judge_scores, "e14_scorer_verdicts": scorer_verdicts, "e15_scenario_gate": scenario_gate, "e18_row_subset": chosen_rows, "e19_diagnostic_ids": diagnostic_ids, "e20_validation": validation, "e20_dataset_rows": dataset_rows,
 }
 ORACLE_SQL = {
     "e1_hits": HITS,
@@ -253,6 +308,11 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT scenario, string_agg(scorer || ': ' || cause, '; ' ORDER BY scorer || ': ' || cause) AS v FROM ({VERDICTS}) WHERE cause IS NOT NULL GROUP BY 1) y ON y.scenario = s.scenario)""",
     "e18_row_subset": "SELECT pos, id, CASE WHEN pos = 4 THEN 'repeated' WHEN id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) THEN 'found' ELSE 'unknown' END AS status FROM (VALUES (0, '7'), (1, '3'), (2, '11'), (3, '999999999'), (4, '3')) t(pos, id)",
     "e19_diagnostic_ids": "SELECT doc_id, concat_ws('::', source, l, doc_id) AS diagnostic_id, NOT contains(source || ' ' || l, '::') AS valid FROM (SELECT doc_id, source, CASE WHEN doc_id % 50 = 0 THEN 'a::b' ELSE lang END AS l FROM documents)",
+    "e20_dataset_rows": f"""WITH r AS (SELECT row_id, CASE WHEN paths = '' THEN CAST([] AS VARCHAR[]) WHEN json_valid(paths) AND json_type(paths) = 'ARRAY' THEN CAST(CAST(paths AS JSON) AS VARCHAR[]) END AS p, CASE WHEN snippets = '' THEN CAST([] AS VARCHAR[]) WHEN json_valid(snippets) AND json_type(snippets) = 'ARRAY' THEN CAST(CAST(snippets AS JSON) AS VARCHAR[]) END AS s
+        FROM ({DATASET})), e AS (SELECT row_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS place, unnest(p) AS path, s FROM r WHERE p IS NOT NULL AND s IS NOT NULL), x AS (SELECT row_id, place, path, nullif(s[place + 1], '') AS snippet FROM e)
+      SELECT row_id, CAST(NULL AS INTEGER) AS place, CASE WHEN p IS NULL OR s IS NULL THEN 'malformed' ELSE 'skipped' END AS status FROM r WHERE p IS NULL OR s IS NULL OR len(p) = 0 UNION ALL
+      SELECT row_id, place, CASE WHEN count(*) FILTER (WHERE starts_with(header_path, path)) > 0 THEN CASE WHEN any_value(snippet) IS NULL OR count(*) FILTER (WHERE starts_with(header_path, path) AND contains(lower(text), lower(snippet))) > 0 THEN 'ok' ELSE 'no snippet' END
+        WHEN count(*) FILTER (WHERE starts_with(lower(header_path), lower(path))) > 0 THEN 'near miss' ELSE 'failed' END FROM x LEFT JOIN ({STORE}) ON true GROUP BY row_id, place, path""",
     "e20_validation": """SELECT item_id, CASE WHEN bool_or(u AND contains(text, snippet)) THEN 'pass' WHEN bool_or(u AND contains(lower(text), lower(snippet))) THEN 'near miss' WHEN bool_or(u) THEN 'no snippet' ELSE 'no path' END AS status FROM
       (SELECT b.*, c.text, coalesce(starts_with(c.header_path, b.path), false) AS u FROM (SELECT item_id, 'F' || item_id % 6 || ' / 2024 / Item ' || item_id % 4 AS path, CASE item_id % 3 WHEN 0 THEN 'Chunk 1' WHEN 1 THEN 'chunk 1' ELSE 'none' END AS snippet FROM benchmark) b
       LEFT JOIN (SELECT 'F' || vec_id % 5 || ' / 2024 / Item ' || vec_id % 3 || '. T' AS header_path, 'Chunk ' || vec_id AS text FROM embeddings) c ON true) GROUP BY 1""",

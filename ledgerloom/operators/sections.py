@@ -119,9 +119,9 @@ def stub(text: Column, pointers: tuple[str, ...] = (POINTER,)) -> Column:
     """Struct (is_stub, reason): reserved items, and those that are nothing but pointers: under 100 characters without their sentences, links and marks."""
 
     def of(text: Column) -> Column:
-        compact = stripped(F.regexp_replace(text, rf"{S}+", " "))
-        points = text.rlike("(?i)" + "|".join(pointers))
-        reserved = bound(compact, lambda c: (F.length(c) < 80) & c.rlike(rf"(?i)\[{S}*reserved{S}*\]"))
+        reserved = text.rlike(rf"(?i)\[{S}*reserved{S}*\]") & (F.length(stripped(F.regexp_replace(text, rf"{S}+", " "))) < 80)
+        # every pointer has one of these words
+        points = bound(F.lower(text), lambda low: low.contains("refer") | low.contains("appears")) & text.rlike("(?i)" + "|".join(pointers))
         pointing = F.when(text.rlike("(?i)" + POINTER), "incorporated by reference from proxy statement").otherwise("cross-reference pointer stub")
         return F.when(reserved, "section marked as reserved/deprecated").when(points & (remaining(text, pointers) < FEW), pointing)
 
@@ -132,7 +132,8 @@ def parsed_items(sections: DataFrame) -> DataFrame:
     """(filing_id, item, ord, seq, text): of each filing's sections (filing_id, seq, name, text) the first of each known item that isn't empty or a stub, in canonical order."""
     own = sections.withColumn("item", name_key(F.col("name"))).where(F.col("item").isNotNull() & (stripped("text") != ""))
     told = bound(trim_structural(F.col("text"), F.col("item")), lambda t: F.struct(t.alias("text"), stub(t, POINTERS)["is_stub"].alias("is_stub")))
-    first = own.withColumn("told", told).where("not told.is_stub").groupBy("filing_id", "item").agg(F.min_by(F.struct("seq", "told.text"), "seq").alias("r"))
+    # stubs are passed over in the aggregate: a filter before it would compute ``told`` again
+    first = own.withColumn("told", told).groupBy("filing_id", "item").agg(F.min_by(F.struct("seq", "told.text"), F.when(~F.col("told.is_stub"), F.col("seq"))).alias("r")).where("r is not null")
     place = F.array_position(F.array(*map(F.lit, KEYS)), F.col("item")).cast("int")
     return first.select("filing_id", "item", place.alias("ord"), "r.seq", "r.text")
 

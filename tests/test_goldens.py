@@ -351,3 +351,27 @@ def test_late_and_missing_outcomes(spark):
     log = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string, call_id string")
     got = {(r.session_id, r.call_id, r.call_seq, r.end_seq, r.status) for r in lifecycle.outcomes(lifecycle.started(log), lifecycle.ended(log)).collect()}
     assert got == {(1, "a", 1, 2, "result"), (1, "a", 1, 3, "error"), (1, "a", None, 4, "unexpected"), (1, "b", 5, None, "pending"), (1, "c", None, 6, "unexpected"), (2, "b", None, 7, "unexpected")}
+
+
+def test_entries_with_several_paths_and_snippets(spark):
+    results = spark.createDataFrame([(1, 1, "A / x", "one"), (1, 2, "B / y", "two"), (1, 3, "A / x", "one"), (1, 4, "C", "three")], "query_id int, rank int, header_path string, text string")
+    expected = spark.createDataFrame([(1, 0, "Z", ""), (1, 0, "B", "TWO"), (1, 1, "A", None)], "query_id int, entry int, path string, snippet string")
+    r = scoring.bound_scores(results, expected).first()
+    assert (r.n_expected, r.recall_5, r.reciprocal_rank, r.average_precision) == (2, 1.0, 1.0, 1.0)
+    # one chunk, though it stands at two ranks, can't be two entries'
+    twice = spark.createDataFrame([(1, 0, "A", ""), (1, 1, "A", "one")], "query_id int, entry int, path string, snippet string")
+    r = scoring.bound_scores(results, twice).first()
+    assert (r.recall_5, r.average_precision) == (0.5, 0.5)
+
+
+def test_dataset_rows(spark):
+    rows = [(1, '["A / x", "a / x", "Q"]', '["ONE", "", ""]'), (2, "", ""), (3, "[]", None), (4, '{"a": 1}', ""), (5, '["A"', ""), (6, '["A / x"]', '["nine"]'), (7, '["A"]', "x"), (8, '[""]', '["two"]'), (9, "[12]", "")]
+    chunks = spark.createDataFrame([("A / x", "is One"), ("B", "two"), ("12 / z", "")], "header_path string, text string")
+    got = {(r.row_id, r.place): r.status for r in scoring.validated(spark.createDataFrame(rows, "row_id int, paths string, snippets string"), chunks).collect()}
+    assert got == {(1, 0): "ok", (1, 1): "near miss", (1, 2): "failed", (2, None): "skipped", (3, None): "skipped", (4, None): "malformed", (5, None): "malformed", (6, 0): "no snippet", (7, None): "malformed", (8, 0): "ok", (9, 0): "ok"}
+
+
+def test_outline_closes_deeper_headings(spark):
+    md = "intro\n# A\n### B\n## C/D\n### E\n### E\n# F\n```\n## no\n```\n## F"
+    got = [r.header_path for r in markdown.outline(spark.createDataFrame([(1, md), (2, "# only"), (3, "\n \n## x")], "doc_id int, md string")).orderBy("doc_id", "node").collect()]
+    assert got == ["", "A", "A / B", "A / C/D", "A / C / D / E", "A / C / D / E", "F", "F", "only", "x"]
