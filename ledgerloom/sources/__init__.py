@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,13 @@ def save(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.repartition(*keys).write.partitionBy(*keys).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def bucketed(rows: DataFrame, keys: list[str], buckets: int = 16, name: str | None = None) -> DataFrame:
+    """``rows`` as a table of the warehouse in ``buckets`` by hash of ``keys``, each sorted by them: tables of equal buckets join and group by the keys without a shuffle. Without a name it gets one of its own."""
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def documented(df: DataFrame, comments: dict[str, str]) -> DataFrame:
     """``df`` with comments in its columns' metadata; every column needs one."""
     missing = [c for c in df.columns if c not in comments]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import functions, sources
-from ledgerloom.operators import agents, blocks, fundamentals, headings, landing, markdown, scoring, sections
+from ledgerloom.operators import agents, blocks, fundamentals, headings, landing, markdown, scoring, sections, statements, tracking
 from ledgerloom.streaming import lifecycle, sessions
 
 
@@ -375,3 +375,49 @@ def test_outline_closes_deeper_headings(spark):
     md = "intro\n# A\n### B\n## C/D\n### E\n### E\n# F\n```\n## no\n```\n## F"
     got = [r.header_path for r in markdown.outline(spark.createDataFrame([(1, md), (2, "# only"), (3, "\n \n## x")], "doc_id int, md string")).orderBy("doc_id", "node").collect()]
     assert got == ["", "A", "A / B", "A / C/D", "A / C / D / E", "A / C / D / E", "F", "F", "only", "x"]
+
+
+def test_failed_jobs_are_logged(spark, tmp_path):
+    rows = spark.range(100).withColumn("x", F.when(F.col("id") == 70, F.raise_error(F.lit("bad row"))).otherwise(F.col("id")))
+    log = f"{tmp_path}/log"
+    with pytest.raises(Exception, match="bad row"):
+        tracking.tracked(rows, lambda r: r.write.parquet(f"{tmp_path}/a"), log, "p", "t", metadata={"try": 1})
+    tracking.tracked(spark.range(7), lambda r: r.write.parquet(f"{tmp_path}/b"), log, "p", "t", {"top": F.max("id")}, {"try": 2})
+    got = {json.loads(r.metadata)["try"]: r for r in spark.read.parquet(log).collect()}
+    assert (got[1].status, got[1].rows_written, bool(got[1].error_class)) == ("error", 0, True) and "bad row" in got[1].error_message
+    assert (got[2].status, got[2].rows_written, got[2].error_message, json.loads(got[2].metadata)["top"]) == ("success", 7, None, 6)
+    assert all(r.finished_at >= r.started_at for r in got.values())
+
+
+def test_domains_by_suffix(spark):
+    urls = ["https://www.reuters.com/a", "http://REUTERS.com:80/b", "https://notreuters.com/c", "https://reuters.com.evil.org/", "https://u@markets.reuters.com?x", "ftp://x", "no url", None, "https://a.cnbc.com/1"]
+    results = spark.createDataFrame([(1, k, u) for k, u in enumerate(urls)] + [(2, k, f"https://reuters.com/{k}") for k in range(9)], "query int, rank int, url string")
+    got = tracking.trusted(results, spark.createDataFrame([("reuters.com",), ("CNBC.com",)], "domain string")).collect()
+    assert sorted((r.query, r.rank, r.place) for r in got) == [(1, 0, 1), (1, 1, 2), (1, 4, 3), (1, 8, 4)] + [(2, k, k + 1) for k in range(5)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_stores_are_read_where_they_lie(spark, tmp_path):
+    rows = spark.range(1000).withColumn("part", F.col("id") % 10)
+    sources.save(rows, f"{tmp_path}/store", ["part"])
+    assert "PartitionFilters: [isnotnull(part" in plan(spark.read.parquet(f"{tmp_path}/store").where("part = 3"))
+    a, b = sources.bucketed(rows, ["id"], 4), sources.bucketed(rows.withColumnRenamed("part", "other"), ["id"], 4)
+    joined = a.hint("merge").join(b, "id").groupBy("id").agg(F.max("other"))
+    assert "SortMergeJoin" in plan(joined) and "Exchange" not in plan(joined) and joined.count() == 1000
+
+
+def test_statements(spark):
+    q = spark.createDataFrame([(1, 2023, k, datetime.date(2023, 3 * k, 28), 100, 60, 40, 10, 5, 25, 30, 5, 35, 10, 25, 50, -20, 30, 1.0, 20, 80) for k in (1, 2, 3, 4)], "company int, fiscal_year int, fiscal_quarter int, period_end date, total_revenue long, cost_of_revenue long, gross_profit long, research_and_development long, selling_general_admin long, operating_income long, long_term_debt long, current_debt long, total_debt long, cash long, net_debt long, operating_cash_flow long, capital_expenditure long, free_cash_flow long, diluted_eps double, ebitda long, equity long")
+    assert statements.broken(q).count() == 0
+    off = q.withColumn("free_cash_flow", F.lit(70)).withColumn("gross_profit", F.lit(None).cast("long"))
+    assert {(r.identity.split(" =")[0], r.off) for r in statements.broken(off).collect()} == {("free cash flow", 40)}
+    market = spark.createDataFrame([(1, datetime.date(2024, 1, 2), 20.0, 10, 5.0, 10.0, 1.0), (1, datetime.date(2023, 10, 1), 20.0, 10, -1.0, 0.0, 0.0), (2, datetime.date(2024, 1, 2), 20.0, 10, 1.0, 1.0, 0.0)], "company int, as_of date, price double, shares long, forward_eps double, growth_pct double, dividend double")
+    got = {(r.company, r.as_of.year): tuple(r)[2:] for r in statements.valuations(market, q).collect()}
+    assert got[1, 2024] == (200.0, 225.0, 5.0, 4.0, 2.5, 0.5, 2.8125, 0.5, 5.0)
+    assert got[1, 2023] == (200.0, 225.0, None, None, 2.5, None, None, None, 0.0) and got[2, 2024][1] is None
+    rows = [(1, "annual", None, 0.5), (2, "annual", 1, 0.5), (3, "quarterly", None, 0.5), (4, "quarterly", 5, 1.5), (5, None, 1, None)]
+    got = {(r.slice_id, r.rule) for r in statements.slice_faults(spark.createDataFrame(rows, "slice_id int, period_type string, fiscal_quarter int, share double")).collect()}
+    assert got == {(2, "annual without a quarter"), (3, "annual without a quarter"), (4, "quarter in 1..4"), (4, "share in 0..1"), (5, "period is annual or quarterly")}
