@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SPACE, bound, stripped
+from ..functions import SPACE, SQL_SPACE, bound, stripped
 from ..sources import derived
-from .sections import _POINTERS, FEW, POINTER, remaining, sql_remaining
+from .sections import _POINTERS, FEW, POINTER, remaining, sql_remaining, sql_strip
 
 PART_I, ITEM_1 = r"(?m)^# (?:PART|Part) I\b", r"(?m)^## (?:ITEM|Item) 1\b"
 PAGE = r"(?m)^[ \t]*\d*[ \t]*\n---[ \t]*(?:\n|\z)(?:\[Table of Contents\]\([^)]+\)[ \t]*(?:\n|\z))?"
@@ -164,6 +164,82 @@ def variants(spark, sf_dir: str) -> DataFrame:
     return by.join(samples, "kind")
 
 
+#: Headings of parts and items as a report reads them; an empty rest of the line takes the next text.
+PART_HEADING, ITEM_HEADING = (r"(?m)^#{{1,3}} (?:PART|Part){s}+[IVX]+\.?{s}*[^\n]*$", r"(?m)^#{{1,4}} (?:ITEM|Item){s}+\d+[A-Z]?\.?{s}*[^\n]*$")
+ITEM_TITLE = r"\A#{{1,4}} (?:ITEM|Item){s}+\d+[A-Z]?\.?{s}*([^\n]*)\z"
+TABLE_RISK = r"(?m)^[ \t]*\d*[ \t]*\n\|[ \-:|]+\|[ \t]*$"
+_J = f"[{SPACE}]"
+
+
+def part_variant(line: Column) -> Column:
+    """How a part's heading is written: UPPER or Mixed, with a period or not; Standard is ``Part I``."""
+    upper, period = line.rlike(r"^#+ PART"), stripped(line).endswith(".")
+    return F.when(upper & period, "UPPER+period").when(upper, "UPPER").when(period, "Mixed+period").otherwise("Standard")
+
+
+def item_title(line: Column) -> Column:
+    return stripped(F.regexp_extract(line, ITEM_TITLE.format(s=_J), 1))
+
+
+def item_variant(line: Column) -> Column:
+    """How an item's heading is written: without a title, in capitals (its title glued to the number, in capitals or not), or with a title alone in capitals."""
+    upper, glued = line.rlike(r"^#+ ITEM"), line.rlike(r"\d+[A-Z]?\.[A-Za-z]")
+
+    def of(title: Column) -> Column:
+        capitals = title.rlike(r"\p{Lu}") & ~title.rlike(r"\p{Ll}")
+        return (
+            F.when(title == "", "empty-title").when(upper & glued, "UPPER+nospace").when(upper & capitals, "UPPER+UPPERtitle").when(upper, "UPPER+mixedtitle").when(capitals, "Item+UPPERtitle").otherwise("Standard")
+        )
+
+    return bound(item_title(line), of)
+
+
+def body_of(md: Column) -> Column:
+    return F.substring(md, F.length(front(md)) + 1, F.length(md))
+
+
+def heading_variants(markdown: DataFrame) -> DataFrame:
+    """(kind, variant, n, samples) over Markdown (doc_id, md): headings of parts and items by how they are written, with the first three by doc_id and place."""
+    body = body_of(F.col("md"))
+    all_ = lambda pattern, kind, variant: F.transform(F.regexp_extract_all(body, F.lit(pattern.format(s=_J)), F.lit(0)), lambda x, k: F.struct(k.alias("place"), F.lit(kind).alias("kind"), variant(x).alias("variant"), stripped(x).alias("line")))
+    rows = markdown.select("doc_id", F.inline(F.concat(all_(PART_HEADING, "part", part_variant), all_(ITEM_HEADING, "item", item_variant))))
+    by = rows.groupBy("kind", "variant").agg(F.count("*").alias("n"))
+    first = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for keys in (["kind", "variant", "salt"], ["kind", "variant"]):  # three of each task's rows before the last ranking
+        first = first.withColumn("p", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "place"))).where("p <= 3")
+    samples = first.groupBy("kind", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "place", "line"))), lambda x: x["line"]), "; ").alias("samples"))
+    return by.join(samples, ["kind", "variant"])
+
+
+def audit(markdown: DataFrame) -> DataFrame:
+    """Per filing (doc_id, md): headings whose title has one to four characters or none, dashes that no page separator explains (dash_gap; over five is wide), table separators that could
+    be taken for a page's, and whether items 1C, 9A, 9B and 9C are there, 1C as a stub: it points elsewhere or has under 200 characters."""
+    body = body_of(F.col("md"))
+    titles = F.transform(F.regexp_extract_all(body, F.lit(ITEM_HEADING.format(s=_J)), F.lit(0)), lambda x: F.rtrim(stripped(item_title(x)), F.lit(".")))
+    count = lambda p: F.regexp_count("b", F.lit(p))
+    sections = F.filter(F.split("b", r"(?m)^(?=#{1,4} )"), lambda x: x.rlike(rf"\A#{{1,4}} (?:ITEM|Item){_J}+(?:1C|9A|9B|9C)\b[^\n]*\n"))
+    number = lambda x: F.regexp_extract(x, rf"\A#{{1,4}} (?:ITEM|Item){_J}+(\d+[A-Z])", 1)
+    late = F.transform(sections, lambda x: bound(stripped(F.regexp_replace(x, r"\A[^\n]*\n", "")), lambda t: F.struct(number(x).alias("item"), (t.rlike("(?i)" + POINTER) | (F.length(t) < 200)).alias("stub"))))
+    rows = markdown.select("doc_id", body.alias("b"), titles.alias("titles")).withColumn("late", late)
+    size = lambda test: F.size(F.filter("titles", test))
+    has = lambda item: F.exists("late", lambda x: x["item"] == item).alias(f"has_{item.lower()}")
+    gap = count(r"(?m)^---[ \t]*$") - count(PAGE)
+    return rows.select(
+        "doc_id", size(lambda t: F.length(stripped(t)).between(1, 4)).alias("n_truncated"), size(lambda t: stripped(t) == "").alias("n_empty"), gap.alias("dash_gap"), (gap > 5).alias("wide_gap"),
+        F.regexp_count(F.concat(F.lit("\n"), F.col("b")), F.lit(TABLE_RISK)).alias("n_table_risks"), *(has(x) for x in ("1C", "9A", "9B", "9C")), F.exists("late", lambda x: (x["item"] == "1C") & x["stub"]).alias("stub_1c"),
+    )
+
+
+#: Markdown as MD, with headings of every variant, odd table separators and late items.
+VARIED = f"""SELECT doc_id, concat(md, chr(10), CASE doc_id % 4 WHEN 0 THEN '# PART II.' WHEN 1 THEN '# Part II.' WHEN 2 THEN '## PART II' ELSE '# Part II Other' END, chr(10), 'x', chr(10), CASE doc_id % 6 WHEN 0 THEN '## ITEM 1C.CYBER' WHEN 1 THEN '## Item 1C. CYBER' WHEN 2 THEN '### ITEM 1C. Cyber' WHEN 3 THEN '## ITEM 1C. CYBER RISK'
+  WHEN 4 THEN '## Item 1C' ELSE '#### Item 9B. Oth.' END, chr(10), CASE WHEN doc_id % 5 = 0 THEN 'It is incorporated by reference.' ELSE '' END, chr(10), '12', chr(10), '| -- | :-: |', chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('---', chr(10), '---', chr(10), 'y', chr(10), '---', chr(10), 'y', chr(10), '---', chr(10), 'y', chr(10), '---', chr(10), 'y', chr(10), '---', chr(10), 'y', chr(10), '---', chr(10)) ELSE text END,
+  CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '## Item 9A. Controls', chr(10), text, chr(10), '## Item 16.') ELSE '' END) AS md FROM (SELECT m.doc_id, m.md, d.text FROM ({MD}) m JOIN documents d ON m.doc_id = d.doc_id)"""
+
+
+def varied(spark, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, VARIED, "documents")
+
+
 def outline(markdown: DataFrame) -> DataFrame:
     """(doc_id, node, header_path, text_md5) of Markdown (doc_id, md): a node is a heading with the lines up to the next, or what stands before the first, unless blank. Its path is
     the open headings above it and its own: a heading closes those of its level and deeper. Lines between fences are no headings. A slash in a heading parts it, and a heading isn't repeated after an equal one."""
@@ -246,6 +322,7 @@ QUERIES = {
     "m1_cover_strip": ruled(strip_cover), "m2_page_separators": ruled(strip_pages), "m3_part_three_stubs": ruled(strip_stubs), "m4_stub_sections": stub_sections, "m5_split_titles": ruled(merge_titles),
     "m6_headings": ruled(normal_headings), "m7_clean": ruled(clean), "m8_profile": profile, "m9_heading_variants": variants,
     "c4_outline": nested,
+    "m9_variant_report": lambda s, d: heading_variants(varied(s, d)), "m9_audit": lambda s, d: audit(varied(s, d)),
 }
 ORACLE_SQL = {name: _digest(_sql_clean(0, k)) for name, k in (("m1_cover_strip", 0), ("m2_page_separators", 1), ("m3_part_three_stubs", 2), ("m5_split_titles", 3), ("m6_headings", 4))} | {
     "m4_stub_sections": f"SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, CAST({_LEFT} AS INTEGER) AS remaining, {_IS_STUB} AS is_stub FROM (SELECT doc_id, unnest({_SECTIONS}) AS s, generate_subscripts({_SECTIONS}, 1) AS place FROM ({MD})) WHERE {_STUBBED}",
@@ -268,3 +345,18 @@ ORACLE_SQL |= {
       SELECT t.doc_id, t.node, CASE WHEN p.node IS NULL THEN '' ELSE array_to_string(CASE WHEN len(above) > 0 AND above[-1] = title THEN above ELSE list_append(coalesce(above, []), title) END, ' / ') END AS header_path, md5(text) AS text_md5
       FROM texts t LEFT JOIN paths p ON p.doc_id = t.doc_id AND p.node = t.node WHERE t.node > 0 OR trim(text) <> ''""",
 }
+_W = f"[{SQL_SPACE}]"
+_VBODY = f"(SELECT doc_id, {_BODY} AS b FROM ({VARIED}))"
+_TITLE = f"{sql_strip(f"regexp_extract(line, '(?s)^#{{1,4}} (?:ITEM|Item){_W}+[0-9]+[A-Z]?[.]?{_W}*([^\\n]*)$', 1)")}"
+_LINES = f"""SELECT doc_id, 'part' AS kind, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS place FROM (SELECT doc_id, regexp_extract_all(b, '{PART_HEADING.format(s=_W)}', 0) AS l FROM {_VBODY}) UNION ALL SELECT doc_id, 'item', unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT doc_id, regexp_extract_all(b, '{ITEM_HEADING.format(s=_W)}', 0) AS l FROM {_VBODY})"""
+_LATE = f"""SELECT doc_id, regexp_extract(x, '^#{{1,4}} (?:ITEM|Item){_W}+([0-9]+[A-Z])', 1) AS item, regexp_matches(t, '(?i){_POINTERS[0]}') OR length(t) < 200 AS stub FROM (SELECT doc_id, x, {sql_strip("regexp_replace(x, '^[^\\n]*\\n', '')")} AS t FROM
+  (SELECT doc_id, unnest(string_split(regexp_replace(b, '(?m)^(#{{1,4}} )', chr(1) || '\\1', 'g'), chr(1))) AS x FROM {_VBODY}) WHERE regexp_matches(x, '^#{{1,4}} (?:ITEM|Item){_W}+(?:1C|9A|9B|9C)\\b[^\\n]*\\n'))"""
+ORACLE_SQL |= {
+    "m9_variant_report": f"""SELECT kind, variant, count(*) AS n, string_agg(line, '; ' ORDER BY doc_id, place) FILTER (WHERE p <= 3) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY kind, variant ORDER BY doc_id, place) AS p FROM (SELECT doc_id, kind, place, {sql_strip("line")} AS line, CASE WHEN kind = 'part' THEN
+        CASE WHEN upper_ AND {sql_strip("line")} LIKE '%.' THEN 'UPPER+period' WHEN upper_ THEN 'UPPER' WHEN {sql_strip("line")} LIKE '%.' THEN 'Mixed+period' ELSE 'Standard' END WHEN title = '' THEN 'empty-title' WHEN upper_ AND regexp_matches(line, '[0-9]+[A-Z]?[.][A-Za-z]') THEN 'UPPER+nospace' WHEN upper_ AND caps THEN 'UPPER+UPPERtitle'
+        WHEN upper_ THEN 'UPPER+mixedtitle' WHEN caps THEN 'Item+UPPERtitle' ELSE 'Standard' END AS variant FROM (SELECT *, regexp_matches(line, '^#+ (PART|ITEM)') AS upper_, regexp_matches(title, '\\p{{Lu}}') AND NOT regexp_matches(title, '\\p{{Ll}}') AS caps FROM (SELECT *, {_TITLE} AS title FROM ({_LINES}))))) GROUP BY 1, 2""",
+    "m9_audit": f"""SELECT doc_id, CAST(coalesce(tr, 0) AS INTEGER) AS n_truncated, CAST(coalesce(em, 0) AS INTEGER) AS n_empty, CAST(gap AS INTEGER) AS dash_gap, gap > 5 AS wide_gap, CAST(risks AS INTEGER) AS n_table_risks, coalesce(c1, false) AS has_1c, coalesce(a9, false) AS has_9a, coalesce(b9, false) AS has_9b, coalesce(c9, false) AS has_9c, coalesce(s1, false) AS stub_1c
+      FROM (SELECT doc_id, len(regexp_extract_all(b, '(?m)^---[ \\t]*$')) - len(regexp_extract_all(b, '{PAGE}')) AS gap, len(regexp_extract_all(chr(10) || b, '{TABLE_RISK}')) AS risks FROM {_VBODY})
+      LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE length(t) BETWEEN 1 AND 4) AS tr, count(*) FILTER (WHERE t = '') AS em FROM (SELECT doc_id, trim(rtrim({_TITLE}, '.')) AS t FROM ({_LINES}) WHERE kind = 'item') GROUP BY 1) USING (doc_id)
+      LEFT JOIN (SELECT doc_id, bool_or(item = '1C') AS c1, bool_or(item = '9A') AS a9, bool_or(item = '9B') AS b9, bool_or(item = '9C') AS c9, bool_or(item = '1C' AND stub) AS s1 FROM ({_LATE}) GROUP BY 1) USING (doc_id)""",
+}

@@ -421,3 +421,17 @@ def test_statements(spark):
     rows = [(1, "annual", None, 0.5), (2, "annual", 1, 0.5), (3, "quarterly", None, 0.5), (4, "quarterly", 5, 1.5), (5, None, 1, None)]
     got = {(r.slice_id, r.rule) for r in statements.slice_faults(spark.createDataFrame(rows, "slice_id int, period_type string, fiscal_quarter int, share double")).collect()}
     assert got == {(2, "annual without a quarter"), (3, "annual without a quarter"), (4, "quarter in 1..4"), (4, "share in 0..1"), (5, "period is annual or quarterly")}
+
+
+def test_heading_variants_and_faults(spark):
+    kinds = {
+        "# PART I.": "UPPER+period", "# PART II": "UPPER", "## Part IV.": "Mixed+period", "# Part III": "Standard", "## ITEM 1.BUSINESS": "UPPER+nospace", "## ITEM 1A. RISK FACTORS": "UPPER+UPPERtitle", "## ITEM 7. Review": "UPPER+mixedtitle", "## Item 8. STATEMENTS": "Item+UPPERtitle", "#### Item 9A. Controls": "Standard", "## Item 16.": "empty-title",
+    }
+    rows = spark.createDataFrame(list(enumerate(kinds)), "doc_id int, md string")
+    assert {r.samples: r.variant for r in markdown.heading_variants(rows).collect()} == kinds
+    # an empty rest of a line takes the next text, a period with it
+    both = spark.createDataFrame([(1, "# PART I.\n\nBusiness\n## Item 5.\nMarket")], "doc_id int, md string")
+    assert {(r.kind, r.variant) for r in markdown.heading_variants(both).collect()} == {("part", "UPPER"), ("item", "Standard")}
+    text = "---\nt: x\n---\n## Item 1C. Cyb.\nshort\n## Item 9A. Controls\n" + "y" * 300 + "\n12\n| - | - |\n---\n## Item 5."
+    r = markdown.audit(spark.createDataFrame([(1, text)], "doc_id int, md string")).first()
+    assert (r.n_truncated, r.n_empty, r.dash_gap, r.n_table_risks, r.has_1c, r.stub_1c, r.has_9a, r.has_9b) == (1, 1, 1, 1, True, True, True, False)
