@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import block_pairs, components, meet
+from .neighbours import components, meet
 from .scratch import BROADCAST_ROWS, table
 from .words import Words, grams, mix, slices
 
@@ -18,10 +18,8 @@ BANDS, ROWS = 32, 4
 #: A pair goes when the posterior chance of reaching the threshold is below this.
 TOLERANCE = 1e-6
 STEP = 16
-#: Buckets of up to this many sets propose all their pairs; the sets of larger ones are compared in blocks.
-SMALL = 16
-#: Sets and shingles of a block.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Sets and shingles of a block of a bucket, and pairs that are compared at once.
+BLOCK_SETS, BLOCK_SHINGLES, PAIRS = 1024, 1 << 21, 1 << 18
 #: Shingles of a tile that one product takes.
 COLUMNS = 1 << 14
 #: Odd factors; the top bits of a product with a scrambled shingle are its hash.
@@ -39,7 +37,7 @@ def least_matches() -> list[int]:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (hash of the distinct shingles, null without words), shingles and MinHash signature of each row."""
+    """doc_id, set_id (hash of the distinct shingles, null without words), shingles and MinHash signature of each row: a long for each band, four values of 16 bits that tell the least shingles apart."""
 
     def run(batches):
         for batch, data, offsets in slices(batches):
@@ -54,25 +52,85 @@ def shingled(docs: DataFrame) -> DataFrame:
                     sigs.append(None)
                     continue
                 ids.append(int(mix(np.array([mix(own).sum(dtype=np.uint64) + np.uint64(len(own))]))[:1].view(np.int64)[0]))
-                sigs.append(np.array([int((own * s).min()) >> 33 for s in _SEEDS], np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "set_id", "shingles", "sig"])
+                sigs.append(np.array([int((own * s).min()) >> 20 & 0xFFFF for s in _SEEDS], np.uint16).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "set_id", "shingles", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, shingles array<long>, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, shingles array<long>, sig array<long>")
 
 
-def small_and_hot(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of small buckets, and (id, cluster) of the sets that larger buckets connect. Together they hold every pair of every bucket."""
-    keys = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)))
-    keyed = sets.select("id", F.explode(keys).alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-    members = table(keyed.join(shared, "key"))
-    few = members.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    hot = components(members.where((F.col("n") > SMALL) & (F.col("id") != F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    hot = table(hot.select("id", F.col("component").alias("cluster")))
-    side = lambda own: hot.select(F.col("id").alias(own), F.col("cluster").alias(f"cluster_{own}"))
-    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("cluster_a is null or cluster_b is null or cluster_a <> cluster_b")
-    return pairs.select("a", "b"), hot
+def members(sets: DataFrame) -> DataFrame:
+    """(band, key, i, j, own, id): the sets of every bucket of two or more, dealt into blocks by hash, each block sent to all pairs of blocks (i <= j) that it is in; written as a table.
+
+    A bucket with the very members of one of a lower band is left out: its pairs all agree there first, where they are compared.
+    """
+    keyed = sets.select("id", "size", F.posexplode("sig").alias("band", "key"))
+    print_ = (F.expr("bit_xor(xxhash64(id))"), F.expr("bit_xor(xxhash64(1, id))"))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *(x.alias(f"f{k}") for k, x in enumerate(print_))).where("n > 1")
+    own = shared.groupBy("n", "f0", "f1").agg(F.min(F.struct("band", "key", "total")).alias("b"))
+    m = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("b.total") / BLOCK_SHINGLES)).cast("int")
+    dealt = keyed.drop("size").join(own.select("b.band", "b.key", m.alias("m")), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return table(dealt.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"), "id"))
+
+
+def hopeful(sig: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray, floor: list[int]) -> np.ndarray:
+    """Which pairs of rows ``a`` and ``b`` of ``sig`` survive: MinHash values are compared ``STEP`` at a time, and a pair goes once its matches make the threshold hopeless. Each pair counts
+    in the first band that it agrees in, and nowhere else."""
+    values = sig.view(np.uint16)
+    live, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+    for k, least in enumerate(floor):
+        part = slice(k * STEP, (k + 1) * STEP)
+        matches[live] += (values[a[live], part] == values[b[live], part]).sum(1, dtype=np.int32)
+        live = live[matches[live] >= least]
+    for k in range(int(band.max(initial=0))):
+        live = live[~((band[a[live]] > k) & (sig[a[live], k] == sig[b[live], k]))]
+    out = np.zeros(len(a), bool)
+    out[live] = True
+    return out
+
+
+def survivors(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``members`` that have a surviving partner in their pair of blocks, written as a table. Pairs themselves never leave a task."""
+    names = ["band", "key", "i", "j", "own", "id"]
+    floor = least_matches()
+
+    def compared(rows: pa.Table):
+        rows = rows.combine_chunks()
+        band, key, i, j, own = (rows.column(c).to_numpy() for c in names[:5])
+        sig = np.ascontiguousarray(rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
+        new = np.ones(len(band), bool)
+        new[1:] = (np.diff(band) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        group = np.cumsum(new) - 1
+        start = np.flatnonzero(new)[group]
+        count = np.where(i == j, np.arange(len(band)) - start, np.where(own == 1, np.bincount(group, own == 0).astype(np.int64)[group], 0))
+        ends = np.cumsum(count)
+        mark, begin = np.zeros(len(band), bool), 0
+        while begin < len(band):
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            a = np.repeat(np.arange(begin, stop), count[begin:stop])
+            b = start[a] + np.arange(len(a)) - (ends[a] - count[a] - before)
+            held = hopeful(sig, band, a, b, floor)
+            mark[a[held]] = mark[b[held]] = True
+            begin = stop
+        yield from rows.select(names).filter(pa.array(mark)).to_batches()
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if whole.num_rows:
+                last = [whole.column(c).to_numpy() for c in names[:4]]
+                other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in last]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield from compared(whole.slice(0, cut))
+                rest = whole.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from compared(rest)
+
+    full = dealt.join(sets.select("id", "sig"), "id").select(*names, "sig").repartition("band", "key", "i", "j").sortWithinPartitions(*names)
+    return table(full.mapInArrow(run, "band int, key long, i int, j int, own int, id long"))
 
 
 def linked(rows: np.ndarray, other: np.ndarray, at: np.ndarray, values: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
@@ -98,65 +156,44 @@ def linked(rows: np.ndarray, other: np.ndarray, at: np.ndarray, values: np.ndarr
 
 
 def compared(group: pa.Table) -> pa.Table:
-    """``meet`` of one block with itself or of two blocks of sets."""
+    """``meet`` of one block of a bucket with itself or of two blocks: pairs that survive the comparison of MinHash values are decided by exact intersections."""
     group = group.sort_by("own").combine_chunks()
-    ids, n, own = (group.column(c).to_numpy() for c in ("id", "n", "own"))
+    ids, n, own, band = (group.column(c).to_numpy() for c in ("id", "n", "own", "band"))
+    sig = np.ascontiguousarray(group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
     lists = group.column("shingles").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
     values = np.unique(lists.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
     at -= at[0]
     seen: dict[int, np.ndarray] = {}
+    floor = least_matches()
 
     def link_of(rows, cols):
+        live = hopeful(sig, band, np.repeat(rows, len(cols)), np.tile(cols, len(rows)), floor).reshape(len(rows), len(cols))
+        if not live.any():
+            return live
         for t in (rows, cols):
             if t[0] not in seen:
                 seen[t[0]] = np.unique(values[at[t[0]] : at[t[-1] + 1]])
-        return linked(rows, cols, at, values, [seen[rows[0]], seen[cols[0]]])
+        return live & linked(rows, cols, at, values, [seen[rows[0]], seen[cols[0]]])
 
     return meet(ids, n, own, link_of)
 
 
-def in_clusters(hot: DataFrame) -> DataFrame:
-    """``compared`` over all pairs of blocks that each cluster of ``hot`` (id, cluster, n, shingles) is dealt into."""
-    dealt = block_pairs(hot, ["cluster"], F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES))
-    return dealt.select("cluster", "i", "j", "own", "id", "n", "shingles").groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long, others long")
-
-
 def links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the ``sets`` (id, low, sig, n): (a, b) whose components are the classes, and (a, others) with each set's linked rows.
+    """Of the ``sets`` (id, low, sig, size, n): (a, b) whose components are the classes, and (a, others) with each set's linked rows.
 
-    ``low`` is the smallest doc_id that has the set. Only sets with a surviving pair or in a hot bucket are
-    shingled again for the exact check, so shingles of all documents are never stored. Links of a large
-    group are counted where its blocks meet, and only its components leave the tasks.
+    ``low`` is the smallest doc_id that has the set. Only sets with a surviving pair are shingled again for the exact check, so shingles of all
+    documents are never stored. Every bucket is compared alike, block by block, whatever its size: links are counted where
+    two blocks meet, and only counts and components leave the tasks.
     """
-    pairs, hot = small_and_hot(sets)
-    floor = least_matches()
-
-    def prune(batches):
-        for batch in batches:
-            x, y = (batch.column(k).flatten().to_numpy().reshape(-1, BANDS * ROWS) for k in (2, 3))
-            live, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for k, least in enumerate(floor):
-                part = slice(k * STEP, (k + 1) * STEP)
-                matches[live] += (x[live, part] == y[live, part]).sum(1)
-                live = live[matches[live] >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), batch.column(1).take(pa.array(live))], names=["a", "b"])
-
-    side = lambda what, own: sets.select(F.col("id").alias(own), F.col(what).alias(f"{what}_{own}"))
-    survivors = table(pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"))
-    needed = survivors.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct()
-    lows = table(sets.join(needed, "id", "left_semi").select("low").distinct())
+    alive = survivors(members(sets), sets)
+    lows = table(sets.join(alive.select("id").distinct(), "id", "left_semi").select("low").distinct())
     lows = F.broadcast(lows) if lows.count() <= BROADCAST_ROWS else lows
     again = shingled(docs.join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi"))
     again = table(again.where("set_id is not null").select(F.col("set_id").alias("id"), "shingles").dropDuplicates(["id"]))
-    cut = lambda own: again.select(F.col("id").alias(own), F.col("shingles").alias(f"shingles_{own}"))
-    full = survivors.join(cut("a"), "a").join(cut("b"), "b")
-    common, sizes = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a") + F.size("shingles_b")
-    found = table(full.where(common >= THRESHOLD * (sizes - common)).select("a", "b"))
-    within = table(in_clusters(hot.join(sets.select("id", "n"), "id").join(again, "id")))
-    both = found.select("a", "b").union(found.select("b", "a")).join(sets.select(F.col("id").alias("b"), F.col("n").alias("others")), "b").select("a", "others")
-    near = both.union(within.select("a", "others")).groupBy("a").agg(F.sum("others").alias("others"))
-    return found.union(within.where("a <> b").select("a", "b").distinct()), near
+    full = alive.join(sets.select("id", "n", "sig"), "id").join(again, "id").select("band", "key", "i", "j", "own", "id", "n", "sig", "shingles")
+    within = table(full.groupBy("band", "key", "i", "j").applyInArrow(compared, "a long, b long, others long"))
+    return within.where("a <> b").select("a", "b").distinct(), within.groupBy("a").agg(F.sum("others").alias("others"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -167,9 +204,9 @@ def classes(docs: DataFrame) -> DataFrame:
     all its words as its shingle. Kept: the row of the smallest (doc_id, set) of its class; of exact repeats of a doc_id all have
     the same result. Rows with a null doc_id count as links and are never kept in a class that has an id.
     """
-    rows = table(shingled(docs).drop("shingles"))
+    rows = table(shingled(docs).withColumn("size", F.size("shingles")).drop("shingles"))
     sets = table(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    unique = table(rows.where("set_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.count("*").alias("n")))
+    unique = table(rows.where("set_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("n")))
     found, near = links(unique, docs)
     part = components(found)
     known = sets.join(part, sets.set_id == part.id, "left").join(near, sets.set_id == near.a, "left")
