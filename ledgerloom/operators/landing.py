@@ -144,8 +144,9 @@ def rerun(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("slice").cast("long").alias("slice")).agg(F.count("*").alias("n_points"), F.count_distinct("point_id").alias("n_ids"))
 
 
-def result_table(rows: DataFrame, original: list[str], output: str, scores: str, errors: str, failed: str, scorers: list[str]) -> DataFrame:
-    """A results table: the original columns, ``output.*`` fields (``_generated.`` before a name that is taken), output_json, and a ``score_`` column a scorer.
+def result_table(rows: DataFrame, original: list[str], output: str, scores: str, errors: str, failed: str, scorers: list[str], run: dict[str, str] | None = None) -> DataFrame:
+    """A results table: the original columns, ``output.*`` fields (``_generated.`` before a name that is taken), output_json, a ``score_`` column a scorer, and the values of ``run``, which
+    every row has, such as experiment_name and version.
 
     ERROR stands in a crashed row and where a scorer failed, SKIPPED where it gave nothing.
     """
@@ -154,17 +155,25 @@ def result_table(rows: DataFrame, original: list[str], output: str, scores: str,
     crashed = F.col(failed)
     out = [F.when(crashed, "ERROR").otherwise(F.coalesce(F.col(output)[k].cast("string"), F.lit(""))).alias(name(k)) for k in fields]
     score = lambda s: F.when(crashed, "ERROR").when(F.try_element_at(F.col(scores), F.lit(s)).isNotNull(), F.try_element_at(F.col(scores), F.lit(s)).cast("string")).when(F.array_contains(errors, s), "ERROR").otherwise("SKIPPED")
-    return rows.select(*(F.col(f"`{c}`") for c in original), *out, F.when(crashed, "").otherwise(F.to_json(output)).alias("output_json"), *(score(s).alias(f"score_{s}") for s in scorers))
+    return rows.select(*(F.col(f"`{c}`") for c in original), *out, F.when(crashed, "").otherwise(F.to_json(output)).alias("output_json"), *(score(s).alias(f"score_{s}") for s in scorers), *(F.lit(v).alias(name(k) if k in original else k) for k, v in (run or {}).items()))
 
 
-def results(spark, sf_dir: str) -> DataFrame:
+def results(spark, sf_dir: str, run: dict[str, str] | None = None) -> DataFrame:
     e = scan(spark, sf_dir, "events")
     kind = F.col("event_type")
     by = e.groupBy(F.col("user_id").alias("case_id")).agg(F.count("*").alias("n"), F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "view").alias("views"), F.min("event_id").alias("first"))
     scores = F.map_filter(F.create_map(F.lit("click"), F.col("clicks"), F.lit("view"), F.col("views")), lambda k, v: v % 2 == 0)
     errors = F.when(F.col("n") % 3 == 0, F.array(F.lit("click"))).otherwise(F.array().cast("array<string>"))
     rows = by.select("case_id", F.col("n").alias("output.n"), F.struct("n", "first").alias("output"), scores.alias("scores"), errors.alias("errors"), (F.col("case_id") % 11 == 0).alias("failed"))
-    return result_table(rows, ["case_id", "output.n"], "output", "scores", "errors", "failed", ["click", "view"])
+    return result_table(rows, ["case_id", "output.n"], "output", "scores", "errors", "failed", ["click", "view"], run)
+
+
+def versioned_results(spark, sf_dir: str) -> DataFrame:
+    """The results table of a named experiment and version, written as CSV and read again as text."""
+    path = f"{folder(spark)}/results"
+    results(spark, sf_dir, {"experiment_name": "baseline, \"a\"", "version": "73faf5f"}).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    rows = dataset(spark, path, ["case_id", "output_json", "experiment_name", "version"])
+    return rows.select("case_id", "`output.n`", F.coalesce("output_json", F.lit("")).alias("output_json"), "score_click", "score_view", "experiment_name", "version")
 
 
 def quotes(spark, sf_dir: str) -> DataFrame:
@@ -181,6 +190,14 @@ def metrics(spark, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", names[F.col("key")].alias("metric"), "value").where("metric is not null and value is not null")
 
 
+def metric_rejects(spark, sf_dir: str) -> DataFrame:
+    """(p_partkey, reason): payloads that leave no metric: unreadable ones, and those without a known metric that has a value."""
+    payload = F.from_json("payload", "map<string,double>")
+    known = F.map_filter(payload, lambda k, v: k.isin(*METRICS) & v.isNotNull())
+    reason = F.when(payload.isNull(), "unreadable").when(F.size(known) == 0, "no metrics")
+    return derived(spark, sf_dir, PAYLOADS, "part").select("p_partkey", reason.alias("reason")).where("reason is not null")
+
+
 def latest_filings(filings: DataFrame) -> DataFrame:
     """(company, status, fiscal_year): the year of the period of each company's latest annual report, without amendments; companies with only foreign reports are unsupported."""
     by = filings.groupBy("company").agg(F.max_by("period", F.when(F.col("form") == "10-K", F.struct("filing_date", "accession"))).alias("period"), F.bool_or(F.col("form") == "10-K").alias("has"), F.bool_or(F.col("form") == "20-F").alias("foreign"))
@@ -271,7 +288,7 @@ _IDS = "SELECT doc_id, source, CAST(unnest(range(0, CAST(greatest(ceil((len(stri
 
 QUERIES = {
     "s1_csv_dataset": csv_round_trip, "s2_auto_typed": typed_cells, "s3_declared_types": cell_rejects, "s4_mapped_rows": mapped_rows, "s5_filing_store": stored_filings, "s6_exists": existing, "s7_tickers": valid_tickers, "s8_universe": in_universe, "s9_content_scan": content_scan,
-    "s10_result_table": results, "s11_quotes": quotes, "s12_metrics": metrics, "t19_latest_filings": latest, "t21_work_list": planned, "r3_latest_scope": latest_scope, "c11_rerun": rerun, "f5_run_log": run_log, "f3_two_feeds": two_feeds, "f8_identities": identities, "f9_ratios": ratios,
+    "s10_result_table": results, "s11_quotes": quotes, "s12_metrics": metrics, "s12_metric_rejects": metric_rejects, "s10_versioned_results": versioned_results, "t19_latest_filings": latest, "t21_work_list": planned, "r3_latest_scope": latest_scope, "c11_rerun": rerun, "f5_run_log": run_log, "f3_two_feeds": two_feeds, "f8_identities": identities, "f9_ratios": ratios,
 }
 ORACLE_SQL = {
     "s1_csv_dataset": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
@@ -288,6 +305,9 @@ ORACLE_SQL = {
       FROM (SELECT user_id AS case_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, min(event_id) AS first FROM events GROUP BY 1)""",
     "s11_quotes": f"SELECT event_id, {_Q}, r AS rejected FROM (SELECT *, coalesce(CAST(json_extract_string(payload, '$.c') AS DOUBLE), 0) = 0 AND coalesce(CAST(json_extract_string(payload, '$.pc') AS DOUBLE), 0) = 0 AS r FROM ({QUOTES}))",
     "s12_metrics": """SELECT p_partkey, metric, value FROM (SELECT p_partkey, unnest(['fiftyTwoWeekHigh', 'peTTM', 'debtToEquity']) AS metric, unnest([p_size + 0.5, CASE WHEN p_partkey % 3 > 0 THEN p_size + 0.25 END, 2.5]) AS value FROM part WHERE p_partkey % 5 > 0) WHERE value IS NOT NULL""",
+    "s12_metric_rejects": "SELECT p_partkey, 'no metrics' AS reason FROM part WHERE p_partkey % 5 = 0",
+    "s10_versioned_results": f"""SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(n AS VARCHAR) AS "output.n", CASE WHEN case_id % 11 = 0 THEN '' ELSE '{{"n":' || n || ',"first":' || first || '}}' END AS output_json, {_SCORE.format("clicks", "n % 3 = 0")} AS score_click, {_SCORE.format("views", "false")} AS score_view,
+      'baseline, "a"' AS experiment_name, '73faf5f' AS version FROM (SELECT user_id AS case_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, min(event_id) AS first FROM events GROUP BY 1)""",
     "t19_latest_filings": LATEST,
     "t21_work_list": f"""SELECT company, y AS fiscal_year, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = company AND year(o_orderdate) = y AND o_orderstatus = 'F') THEN 'search' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = company AND year(o_orderdate) = y) THEN 'embed' ELSE 'fetch and embed' END AS action
       FROM (SELECT company, coalesce(fiscal_year, 1995) AS y FROM ({LATEST}))""",

@@ -7,6 +7,8 @@ import json
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,54 @@ def tracked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("pipeline", "target", "status", "rows_written", F.col("error_message").contains("order is too dear").alias("told"), "metadata")
 
 
+def isolated(rows: DataFrame, key: str, value: str, f: Callable) -> DataFrame:
+    """(key, status, error, result): ``f`` of each row's ``value`` as text; a row for which it raises is an ``error`` with its class and message and stops no other."""
+
+    def run(batches):
+        for batch in batches:
+            out = {"status": [], "error": [], "result": []}
+            for x in batch.column(1).to_pylist():
+                try:
+                    told = ("success", None, str(f(x)))
+                except Exception as error:  # the row's own failure is its result
+                    told = ("error", f"{type(error).__name__}: {error}", None)
+                for c, v in zip(out, told, strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.string()) for v in out.values())], names=[key, *out])
+
+    return rows.select(key, value).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, status string, error string, result string")
+
+
+def batch(rows: DataFrame, key: str, value: str, f: Callable, store: str) -> DataFrame:
+    """(key, status, error, result, from_cache) of every row: what the table ``store`` holds is taken from there, the rest is done by ``isolated``, and its successes are added to the store, so errors are tried again next time."""
+    spark = rows.sparkSession
+    try:
+        done = spark.read.parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = isolated(rows.limit(0), key, value, f).select(key, "result")
+    have = rows.join(done, key).select(key, F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"), "result", F.lit(True).alias("from_cache"))
+    path = f"{store}-run-{uuid.uuid4().hex}"
+    have.unionByName(isolated(rows.join(done, key, "left_anti"), key, value, f).withColumn("from_cache", F.lit(False))).write.parquet(path)
+    out = spark.read.parquet(path)
+    out.where("status = 'success' and not from_cache").select(key, "result").write.mode("append").parquet(store)
+    return out
+
+
+def counted_sentences(text: str) -> int:
+    if "." not in text:
+        raise ValueError("no sentence")
+    return text.count(".")
+
+
+def isolated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches over the documents, the first of every fourth one alone: texts without a full stop are errors, and only what the first one finished comes from the cache of the second."""
+    store, docs = f"{folder(spark)}/results", scan(spark, sf_dir, "documents").select("doc_id", "text")
+    batch(docs.where("doc_id % 4 = 0"), "doc_id", "text", counted_sentences, store)
+    return batch(docs, "doc_id", "text", counted_sentences, store)
+
+
 def suffixes(host: Column) -> Column:
     """``a.b.c`` -> a.b.c, b.c, c; in small letters, without a port."""
     labels = F.split(F.lower(F.regexp_replace(host, r":\d+$", "")), r"\.")
@@ -83,8 +133,10 @@ def colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.hint("merge").join(labels, "doc_id").groupBy("doc_id").agg(F.max("source").alias("source"), F.sum("n").alias("n_chars"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
-QUERIES = {"f5_tracked_loads": tracked_orders, "s13_trusted_results": trusted_results, "r5_colocated": colocated}
+QUERIES = {"t20_isolated_batch": isolated_batch, "f5_tracked_loads": tracked_orders, "s13_trusted_results": trusted_results, "r5_colocated": colocated}
 ORACLE_SQL = {
+    "t20_isolated_batch": """SELECT doc_id, CASE WHEN contains(text, '.') THEN 'success' ELSE 'error' END AS status, CASE WHEN NOT contains(text, '.') THEN 'ValueError: no sentence' END AS error, CASE WHEN contains(text, '.') THEN CAST(length(text) - length(replace(text, '.', '')) AS VARCHAR) END AS result,
+      contains(text, '.') AND doc_id % 4 = 0 AS from_cache FROM documents""",
     "f5_tracked_loads": """SELECT 'orders' AS pipeline, 'all' AS target, 'success' AS status, count(*) AS rows_written, CAST(NULL AS BOOLEAN) AS told, '{"last_key": ' || max(o_orderkey) || ', "n_open": ' || count(*) FILTER (WHERE o_orderstatus = 'O') || '}' AS metadata FROM orders
       UNION ALL SELECT 'orders', 'cheap', CASE WHEN max(o_totalprice) > 400000 THEN 'error' ELSE 'success' END, CASE WHEN max(o_totalprice) > 400000 THEN 0 ELSE count(*) END, CASE WHEN max(o_totalprice) > 400000 THEN true END,
         CASE WHEN max(o_totalprice) > 400000 THEN '{"limit": 400000}' ELSE '{"last_key": ' || max(o_orderkey) || ', "limit": 400000, "n_open": ' || count(*) FILTER (WHERE o_orderstatus = 'O') || '}' END FROM orders""",

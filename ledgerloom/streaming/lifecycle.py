@@ -294,6 +294,22 @@ def results(events: DataFrame, out: DataFrame) -> DataFrame:
     return rows.where("f is not null").select("session_id", F.col("f.seq").alias("seq"), F.when(failed, "failed").otherwise("finished").alias("status"), F.when(failed, F.col("error")).alias("error"))
 
 
+def health(out: DataFrame) -> DataFrame:
+    """(session_id, seq, n_calls, n_errors, failing, finished, healthy) of each run by its finish: the calls told, their errors and the names of the tools that failed (by the last call of that id before, else unknown), sorted and each once; healthy: it
+    finished, and no tool failed."""
+    w = Window.partitionBy("session_id").orderBy("seq", "ord")
+    run = F.coalesce(F.count_if(F.col("type") == "finish").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = out.withColumn("run", run)
+    of_call = Window.partitionBy("session_id", "run", "id").orderBy("seq", "ord")
+    rows = rows.withColumn("tool", F.last(F.when(F.col("type") == "tool-call", F.col("name")), ignorenulls=True).over(of_call))
+    failed = F.col("type") == "tool-error"
+    by = rows.groupBy("session_id", "run").agg(
+        F.max(F.when(F.col("type") == "finish", F.struct("seq", "text"))).alias("f"), F.count_if(F.col("type") == "tool-call").alias("n_calls"), F.count_if(failed).alias("n_errors"), F.array_sort(F.collect_set(F.when(failed, F.coalesce("tool", F.lit("unknown"))))).alias("failing")
+    )
+    finished = F.col("f.text") != "error"
+    return by.where("f is not null").select("session_id", F.col("f.seq").alias("seq"), "n_calls", "n_errors", F.array_join("failing", ",").alias("failing"), finished.alias("finished"), (finished & (F.col("n_errors") == 0)).alias("healthy"))
+
+
 LOG = """SELECT session_id, seq, ts, chunk, kind, CASE WHEN kind IN ('text', 'reasoning', 'tool_start', 'usage') AND seq % 6 <> 0 THEN concat('m', CAST(floor(seq / 400) AS BIGINT)) END AS llm_id,
   CASE WHEN kind IN ('tool_start', 'call', 'result', 'error', 'progress') THEN concat('call-', coalesce(last_value(CASE WHEN kind = 'tool_start' THEN seq END) IGNORE NULLS OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)) END AS call_id,
   CASE WHEN kind = 'tool_start' AND seq % 13 <> 0 OR kind = 'call' THEN concat('tool_', seq % 5) END AS name, CASE WHEN seq % 9 = 0 THEN '' ELSE delta END AS delta, CASE WHEN kind IN ('text', 'usage') THEN seq % 700 END AS tokens_in, CASE WHEN kind IN ('text', 'usage') THEN seq % 50 END AS tokens_out
@@ -334,6 +350,7 @@ QUERIES = {
     "v3_outcomes": lambda s, d: outcomes(started(log(s, d)), ended(log(s, d))),
     "v3_stream_outcomes": lambda s, d: streamed(s, d, stream_outcomes),
     "v4_run_status": lambda s, d: results(log(s, d), told(log(s, d))),
+    "e12_run_health": lambda s, d: health(told(log(s, d))),
     "v5_stream_progress": lambda s, d: streamed(s, d, lambda e: stream_told(e).where("type = 'tool-progress'")).select("session_id", "seq", "id"),
     "v8_wire_records": lambda s, d: records(told(log(s, d))),
     "v8_stream_records": lambda s, d: streamed(s, d, lambda e: records(stream_told(e))),
@@ -390,6 +407,8 @@ ORACLE_SQL = {
     "v3_stream_outcomes": _OUTCOMES,
     "v4_run_status": _FLOW + """SELECT session_id, seq, CASE WHEN failed THEN 'failed' ELSE 'finished' END AS status, CASE WHEN failed THEN error END AS error FROM (SELECT o.session_id, max(o.seq) AS seq, max(CASE WHEN o.kind = 'failure' THEN 1 ELSE 0 END) = 1 AS failed,
       arg_max(o.delta, o.seq) FILTER (WHERE o.kind IN ('error', 'failure')) AS error FROM o GROUP BY o.session_id, o.run)""",
+    "e12_run_health": _FLOW + """SELECT session_id, max(seq) AS seq, count(*) FILTER (WHERE kind = 'call') AS n_calls, count(*) FILTER (WHERE kind = 'error') AS n_errors, coalesce(string_agg(DISTINCT tool, ',' ORDER BY tool) FILTER (WHERE kind = 'error'), '') AS failing, NOT bool_or(kind = 'failure') AS finished,
+      NOT bool_or(kind IN ('failure', 'error')) AS healthy FROM (SELECT *, coalesce(last_value(CASE WHEN kind = 'call' THEN name END IGNORE NULLS) OVER (PARTITION BY session_id, run, call_id ORDER BY seq), 'unknown') AS tool FROM o) GROUP BY session_id, run""",
     "v5_stream_progress": _FLOW + "SELECT session_id, seq, id FROM told WHERE type = 'tool-progress'",
     "v8_wire_records": _RECORDS,
     "v8_stream_records": _RECORDS,
