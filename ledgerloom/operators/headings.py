@@ -20,7 +20,7 @@ DECORATIVE = (
     "border border-top border-bottom border-left border-right line-height letter-spacing text-decoration text-indent vertical-align width height min-width min-height max-width max-height"
 ).split()
 ITEM_FORM, PART_FORM, NAME_FORM = r"(?i)^{s}*Item{s}+(\d+[A-Z]?)\.", r"(?i)^{s}*PART{s}+(I{{1,3}}V?|IV)\b", r"(?i)^{s}*Item{s}+\d+[A-Z]?\b"
-#: What an item's and a part's heading begin with; the reference form of an item may lack the dot.
+#: What an item's and a part's heading begin with; where an item is only named, the dot may lack.
 ITEM, PART, ITEM_NAME = (x.format(s=f"[{SPACE}]") for x in (ITEM_FORM, PART_FORM, NAME_FORM))
 NOT_BESIDE = ("div", "td", "th", "table", "ul", "ol", "li")
 BLOCK_TAGS = {"div", "p", "td", "th", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
