@@ -38,12 +38,14 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows that the classifier predicts toxic. Each row is judged by its own text, null ones as empty; repeats share their verdict, and an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = numbered(docs)
     return without(docs, toxicity.classify(by_row(docs), labels, docs).where("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without lines of windows that stood before, in order of row_id; n_chars is counted anew, null for a null text. No row goes, even if its text becomes empty."""
     docs = numbered(docs)
     kept = line_dedup.dedup(by_row(docs)).select(F.col("doc_id").alias("row_id"), "kept_text")
     out = docs.join(kept, "row_id")
@@ -51,17 +53,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row of the smallest row_id; rows without words are classes of their own and stay."""
     docs = numbered(docs)
     return without(docs, jaccard.classes(by_row(docs)).where("not kept"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows that overlap an item of the benchmark; null and empty texts stay, and so does everything if the benchmark is empty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = numbered(docs)
     return without(docs, decontaminate.decontaminate(by_row(docs), benchmark).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row that is left, encoded and decoded, as ``pieces.round_trip`` tells."""
     return pieces.round_trip(docs)
 
 
