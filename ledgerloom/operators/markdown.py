@@ -198,6 +198,13 @@ def body_of(md: Column) -> Column:
     return F.substring(md, F.length(front(md)) + 1, F.length(md))
 
 
+def short_titles(markdown: DataFrame) -> DataFrame:
+    """(doc_id, line_idx, heading): item headings of Markdown (doc_id, md), normalised, whose title has one to four characters; a converter may have dropped the rest."""
+    lines = markdown.select("doc_id", F.posexplode(F.split(normal_headings(F.col("md")), "\n")).alias("line_idx", "heading"))
+    title = stripped(F.regexp_extract("heading", r"^## Item \d+[A-Z]?\.(.*)$", 1))
+    return lines.where(F.length(title).between(1, 4))
+
+
 def heading_variants(markdown: DataFrame) -> DataFrame:
     """(kind, variant, n, samples) over Markdown (doc_id, md): headings of parts and items by how they are written, with the first three by doc_id and place."""
     body = body_of(F.col("md"))
@@ -322,7 +329,7 @@ QUERIES = {
     "m1_cover_strip": ruled(strip_cover), "m2_page_separators": ruled(strip_pages), "m3_part_three_stubs": ruled(strip_stubs), "m4_stub_sections": stub_sections, "m5_split_titles": ruled(merge_titles),
     "m6_headings": ruled(normal_headings), "m7_clean": ruled(clean), "m8_profile": profile, "m9_heading_variants": variants,
     "c4_outline": nested,
-    "m9_variant_report": lambda s, d: heading_variants(varied(s, d)), "m9_audit": lambda s, d: audit(varied(s, d)),
+    "m9_variant_report": lambda s, d: heading_variants(varied(s, d)), "m9_audit": lambda s, d: audit(varied(s, d)), "m6_short_titles": lambda s, d: short_titles(varied(s, d)),
 }
 ORACLE_SQL = {name: _digest(_sql_clean(0, k)) for name, k in (("m1_cover_strip", 0), ("m2_page_separators", 1), ("m3_part_three_stubs", 2), ("m5_split_titles", 3), ("m6_headings", 4))} | {
     "m4_stub_sections": f"SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, CAST({_LEFT} AS INTEGER) AS remaining, {_IS_STUB} AS is_stub FROM (SELECT doc_id, unnest({_SECTIONS}) AS s, generate_subscripts({_SECTIONS}, 1) AS place FROM ({MD})) WHERE {_STUBBED}",
@@ -359,4 +366,6 @@ ORACLE_SQL |= {
       FROM (SELECT doc_id, len(regexp_extract_all(b, '(?m)^---[ \\t]*$')) - len(regexp_extract_all(b, '{PAGE}')) AS gap, len(regexp_extract_all(chr(10) || b, '{TABLE_RISK}')) AS risks FROM {_VBODY})
       LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE length(t) BETWEEN 1 AND 4) AS tr, count(*) FILTER (WHERE t = '') AS em FROM (SELECT doc_id, trim(rtrim({_TITLE}, '.')) AS t FROM ({_LINES}) WHERE kind = 'item') GROUP BY 1) USING (doc_id)
       LEFT JOIN (SELECT doc_id, bool_or(item = '1C') AS c1, bool_or(item = '9A') AS a9, bool_or(item = '9B') AS b9, bool_or(item = '9C') AS c9, bool_or(item = '1C' AND stub) AS s1 FROM ({_LATE}) GROUP BY 1) USING (doc_id)""",
+    "m6_short_titles": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_idx, '## Item ' || regexp_extract(line, '^## (?:ITEM|Item)\\s+([0-9]+[A-Z]?)', 1) || '. ' || CASE WHEN regexp_matches(t, '\\p{{Ll}}') THEN t ELSE upper(t[1]) || lower(t[2:]) END AS heading FROM (SELECT *, trim(regexp_extract(line, '^## (?:ITEM|Item)\\s+[0-9]+[A-Z]?[.]?[ \\t]*(.*)$', 1)) AS t
+      FROM (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM ({VARIED})) WHERE regexp_matches(line, '^## (?:ITEM|Item)\\s+[0-9]+[A-Z]?')) WHERE length(t) BETWEEN 1 AND 4""",
 }

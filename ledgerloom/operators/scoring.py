@@ -111,6 +111,39 @@ def selected(rows: DataFrame, ids: list[str]) -> DataFrame:
     return ask.join(known, "id", "left").select("pos", "id", status.alias("status"))
 
 
+def diagnostic_rows(rows: DataFrame, dataset: str, version: str, label: str, agent: str, ids: list[str] | None = None) -> DataFrame:
+    """(pos, id, diagnostic_id, is_full_dataset, metadata, and the other columns) of a dataset's ``rows`` (id, ...): all of them, pos null, or the requested ``ids`` in their order.
+
+    Ids of the dataset must be there, differ and hold no ``::``; so must names, since an identity is ``dataset::label::row``. Unknown, repeated and empty requests are errors. Each row carries
+    its run's metadata as JSON, and whether the run has the whole dataset, so that no subset passes for one.
+    """
+    for name, part in (("dataset", dataset), ("label", label)):
+        if not part.strip() or "::" in part:
+            raise ValueError(f"{name} must not be empty or hold '::': {part!r}")
+    text = F.col("id").cast("string")
+    bad = rows.groupBy(text.alias("id")).agg(F.count("*").alias("n")).where("id is null or trim(id) = '' or n > 1 or contains(id, '::')").select("id").limit(5).collect()
+    if bad:
+        raise ValueError(f"dataset ids are empty, repeated or hold '::': {[r.id for r in bad]}")
+    total, out = rows.count(), rows.withColumn("id", text)
+    if ids is None:
+        out, whole = out.withColumn("pos", F.lit(None).cast("int")), True
+    else:
+        asked = selected(rows, ids)
+        odd = asked.where("status <> 'found'").orderBy("pos").limit(5).collect()
+        if odd:
+            raise ValueError("; ".join(f"{r.status} id {r.id}" for r in odd))
+        out, whole = out.join(asked.select("pos", "id"), "id"), len(ids) == total
+    metadata = F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in (("dataset_name", dataset), ("dataset_version", version), ("run_label", label), ("agent_version", agent))), F.col("id").alias("row_id"), F.lit(whole).alias("is_full_dataset")))
+    rest = [c for c in rows.columns if c != "id"]
+    return out.select("pos", "id", F.concat_ws("::", F.lit(dataset), F.lit(label), "id").alias("diagnostic_id"), F.lit(whole).alias("is_full_dataset"), metadata.alias("metadata"), *rest)
+
+
+def diagnostic_run(spark, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a row of a diagnostic run."""
+    rows = scan(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.md5("text").alias("text_md5"))
+    return diagnostic_rows(rows, "benchmark", "v2", "baseline", "a1").drop("pos")
+
+
 EXPECTED = """SELECT vec_id AS query_id, CAST(entry % 3 AS INTEGER) AS entry, CASE entry WHEN 0 THEN concat('F', t, ' / 2024') WHEN 1 THEN concat('F', (t + 1) % 5, ' / 2024 / Item ', t % 4) WHEN 4 THEN concat('F', (t + 2) % 5, ' / 2024') ELSE concat('F', t, ' / 20') END AS path,
   CASE entry WHEN 0 THEN '' WHEN 1 THEN 'CHUNK 1' WHEN 4 THEN 'chunk 2' ELSE '7 of' END AS snippet FROM (SELECT vec_id, CAST(floor(vec_id / 20) AS BIGINT) % 5 AS t FROM embeddings WHERE vec_id % 20 = 0) CROSS JOIN (SELECT 0 AS entry UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 4) e"""
 CASES = """SELECT user_id % 7 AS scenario, concat('case-', user_id) AS case_id, CASE WHEN user_id % 13 = 3 THEN 'crash' END AS task_error, event_type, avg(value) / 100 AS mean, count(*) AS n FROM events WHERE user_id % 7 < 6 GROUP BY user_id, event_type"""
@@ -286,7 +319,7 @@ VERDICTS = f"""SELECT scenario, scorer, aggregate, n_produced, skipped, errored,
 
 QUERIES = {
     "e1_hits": hit_table, "e2_recall": scored("recall_5", "recall_10"), "e3_reciprocal_rank": scored("reciprocal_rank"), "e4_average_precision": scored("average_precision"), "e5_entity_precision": entity_precision, "e6_entity_tiers": entity_tiers,
-    "e10_tool_arguments": tool_arguments, "e13_judge_scores": judge_scores, "e14_scorer_verdicts": scorer_verdicts, "e15_scenario_gate": scenario_gate, "e18_row_subset": chosen_rows, "e19_diagnostic_ids": diagnostic_ids, "e20_validation": validation, "e20_dataset_rows": dataset_rows,
+    "e10_tool_arguments": tool_arguments, "e13_judge_scores": judge_scores, "e14_scorer_verdicts": scorer_verdicts, "e15_scenario_gate": scenario_gate, "e18_row_subset": chosen_rows, "e19_diagnostic_ids": diagnostic_ids, "e20_validation": validation, "e20_dataset_rows": dataset_rows, "e19_diagnostic_run": diagnostic_run,
 }
 ORACLE_SQL = {
     "e1_hits": HITS,
@@ -308,6 +341,8 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT scenario, string_agg(scorer || ': ' || cause, '; ' ORDER BY scorer || ': ' || cause) AS v FROM ({VERDICTS}) WHERE cause IS NOT NULL GROUP BY 1) y ON y.scenario = s.scenario)""",
     "e18_row_subset": "SELECT pos, id, CASE WHEN pos = 4 THEN 'repeated' WHEN id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) THEN 'found' ELSE 'unknown' END AS status FROM (VALUES (0, '7'), (1, '3'), (2, '11'), (3, '999999999'), (4, '3')) t(pos, id)",
     "e19_diagnostic_ids": "SELECT doc_id, concat_ws('::', source, l, doc_id) AS diagnostic_id, NOT contains(source || ' ' || l, '::') AS valid FROM (SELECT doc_id, source, CASE WHEN doc_id % 50 = 0 THEN 'a::b' ELSE lang END AS l FROM documents)",
+    "e19_diagnostic_run": """SELECT CAST(item_id AS VARCHAR) AS id, 'benchmark::baseline::' || item_id AS diagnostic_id, true AS is_full_dataset, '{"dataset_name":"benchmark","dataset_version":"v2","run_label":"baseline","agent_version":"a1","row_id":"' || item_id || '","is_full_dataset":true}' AS metadata,
+      md5(text) AS text_md5 FROM benchmark""",
     "e20_dataset_rows": f"""WITH r AS (SELECT row_id, CASE WHEN paths = '' THEN CAST([] AS VARCHAR[]) WHEN json_valid(paths) AND json_type(paths) = 'ARRAY' THEN CAST(CAST(paths AS JSON) AS VARCHAR[]) END AS p, CASE WHEN snippets = '' THEN CAST([] AS VARCHAR[]) WHEN json_valid(snippets) AND json_type(snippets) = 'ARRAY' THEN CAST(CAST(snippets AS JSON) AS VARCHAR[]) END AS s
         FROM ({DATASET})), e AS (SELECT row_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS place, unnest(p) AS path, s FROM r WHERE p IS NOT NULL AND s IS NOT NULL), x AS (SELECT row_id, place, path, nullif(s[place + 1], '') AS snippet FROM e)
       SELECT row_id, CAST(NULL AS INTEGER) AS place, CASE WHEN p IS NULL OR s IS NULL THEN 'malformed' ELSE 'skipped' END AS status FROM r WHERE p IS NULL OR s IS NULL OR len(p) = 0 UNION ALL

@@ -435,3 +435,25 @@ def test_heading_variants_and_faults(spark):
     text = "---\nt: x\n---\n## Item 1C. Cyb.\nshort\n## Item 9A. Controls\n" + "y" * 300 + "\n12\n| - | - |\n---\n## Item 5."
     r = markdown.audit(spark.createDataFrame([(1, text)], "doc_id int, md string")).first()
     assert (r.n_truncated, r.n_empty, r.dash_gap, r.n_table_risks, r.has_1c, r.stub_1c, r.has_9a, r.has_9b) == (1, 1, 1, 1, True, True, True, False)
+
+
+def test_diagnostic_rows(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, x int")
+    some = scoring.diagnostic_rows(rows, "d", "v1", "l", "g", ["c", "a"]).orderBy("pos").collect()
+    assert [(r.id, r.x, r.diagnostic_id, r.is_full_dataset) for r in some] == [("c", 3, "d::l::c", False), ("a", 1, "d::l::a", False)]
+    assert json.loads(some[0].metadata) == {"dataset_name": "d", "dataset_version": "v1", "run_label": "l", "agent_version": "g", "row_id": "c", "is_full_dataset": False}
+    assert all(r.is_full_dataset for r in scoring.diagnostic_rows(rows, "d", "v1", "l", "g").collect())
+    for ids, error in ((["z"], "unknown id z"), (["a", "a"], "repeated id a"), ([" "], "ids")):
+        with pytest.raises(ValueError, match=error):
+            scoring.diagnostic_rows(rows, "d", "v1", "l", "g", ids)
+    for odd in ([("a", 1), ("a", 2)], [(None, 1)], [("x::y", 1)], [("", 1)]):
+        with pytest.raises(ValueError, match="dataset ids"):
+            scoring.diagnostic_rows(spark.createDataFrame(odd, "id string, x int"), "d", "v1", "l", "g")
+    with pytest.raises(ValueError, match="label"):
+        scoring.diagnostic_rows(rows, "d", "v1", "l::m", "g")
+
+
+def test_short_titles(spark):
+    md = "## ITEM 1.BUS\n## Item 2. Properties\n## Item 3. \n## Item 4. Mine"
+    got = markdown.short_titles(spark.createDataFrame([(1, md)], "doc_id int, md string")).collect()
+    assert [(r.line_idx, r.heading) for r in got] == [(0, "## Item 1. Bus"), (3, "## Item 4. Mine")]
