@@ -150,15 +150,14 @@ class Mapper(StatefulProcessor):
                     tell(6, "text-end", f"text-{s['texts'] - 1}")
                     s["text_open"] = False
                 if call is not None and r["name"] is not None:
-                    self.pending.updateValue((call,), (r["name"],))
+                    self.calls[call] = r["name"]
             s.update(tokens_in=s["tokens_in"] + int(r["tokens_in"] or 0), tokens_out=s["tokens_out"] + int(r["tokens_out"] or 0))
         elif kind == "call":
             tell(7, "tool-call", call, r["name"], delta)
         elif kind in ("result", "error"):
             tell(8 + (kind == "error"), f"tool-{kind}", call, text=delta)
-            if call is not None and self.pending.containsKey((call,)):
-                self.pending.removeKey((call,))
-        elif kind == "progress" and call is not None and self.pending.containsKey((call,)):
+            self.calls.pop(call, None)
+        elif kind == "progress" and call in self.calls:
             tell(10, "tool-progress", call, text=delta)
         elif kind in ("end", "failure"):
             self.finish(s, out, seq, (delta or "") if kind == "failure" else None)
@@ -168,18 +167,25 @@ class Mapper(StatefulProcessor):
         frame = pd.concat(rows).sort_values("seq", kind="stable")
         frame["ms"] = frame["ts"].astype("datetime64[ms]").astype("int64")
         out, timer = [], s["at"]
+        # the map is read once and its changes are written once, since each access is a message to the JVM
+        before = {k[0]: v[0] for k, v in self.pending.iterator()} if timer is not None else {}
+        self.calls = dict(before)
         columns = {c: [None if pd.isna(x) else x for x in frame[c].tolist()] for c in ("seq", "ms", "chunk", "kind", "llm_id", "call_id", "name", "delta", "tokens_in", "tokens_out")}
         for values in zip(*columns.values(), strict=True):
             r = dict(zip(columns, values, strict=True))
             if s["at"] is not None and r["ms"] - s["at"] > IDLE_MS:
                 if not s["over"]:
                     self.finish(s, out, s["seen"])
-                self.pending.clear()
+                self.calls = {}
                 s = dict(zip(FIELDS, FRESH, strict=True))
             if not s["over"]:
                 self.take(s, r, out)
                 s["seen"] = r["seq"]
             s.update(at=r["ms"], chunk=None if r["chunk"] is None else int(r["chunk"]), before=r["kind"])
+        for call in before.keys() - self.calls.keys():
+            self.pending.removeKey((call,))
+        for call in self.calls.keys() - before.keys():
+            self.pending.updateValue((call,), (self.calls[call],))
         if timer is not None:
             self.handle.deleteTimer(timer + IDLE_MS + 1)
         self.handle.registerTimer(s["at"] + IDLE_MS + 1)
