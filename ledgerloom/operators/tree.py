@@ -1,7 +1,8 @@
 """Pages as trees in a table: every element and text with its place in pre-order and the last place within it, so ancestry is a comparison of numbers; and the headings found on it.
 
 A node is within another if ``pre <= node.pre <= last``. One parser in tasks numbers the nodes of a page; what a block says, how large and bold it is, where items and
-parts begin and which blocks are headings are joins, groups and windows over the nodes. The queries read filings whose bodies are the given ``pages``.
+parts begin and which blocks are headings are groups and windows over the nodes, one after another: the pages are parsed once, their nodes shuffled once, by page, and no table is
+joined with itself. The queries read filings whose bodies are the given ``pages``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import SPACE, bound, stripped
@@ -26,6 +27,8 @@ LINES = {"div", "p", "td", "th", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6"
 HIDDEN, SIZE, WEIGHT = re.compile(r"display\s*:\s*none", re.I), re.compile(r"font-size\s*:\s*([0-9]+(?:\.[0-9]+)?)pt", re.I), r"font-weight\s*:\s*(700|bold)"
 BOLD, BOLD_AS_WRITTEN = re.compile(WEIGHT, re.I), re.compile(WEIGHT)
 REPEATS = 4
+#: Nodes that the parser hands over at once.
+BATCH = 5_000
 
 NODE = pa.schema(
     [
@@ -112,18 +115,25 @@ def nodes(pages: DataFrame) -> DataFrame:
     """The nodes of ``pages`` (page_id, html). Elements have their tag, the characters of the texts within (``solid``, each stripped), whether they are bold or (spans) sized themselves; texts have their
     tag ``#text`` and text, white space collapsed. ``bold_at`` and ``size_at`` are the nearest bold and sized elements around, -1 for none: one lies within a block if its
     number is not smaller than the block's. ``blocks`` are the blocks around, outermost first, a block itself included. Hidden elements and scripts are left out, ``ix:`` and
-    font tags leave their content. A null page has no nodes."""
+    font tags leave their content. A null page has no nodes. Pages are dealt out before they are parsed, since one file of them may be one task; the nodes are dealt out by page."""
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), NODE.types, strict=True)], schema=NODE)
 
     def run(batches):
+        rows = []
         for batch in batches:
             for k in range(batch.num_rows):
                 parser = Parser(batch.column(0)[k].as_py())
                 parser.feed(batch.column(1)[k].as_py() or "")
-                rows = parser.finish()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), NODE.types, strict=True)], schema=NODE)
+                rows += parser.finish()
+                if len(rows) >= BATCH:
+                    yield told(rows)
+                    rows = []
+        if rows:
+            yield told(rows)
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
+    return pages.select(F.col("page_id").cast("long"), "html").repartition("page_id").mapInArrow(run, NODES).repartition("page_id")
 
 
 def collapsed(text: Column) -> Column:
@@ -136,73 +146,104 @@ def body_sizes(tree: DataFrame) -> DataFrame:
     return by.groupBy("page_id").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("body_size"))
 
 
-def blocks(tree: DataFrame) -> DataFrame:
-    """The blocks of a table of nodes: page_id, pre, last, parent, tag, in_table, solid, blocks; text (collapsed) and packed (its texts stripped and joined); size (that most of its characters have, of
+def blocks(tree: DataFrame, texts: bool = False) -> DataFrame:
+    """The blocks of a table of nodes: page_id, pre, last, parent, tag, in_table, solid; text (collapsed) and packed (its texts stripped and joined); size (that most of its characters have, of
     sizes set within it, the first of equal ones), has_bold (it or an element within), bold_only (a heading's form: div or p outside tables without another one or a table
-    within, of 3 to 200 characters, no number, no sentence if over 30, every text bold by an element within or the block), holds_block (a block child holds text)."""
-    around = tree.select("page_id", "pre", "parent", "tag", "text", "solid", "bold", "bold_at", "size", "size_at", F.explode("blocks").alias("block"))
-    is_text, own = F.col("tag") == "#text", F.col("pre") == F.col("block")
+    within, of 3 to 200 characters, no number, no sentence if over 30, every text bold by an element within or the block), holds_block (a block child holds text); and what ``beside`` told.
+
+    With ``texts`` each text is a row too, with its tag ``#text``, its text as it is (raw) and its line.
+    """
+    is_text = F.col("tag") == "#text"
+    # a text's own row has a number that no block has
+    alone = -2 - F.col("pre")
+    around = tree.withColumn("block", F.explode(F.when(is_text, F.concat("blocks", F.array(alone))).otherwise(F.col("blocks")) if texts else F.col("blocks")))
+    own = F.col("block").isin(F.col("pre"), alone)
     run = F.struct("pre", "text", F.when(F.col("size_at") >= F.col("block"), F.col("size")).alias("size"), (F.col("bold_at") >= F.col("block")).alias("bold"), F.col("solid").alias("n"))
+    node = F.struct("pre", "last", "parent", "tag", "in_table", "solid", *(c for c in ("before", "after", "body_size") if c in tree.columns), *([F.col("text").alias("raw"), "line_at", "line_tag"] if texts else []))
     by = around.groupBy("page_id", "block").agg(
-        F.array_sort(F.collect_list(F.when(is_text, run))).alias("runs"),
+        F.first(F.when(own, node), ignorenulls=True).alias("node"),
+        F.sort_array(F.collect_list(F.when(is_text & ~own, run))).alias("runs"),
         F.max(F.col("bold")).alias("has_bold"),
         F.max(F.col("tag").isin(*NESTED) & ~own).alias("nests"),
         F.max(F.col("tag").isin(*BLOCKS) & (F.col("parent") == F.col("block")) & (F.col("solid") > 0)).alias("holds_block"),
     )
-    solid = F.filter("runs", lambda r: r["n"] > 0)
-    sizes = F.array_distinct(F.filter(F.transform(solid, lambda r: r["size"]), lambda x: x.isNotNull()))
-    chars = lambda s: F.aggregate(F.filter("solid", lambda r: r["size"] == s), F.lit(0), lambda a, r: a + r["n"])
+    full = F.filter("runs", lambda r: r["n"] > 0)
+    sizes = F.array_distinct(F.filter(F.transform("full", lambda r: r["size"]), lambda x: x.isNotNull()))
+    chars = lambda s: F.aggregate(F.filter("full", lambda r: r["size"] == s), F.lit(0), lambda a, r: a + r["n"])
     most = F.array_max(F.transform("sizes", lambda s, k: F.struct(chars(s).alias("chars"), (-k).alias("k"), s.alias("size"))))["size"]
     joined = F.array_join(F.transform("runs", lambda r: r["text"]), "")
-    by = by.withColumns({"solid": solid, "joined": joined}).withColumn("sizes", sizes)
-    by = by.select(F.col("page_id").alias("of_page"), "block", collapsed(F.col("joined")).alias("text"), F.array_join(F.transform("solid", lambda r: stripped(r["text"])), "").alias("packed"), most.alias("size"), "has_bold", "nests", "holds_block", (~F.exists("solid", lambda r: ~r["bold"])).alias("all_bold"))
-    rows = tree.where(F.col("tag").isin(*BLOCKS)).select("page_id", "pre", "last", "parent", "tag", "in_table", "solid", "blocks")
-    rows = rows.join(by, (rows.page_id == by.of_page) & (rows.pre == by.block)).drop("of_page", "block")
+    by = by.withColumns({"full": full, "joined": joined}).withColumn("sizes", sizes)
+    packed = F.array_join(F.transform("full", lambda r: stripped(r["text"])), "")
+    rows = by.select("page_id", "node.*", collapsed(F.col("joined")).alias("text"), packed.alias("packed"), most.alias("size"), "has_bold", "nests", "holds_block", (~F.exists("full", lambda r: ~r["bold"])).alias("all_bold"))
     n = F.length("packed")
     form = F.col("tag").isin("div", "p") & ~F.col("in_table") & ~F.col("nests") & n.between(3, 200) & ~F.col("packed").rlike(r"^\p{N}+$") & ((n <= 30) | ~F.col("packed").rlike(r"[.!?]\z"))
     return rows.withColumn("bold_only", form & F.col("all_bold")).drop("all_bold", "nests")
 
 
 def beside(tree: DataFrame) -> DataFrame:
-    """(page_id, pre, before, after): the tags of an element's nearest siblings that hold text, by windows over the children of one parent."""
-    w = Window.partitionBy("page_id", "parent").orderBy("pre")
-    return tree.where("tag <> '#text' and solid > 0").select("page_id", "pre", "parent", F.lag("tag").over(w).alias("before"), F.lead("tag").over(w).alias("after")).drop("parent")
-
-
-def standing(tree: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``blocks`` with text and isolated (no block-like sibling with text beside it, outside tables and cells, sized, not smaller than the page's body) and strong (short and over a tenth larger)."""
-    rows = blocks(tree) if rows is None else rows
-    out = rows.where("solid > 0").join(beside(tree), ["page_id", "pre"], "left").join(body_sizes(tree), "page_id", "left")
+    """``tree`` with body_size (as ``body_sizes`` has it) and before and after, the tags of an element's nearest siblings that hold text."""
+    same = Window.partitionBy("page_id", "of_size")
+    sized = tree.withColumn("of_size", F.when(F.col("tag") == "span", F.col("size")))
+    sized = sized.withColumns({"chars": F.sum("solid").over(same), "first": F.min("pre").over(same)})
+    body = F.max(F.when(F.col("of_size").isNotNull(), F.struct("chars", (-F.col("first")).alias("first"), "of_size"))).over(Window.partitionBy("page_id"))
+    # those without text stand apart
+    w = Window.partitionBy("page_id", "parent", "holds").orderBy("pre")
+    rows = sized.withColumn("body_size", body["of_size"]).withColumn("holds", (F.col("tag") != "#text") & (F.col("solid") > 0))
+    return rows.withColumns({"before": F.lag("tag").over(w), "after": F.lead("tag").over(w)}).drop("of_size", "chars", "first", "holds")
+
+
+def standing(tree: DataFrame, texts: bool = False) -> DataFrame:
+    """``blocks`` with text and isolated (no block-like sibling with text beside it, outside tables and cells, sized, not smaller than the page's body) and strong (short and over a tenth larger); with ``texts`` also all texts."""
+    rows = blocks(beside(tree), texts).where((F.col("solid") > 0) | (F.col("tag") == "#text"))
     near = lambda c: F.coalesce(F.col(c).isin(*NOT_BESIDE), F.lit(False))
     isolated = ~F.col("tag").isin("td", "th") & ~F.col("in_table") & F.col("size").isNotNull() & F.coalesce(F.col("size") >= F.col("body_size"), F.lit(True)) & ~near("before") & ~near("after")
     strong = F.coalesce((F.length("text") < 150) & (F.col("size") > F.col("body_size") * 1.1), F.lit(False))
-    return out.withColumns({"isolated": isolated, "strong": strong}).drop("before", "after")
+    return rows.withColumns({"isolated": isolated, "strong": strong}).drop("before", "after", "body_size")
+
+
+def so_far() -> WindowSpec:
+    """A page's rows up to one, in order."""
+    return Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def item_starts(rows: DataFrame) -> DataFrame:
+    """``rows`` with item_num, the item that a block names, and starts, whether the item's region starts there: at the last block of each item; those in tables before the first outside are a table of contents."""
+    num = F.upper(F.regexp_extract("text", ITEM, 1))
+    rows = rows.withColumn("item_num", F.when((F.col("tag") != "#text") & (num != ""), num))
+    rows = rows.withColumn("starts", F.col("item_num").isNotNull() & (F.col("pre") == F.max("pre").over(Window.partitionBy("page_id", "item_num"))))
+    rows = rows.withColumn("body", F.min(F.when(F.col("starts") & ~F.col("in_table"), F.col("pre"))).over(Window.partitionBy("page_id")))
+    return rows.withColumn("starts", F.col("starts") & (F.col("body").isNull() | ~(F.col("in_table") & (F.col("pre") < F.col("body"))))).drop("body")
 
 
 def item_regions(rows: DataFrame) -> DataFrame:
-    """(page_id, item_num, start, end): the last block of each item; those in tables before the first outside are a table of contents. A region ends where the next begins."""
-    own = rows.withColumn("item_num", F.upper(F.regexp_extract("text", ITEM, 1))).where("item_num <> ''")
-    last = own.groupBy("page_id", "item_num").agg(F.max(F.struct("pre", "in_table")).alias("b")).select("page_id", "item_num", F.col("b.pre").alias("start"), F.col("b.in_table").alias("in_table"))
-    kept = last.withColumn("body", F.min(F.when(~F.col("in_table"), F.col("start"))).over(Window.partitionBy("page_id"))).where("body is null or not (in_table and start < body)")
-    return kept.select("page_id", "item_num", "start", F.lead("start").over(Window.partitionBy("page_id").orderBy("start")).alias("end"))
+    """(page_id, item_num, start, end): the regions of ``item_starts``. A region ends where the next begins."""
+    return item_starts(rows).where("starts").select("page_id", "item_num", F.col("pre").alias("start"), F.lead("pre").over(Window.partitionBy("page_id").orderBy("pre")).alias("end"))
+
+
+def part_starts(rows: DataFrame) -> DataFrame:
+    """``rows`` with part, the part that a bold block names, and anchor, whether it is the last of its part."""
+    part = F.upper(F.regexp_extract("text", PART, 1))
+    rows = rows.withColumn("part", F.when((F.col("tag") != "#text") & F.col("has_bold") & (part != ""), part))
+    return rows.withColumn("anchor", F.col("part").isNotNull() & (F.col("pre") == F.max("pre").over(Window.partitionBy("page_id", "part"))))
 
 
 def part_anchors(rows: DataFrame) -> DataFrame:
     """(page_id, part, pre): the last bold block of each part."""
-    own = rows.where("has_bold").withColumn("part", F.upper(F.regexp_extract("text", PART, 1))).where("part <> ''")
-    return own.groupBy("page_id", "part").agg(F.max("pre").alias("pre"))
+    return part_starts(rows).where("anchor").select("page_id", "part", "pre")
 
 
 def promoted(rows: DataFrame) -> DataFrame:
-    """(page_id, pre, level, text, blocks) of ``standing`` blocks: parts at their anchors as level 1, items where their region starts and they are bold, isolated or strong as level 2; none that has a
-    block child with text or another heading within."""
-    anchors = part_anchors(rows).select("page_id", "pre", F.lit(True).alias("anchor"))
-    starts = item_regions(rows).select("page_id", F.col("start").alias("pre"), F.lit(True).alias("starts"))
+    """``standing`` blocks with level, null for none: parts at their anchors are 1, items where their region starts and they are bold, isolated or strong are 2; none that has a block child with text or
+    another heading within. Such headings don't overlap. free tells blocks that are no heading and not within one."""
+    rows = part_starts(item_starts(rows))
     part = F.col("text").rlike(PART)
-    level = F.when(part & F.col("anchor") & F.col("has_bold"), 1).when(~part & F.col("starts") & (F.col("has_bold") | F.col("isolated") | F.col("strong")), 2)
-    found = rows.join(anchors, ["page_id", "pre"], "left").join(starts, ["page_id", "pre"], "left").withColumn("level", level).where("level is not null and not holds_block")
-    outer = found.select("page_id", F.explode(F.filter("blocks", lambda b: b != F.col("pre"))).alias("pre")).distinct()
-    return found.select("page_id", "pre", "level", "text", "blocks").join(outer, ["page_id", "pre"], "left_anti")
+    level = F.when(F.col("anchor"), 1).when(~part & F.col("starts") & (F.col("has_bold") | F.col("isolated") | F.col("strong")), 2)
+    rows = rows.withColumn("level", F.when(F.col("page_id").isNotNull() & ~F.col("holds_block"), level)).withColumn("found", F.col("level").isNotNull())
+    # the next one found is within it if any is
+    inner = F.lead("pre").over(Window.partitionBy("page_id", "found").orderBy("pre"))
+    rows = rows.withColumn("inner", inner).withColumn("level", F.when(F.col("inner").isNull() | (F.col("inner") > F.col("last")), F.col("level")))
+    until = F.max(F.when(F.col("level").isNotNull(), F.col("last"))).over(so_far())
+    return rows.withColumn("until", until).withColumn("free", (F.col("tag") != "#text") & (F.col("until").isNull() | (F.col("until") < F.col("pre")))).drop("found", "inner", "until", "part", "anchor")
 
 
 def noise(rows: DataFrame) -> DataFrame:
@@ -210,48 +251,40 @@ def noise(rows: DataFrame) -> DataFrame:
     return rows.where(F.length("packed").between(3, 50)).groupBy("page_id", "packed").count().where(F.col("count") >= REPEATS).select("page_id", "packed")
 
 
-def without(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """``rows`` that are no heading and not within one; a page has few headings."""
-    by = heads.groupBy("page_id").agg(F.collect_list("pre").alias("heads"))
-    return rows.join(by, "page_id", "left").where(F.col("heads").isNull() | ~F.arrays_overlap("blocks", "heads")).drop("heads")
-
-
-def subsections(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """(page_id, pre, level, text): bold-only sized blocks in item regions that are no noise and name no item; their sizes from large to small are levels 3, 4 and 5 of the region.
+def subsections(rows: DataFrame) -> DataFrame:
+    """``promoted`` rows with sub, null for none: bold-only sized blocks in item regions that are no noise and name no item; their sizes from large to small are levels 3, 4 and 5 of the region.
 
     A region is entered at its first block if that is a div, a p or a heading by now; a block around a heading is none itself.
     """
-    rest = without(rows, heads)
-    starts = item_regions(rows).join(rows.select("page_id", F.col("pre").alias("start"), "tag"), ["page_id", "start"]).join(heads.select("page_id", F.col("pre").alias("start"), F.lit(True).alias("head")), ["page_id", "start"], "left")
-    starts = starts.where(F.col("head") | F.col("tag").isin("div", "p")).select("page_id", F.col("start").alias("pre"), "item_num")
-    own = rest.where("bold_only and size is not null").where(~F.col("packed").rlike(ITEM_NAME)).join(noise(rest), ["page_id", "packed"], "left_anti")
-    own = own.join(starts.select("page_id", "pre"), ["page_id", "pre"], "left_anti").select("page_id", "pre", "packed", "size")
-    w = Window.partitionBy("page_id").orderBy("pre")
-    within = own.unionByName(starts, allowMissingColumns=True).withColumn("region", F.last("item_num", ignorenulls=True).over(w)).where("packed is not null and region is not null")
-    rank = F.dense_rank().over(Window.partitionBy("page_id", "region").orderBy(F.desc("size")))
-    return within.select("page_id", "pre", (F.least(rank, F.lit(3)) + 2).alias("level"), F.col("packed").alias("text"))
+    enters = F.col("starts") & (F.col("level").isNotNull() | F.col("tag").isin("div", "p"))
+    same = F.count(F.when(F.col("free"), 1)).over(Window.partitionBy("page_id", "packed"))
+    rows = rows.withColumn("noise", F.length("packed").between(3, 50) & (same >= REPEATS)).withColumn("region", F.last(F.when(enters, F.col("item_num")), ignorenulls=True).over(so_far()))
+    own = F.col("free") & F.col("bold_only") & F.col("size").isNotNull() & ~F.col("packed").rlike(ITEM_NAME) & ~F.col("noise") & ~enters & F.col("region").isNotNull() & F.col("page_id").isNotNull()
+    rows = rows.withColumn("own", own)
+    rank = F.dense_rank().over(Window.partitionBy("page_id", "region", "own").orderBy(F.desc("size")))
+    return rows.withColumn("sub", F.when(F.col("own"), F.least(rank, F.lit(3)) + 2)).drop("noise", "region", "own")
 
 
 def headings(tree: DataFrame) -> DataFrame:
     """(page_id, pre, level, text): all headings of the pages."""
-    rows = standing(tree)
-    heads = promoted(rows)
-    return heads.select("page_id", "pre", "level", "text").unionByName(subsections(rows, heads))
+    rows = subsections(promoted(standing(tree))).where("level is not null or sub is not null")
+    return rows.select("page_id", "pre", F.coalesce("level", "sub").alias("level"), F.when(F.col("level").isNotNull(), F.col("text")).otherwise(F.col("packed")).alias("text"))
 
 
 def emitted(tree: DataFrame) -> DataFrame:
     """(page_id, markdown): the texts of each line-like element (or else of their parent) as one paragraph, in order; headings, found or written as such, with as many ``#`` as their level."""
-    found = headings(tree)
-    by = found.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("pre", F.struct("level", "text")))).alias("heads"))
-    texts = tree.where("tag = '#text'").select("page_id", "pre", "parent", "text", "blocks", "line_at", "line_tag").join(by, "page_id", "left")
-    head = F.array_max(F.filter("blocks", lambda b: F.map_contains_key("heads", b)))
-    texts = texts.withColumn("head", head).withColumn("of", F.coalesce("head", F.when(F.col("line_at") >= 0, F.col("line_at")).otherwise(F.col("parent")))).withColumn("found", F.get(F.array(F.col("heads")[F.col("head")]), F.lit(0)))
+    rows = subsections(promoted(standing(tree, texts=True)))
+    # neither the promoted nor the subsections overlap among themselves, so the last that began is the one around, if it hasn't ended
+    last = lambda level, text: F.last(F.when(F.col(level).isNotNull(), F.struct("pre", "last", F.col(level).alias("level"), F.col(text).alias("text"))), ignorenulls=True).over(so_far())
+    texts = rows.withColumns({"one": last("level", "text"), "other": last("sub", "packed")}).where("tag = '#text'")
+    texts = texts.withColumn("found", F.when(F.col("one.last") >= F.col("pre"), F.col("one")).when(F.col("other.last") >= F.col("pre"), F.col("other")))
+    texts = texts.withColumn("of", F.coalesce("found.pre", F.when(F.col("line_at") >= 0, F.col("line_at")).otherwise(F.col("parent"))))
     native = F.when(F.col("line_tag").rlike("^h[1-6]$"), F.substring("line_tag", 2, 1).cast("int"))
-    lines = texts.groupBy("page_id", "of").agg(F.min("pre").alias("at"), F.first("found").alias("found"), F.first(native).alias("native"), F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("l"))
+    lines = texts.groupBy("page_id", "of").agg(F.min("pre").alias("at"), F.first("found").alias("found"), F.first(native).alias("native"), F.sort_array(F.collect_list(F.struct("pre", F.col("raw").alias("text")))).alias("l"))
     level = F.coalesce("found.level", "native")
     line = F.coalesce("found.text", collapsed(F.array_join(F.transform("l", lambda x: x["text"]), "")))
     marked = F.concat(F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "))).otherwise(""), F.col("line"))
-    by = lines.withColumn("line", line).where("line <> ''").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", marked.alias("line")))).alias("l"))
+    by = lines.withColumn("line", line).where("line <> ''").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("at", marked.alias("line")))).alias("l"))
     return by.select("page_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("markdown"))
 
 

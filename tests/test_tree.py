@@ -256,3 +256,19 @@ def test_bold_only_forms(spark):
 def test_markdown_of_a_filing(spark):
     html = '<title>T</title><div><b>PART I</b></div><p><b>Item 1. Business</b></p><p>We sell <i>things</i>.</p><h3>As is</h3><div><b><span style="font-size:9pt">Products</span></b></div><p></p><td>cell</td>loose'
     assert tree.emitted(tree.nodes(spark.createDataFrame([(1, html)], PAGES))).first().markdown == "T\n\n# PART I\n\n## Item 1. Business\n\nWe sell things.\n\n### As is\n\n### Products\n\ncell\n\nloose"
+
+
+def passes(query, spark):
+    """How often a query's plan parses the pages and shuffles rows."""
+    plan = tree.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return plan.count("MapInArrow"), len(re.findall(r"Exchange hashpartitioning", plan)), plan.count("Join")
+
+
+def test_markdown_parses_pages_once(spark):
+    # pages and their nodes are dealt out once each, and no table meets itself
+    assert passes("h13_page_markdown", spark) == (1, 2, 0)
+
+
+def test_markdown_of_headings_within_others(spark):
+    html = '<p><b>Item 1. A</b></p><div><b><span style="font-size:9pt">Over <td><b>Item 2. B</b></td> after</span></b></div><p><b><span style="font-size:9pt">Next</span></b> </p>end'
+    assert tree.emitted(tree.nodes(spark.createDataFrame([(1, html)], PAGES))).first().markdown == "## Item 1. A\n\n### OverItem 2. Bafter\n\n## Item 2. B\n\n### Next\n\nend"
