@@ -269,6 +269,10 @@ def test_markdown_parses_pages_once(spark):
     assert passes("h13_page_markdown", spark) == (1, 2, 0)
 
 
+def test_headings_parse_pages_once(spark):
+    assert passes("h12_page_headings", spark) == (1, 2, 0)
+
+
 def test_markdown_of_headings_within_others(spark):
     html = '<p><b>Item 1. A</b></p><div><b><span style="font-size:9pt">Over <td><b>Item 2. B</b></td> after</span></b></div><p><b><span style="font-size:9pt">Next</span></b> </p>end'
     assert tree.emitted(tree.nodes(spark.createDataFrame([(1, html)], PAGES))).first().markdown == "## Item 1. A\n\n### OverItem 2. Bafter\n\n## Item 2. B\n\n### Next\n\nend"
